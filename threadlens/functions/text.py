@@ -10,9 +10,12 @@ from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Patterns that must behave like the reference's.
-WHITESPACE_PATTERN = r"\s{2,}|\n|\t"
+# Python's str.split()/re "\s" whitespace set (Unicode), spelled out for Java and RE2.
+PY_SPACE_CLASS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WHITESPACE_PATTERN = PY_SPACE_CLASS + r"{2,}|\n|\t"
 EMOJI_PATTERN = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]+"
 NON_ASCII_PATTERN = r"[^\x00-\x7F]"
 NON_LATIN1_PATTERN = r"[^\x00-\xFF]"
@@ -52,7 +55,7 @@ def strip_non_latin1(c) -> Column:
 
 def as_words(c) -> Column:
     """Whitespace tokenization like Python's ``str.split()`` (no empty tokens)."""
-    return F.filter(F.split(_c(c), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(_c(c), PY_SPACE_CLASS + "+"), lambda x: x != "")
 
 
 def drop_url_tokens(tokens) -> Column:
@@ -120,25 +123,32 @@ def is_negator(x: Column) -> Column:
     return x.isin(*NEGATORS) | x.endswith(NEGATION_SUFFIX)
 
 
-def mark_negation(tokens) -> Column:
-    """Tokens after a negator get '_NEG' until a token ending a clause.
+def mark_negation_rows(df: DataFrame, key: str, tokens: str = "tokens", out: str = "token") -> DataFrame:
+    """T10, row form: one row per token ``(key, pos, token)`` with negation marks.
 
-    A higher-order fold over the array (no UDF): the state carries the output
-    array and an 'inside negation' flag.  The negator itself is unmarked; a
-    clause-ending token is marked (it lies in the scope) and closes the scope; a
-    second negator does not switch marking off.
+    A token is marked '_NEG' when a negator occurs earlier in the same post and
+    no clause-ending token (one that ends in . : ; ! ?) lies between that
+    negator and it; the clause-ending token itself is still marked and closes
+    the scope; negators are never marked, and a second negator keeps the scope
+    open.  Linear: running maxima over a window ordered by position inside one
+    post (a post is bounded by one document's length).
     """
-    t = _c(tokens)
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("neg"))
-
-    def step(acc, x):
-        lx = F.lower(x)
-        marked = F.when(acc["neg"] & ~is_negator(lx), F.concat(x, F.lit(NEG_MARK))).otherwise(x)
-        ends = x.rlike(CLAUSE_END_PATTERN)
-        new_flag = F.when(ends, F.lit(False)).when(is_negator(lx), F.lit(True)).otherwise(acc["neg"])
-        return F.struct(F.concat(acc["out"], F.array(marked)).alias("out"), new_flag.alias("neg"))
-
-    return F.aggregate(t, init, step, lambda acc: acc["out"])
+    x = df.select(key, F.posexplode(tokens).alias("pos", "_t"))
+    lx = F.lower(F.col("_t"))
+    x = x.withColumn("_neg", is_negator(lx)).withColumn("_end", F.col("_t").rlike(CLAUSE_END_PATTERN))
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last_neg = F.max(F.when(F.col("_neg"), F.col("pos"))).over(w)
+    last_end = F.max(F.when(F.col("_end"), F.col("pos"))).over(w)
+    x = x.withColumn("_ln", last_neg).withColumn("_le", last_end)
+    inside = F.col("_ln").isNotNull() & (F.col("_le").isNull() | (F.col("_le") < F.col("_ln"))) & ~F.col("_neg")
+    return x.select(key, "pos", F.when(inside, F.concat("_t", F.lit(NEG_MARK))).otherwise(F.col("_t")).alias(out))
+
+
+def mark_negation(df: DataFrame, key: str, tokens: str = "tokens", out: str = "marked") -> DataFrame:
+    """T10, array form: ``(key, marked)`` with tokens in their original order."""
+    rows = mark_negation_rows(df, key, tokens, "_tok")
+    return rows.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "_tok"))), lambda s: s["_tok"]).alias(out))
 
 
 def comma_join(values) -> Column:
