@@ -134,3 +134,93 @@ class ForumTables:
     @cached_property
     def topic_release(self) -> DataFrame:
         return topic_release_table(self.spark)
+
+    @cached_property
+    def thread_pages(self) -> DataFrame:
+        return render_thread_pages(self.posts)
+
+    @cached_property
+    def listing_pages(self) -> DataFrame:
+        return render_listing_pages(self.threads)
+
+
+# ---------------------------------------------------------------- rendered forum pages (H fixtures)
+
+def _esc(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+# Forum markup of thread and listing pages (selectors the extractor reads).
+BASE_URL = "https://forum.invalid"
+
+
+def render_thread_pages(posts: DataFrame, base_url: str = BASE_URL) -> DataFrame:
+    """One HTML page per (thread, page) in the forum's markup, rendered from posts.
+
+    A page holds at most one page's posts (40), so each group is bounded.
+    ``page_id = thread_id * 1000 + thread_page``.
+    """
+    pid = F.col("post_id").cast("string")
+    uid = F.col("user_id").cast("string")
+    quotes = F.array_join(F.transform("quoted_post_ids", lambda q: F.concat(
+        F.lit('<div class="bbc-block"><h4><a href="showthread.php?goto=post&amp;postid='), q.cast("string"),
+        F.lit("#post"), q.cast("string"), F.lit('">quote</a></h4><blockquote>quoted words</blockquote></div>'))), "")
+    frag = F.concat(
+        F.lit('<table id="post'), pid, F.lit('"><tr><td class="userinfo"><dl class="userinfo"><dt>'),
+        _esc(F.col("user_name")),
+        F.lit('</dt></dl><ul class="profilelinks"><li><a href="member.php?action=getinfo&amp;userid='), uid,
+        F.lit('">Profile</a></li><li><a href="search.php?action=do_search_posthistory&amp;userid='), uid,
+        F.lit('">Post History</a></li></ul></td><td class="postbody">'), quotes, _esc(F.col("post_text")),
+        F.lit('<p class="editedby">edited</p></td><td class="postdate"> '),
+        F.date_format("post_timestamp", "MMM d, yyyy HH:mm"), F.lit(" </td></tr></table>"))
+    pages = (posts.select("thread_id", "thread_page", "forum_id", "post_id", frag.alias("frag"))
+             .groupBy("thread_id", "thread_page", "forum_id")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("post_id", "frag"))),
+                                           lambda s: s["frag"]), "\n").alias("body")))
+    last = posts.groupBy("thread_id").agg(F.max("thread_page").alias("last_page"))
+    tid = F.col("thread_id").cast("string")
+    page = F.col("thread_page").cast("string")
+    nxt = F.when(F.col("thread_page") < F.col("last_page"), F.concat(
+        F.lit('<a title="Next page" href="showthread.php?threadid='), tid, F.lit("&amp;pagenumber="),
+        (F.col("thread_page") + 1).cast("string"), F.lit('">next</a>'))).otherwise(F.lit(""))
+    html = F.concat(F.lit("<html><head><title>Thread "), tid, F.lit('</title></head><body><div id="thread" class="thread'),
+                    tid, F.lit('"><select><option value="1">1</option><option selected="selected" value="'), page,
+                    F.lit('">'), page, F.lit("</option></select>\n"), F.col("body"), F.lit("\n</div>"), nxt,
+                    F.lit("</body></html>"))
+    url = F.concat(F.lit(base_url + "/showthread.php?threadid="), tid, F.lit("&forumid="),
+                   F.col("forum_id").cast("string"), F.lit("&userid=0&perpage=40&pagenumber="), page)
+    return (pages.join(last, "thread_id")
+            .select((F.col("thread_id") * 1000 + F.col("thread_page")).alias("page_id"), url.alias("url"),
+                    html.alias("html")))
+
+
+def listing_views(threads: DataFrame) -> tuple[Column, Column]:
+    """Views/replies cells of the listing: '-' for ignored (administrative) rows."""
+    ign = F.col("is_ignored")
+    views = F.when(ign, F.lit("-")).otherwise((F.col("author_id") * 7).cast("string"))
+    replies = F.when(ign, F.lit("-")).otherwise((F.col("author_id") % 50).cast("string"))
+    return views, replies
+
+
+def render_listing_pages(threads: DataFrame, base_url: str = BASE_URL, per_page: int = 40) -> DataFrame:
+    """Forum listing pages rendered from threads; page = thread_id div 40 inside a forum (bounded groups)."""
+    tid = F.col("thread_id").cast("string")
+    views, replies = listing_views(threads)
+    row = F.concat(
+        F.lit('<tr class="thread" id="thread'), tid,
+        F.lit('"><td class="title"><a class="thread_title" href="showthread.php?threadid='), tid, F.lit('">'),
+        _esc(F.col("thread_title")),
+        F.lit('</a></td><td class="author"><a href="member.php?action=getinfo&amp;userid='),
+        F.col("author_id").cast("string"), F.lit('">'), _esc(F.col("author")),
+        F.lit('</a></td><td class="replies">'), replies, F.lit('</td><td class="views">'), views,
+        F.lit("</td></tr>"))
+    pages = (threads.select("forum_id", (F.col("thread_id") / per_page).cast("bigint").alias("blk"), "thread_id",
+                            row.alias("row"))
+             .groupBy("forum_id", "blk")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("thread_id", "row"))),
+                                           lambda s: s["row"]), "\n").alias("rows")))
+    html = F.concat(F.lit("<html><body><table><tbody>\n"), F.col("rows"), F.lit("\n</tbody></table></body></html>"))
+    url = F.concat(F.lit(base_url + "/forumdisplay.php?forumid="), F.col("forum_id").cast("string"),
+                   F.lit("&pagenumber="), F.col("blk").cast("string"))
+    return pages.select((F.col("blk") * 100 + F.col("forum_id")).alias("page_id"), url.alias("url"), html.alias("html"))
