@@ -16,6 +16,10 @@ from pyspark.sql.window import Window
 # Python's str.split()/re "\s" whitespace set (Unicode), spelled out for Java and RE2.
 PY_SPACE_CLASS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WHITESPACE_PATTERN = PY_SPACE_CLASS + r"{2,}|\n|\t"
+# The non-ASCII members of that set; mapped to ' ' before an ASCII-whitespace split (same tokens, cheaper).
+EXOTIC_SPACES = ("\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
+ASCII_SPACE_RUN = r"[ \t\n\x0B\f\r]+"
 EMOJI_PATTERN = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]+"
 NON_ASCII_PATTERN = r"[^\x00-\x7F]"
 NON_LATIN1_PATTERN = r"[^\x00-\xFF]"
@@ -55,7 +59,8 @@ def strip_non_latin1(c) -> Column:
 
 def as_words(c) -> Column:
     """Whitespace tokenization like Python's ``str.split()`` (no empty tokens)."""
-    return F.filter(F.split(_c(c), PY_SPACE_CLASS + "+"), lambda x: x != "")
+    norm = F.translate(_c(c), EXOTIC_SPACES, " " * len(EXOTIC_SPACES))
+    return F.filter(F.split(norm, ASCII_SPACE_RUN), lambda x: x != "")
 
 
 def drop_url_tokens(tokens) -> Column:
@@ -74,6 +79,14 @@ def clean_post(c, min_words: int = 4) -> Column:
     return F.when(F.size(toks) >= min_words, F.array_join(toks, " "))
 
 
+def clean_posts_frame(df: DataFrame, text: str = "post_text", min_words: int = 4, out: str = "clean_text",
+                      keep_null: bool = True) -> DataFrame:
+    """T5 over a frame, tokenizing once (the token array is a column, not recomputed per use)."""
+    d = df.withColumn("_toks", drop_url_tokens(as_words(text)))
+    d = d.withColumn(out, F.when(F.size("_toks") >= min_words, F.array_join("_toks", " "))).drop("_toks")
+    return d if keep_null else d.where(F.col(out).isNotNull())
+
+
 def clean_post_tokens(c, min_words: int = 4) -> Column:
     """T5/T6 token form: NULL when fewer than ``min_words`` tokens remain."""
     toks = drop_url_tokens(as_words(c))

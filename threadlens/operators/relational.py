@@ -344,3 +344,21 @@ def disjoint_union(graphs: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[Data
 def list_difference(values: DataFrame, remove: DataFrame, key: str) -> DataFrame:
     """U4: rows of ``values`` whose key is not in ``remove`` (bag semantics kept)."""
     return values.join(remove.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+
+
+def row_index(df: DataFrame, group: str, order_col: str, width: int = 4096) -> DataFrame:
+    """1-based position of each row inside its group, ordered by a unique integer column.
+
+    No window spans a whole group: rows fall into buckets of ``width``
+    consecutive ids (so at most ``width`` rows per bucket), bucket sizes are
+    aggregated, a running sum over the (much smaller) bucket table gives each
+    bucket's offset, and a window inside the bucket adds the local rank.
+    """
+    d = df.withColumn("_b", F.floor(F.col(order_col) / width))
+    sizes = d.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    wb = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, "_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_before"))
+    w = Window.partitionBy(group, "_b").orderBy(order_col)
+    return (d.join(offsets, [group, "_b"])
+            .withColumn("row_index", F.col("_before") + F.row_number().over(w))
+            .drop("_b", "_before"))
