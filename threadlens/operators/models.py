@@ -110,7 +110,8 @@ def silhouette_sq(points: DataFrame, id_col: str, vec: str, cluster: str = "clus
                                  .alias("sk"))
     cs = p.groupBy("k").agg(F.count(F.lit(1)).alias("nk"), F.sum("xx").alias("qk")).join(svec, "k")
     table = cs.select(F.array_sort(F.collect_list(F.struct("k", "nk", "qk", "sk"))).alias("t")).scalar()
-    d = p.select(id_col, "k", F.transform(table, lambda t: F.struct(
+    p = p.withColumn("_tbl", table)  # scalar subquery projected first; lambdas read the column
+    d = p.select(id_col, "k", F.transform("_tbl", lambda t: F.struct(
         t["k"].alias("k"), t["nk"].alias("nk"),
         (t["nk"] * F.col("xx") - 2 * _dot(F.col("x"), t["sk"]) + t["qk"]).alias("ssum"))).alias("ds"))
     own = F.filter("ds", lambda t: t["k"] == F.col("k"))[0]
@@ -196,8 +197,9 @@ def naive_bayes_predict(docs: DataFrame, counts: DataFrame, classes: DataFrame,
             .groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct(label, "d"))).alias("dm")))
     cls = classes.select(F.array_sort(F.collect_list(F.struct(label, "log_prior", "log_zero"))).alias("c")).scalar()
     j = (docs.select(doc).distinct().join(total, doc, "left").join(seen, doc, "left")
-         .withColumn("n_terms", F.coalesce("n_terms", F.lit(0))))
-    scores = F.transform(cls, lambda k: F.struct(
+         .withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
+         .withColumn("_cls", cls))  # scalar subquery projected first; lambdas read the column
+    scores = F.transform("_cls", lambda k: F.struct(
         k[label].alias(label),
         (k["log_prior"] + k["log_zero"] * F.col("n_terms")
          + F.coalesce(F.element_at(F.col("dm"), k[label]), F.lit(0.0))).alias("score")))
