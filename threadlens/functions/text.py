@@ -120,8 +120,8 @@ def terms(c, stop_words: Iterable[str] | None = None) -> Column:
     """Lower-case word terms of >= 2 word characters, stop words removed (order and repeats kept)."""
     toks = F.regexp_extract_all(F.lower(_c(c)), F.lit(TERM_PATTERN), 0)
     if stop_words:
-        stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-        toks = F.filter(toks, lambda x: ~F.array_contains(stop, x))
+        stop = sorted(set(stop_words))
+        toks = F.filter(toks, lambda x: ~x.isin(*stop))  # planned as a hash set lookup (InSet)
     return toks
 
 

@@ -23,13 +23,28 @@ QUERY_BROADCAST_ROWS = 5_000_000
 
 def term_occurrences(df: DataFrame, keys: Sequence[str], text: str, stop_words: Iterable[str] | None = None
                      ) -> DataFrame:
-    """One row per term occurrence ``(keys..., term)`` (T12 terms)."""
-    return df.select(*keys, F.explode(T.terms(text, stop_words)).alias("term"))
+    """One row per term occurrence ``(keys..., term)`` (T12 terms).
+
+    Stop words are removed after the explode with an ``isin`` filter, which
+    Catalyst plans as a hash-set lookup (``InSet``) inside the scan's codegen stage.
+    """
+    occ = df.select(*keys, F.explode(T.terms(text)).alias("term"))
+    if stop_words:
+        occ = occ.where(~F.col("term").isin(*sorted(set(stop_words))))
+    return occ
 
 
 def term_counts(occ: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys..., term, tf)``."""
-    return occ.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``(keys..., term, tf)``.
+
+    The not-null filters are stated up front: the later joins on term and
+    document keys would otherwise infer them into only some branches, and the
+    branches would stop sharing (reusing) this one aggregation exchange.
+    """
+    cond = F.col("term").isNotNull()
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    return occ.where(cond).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(tf: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,18 +70,29 @@ def restrict(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     return tf.join(v, "term")
 
 
-def tfidf(tf: DataFrame, keys: Sequence[str], idf_from: DataFrame | None = None) -> DataFrame:
+def tfidf(tf: DataFrame, keys: Sequence[str], idf_from: DataFrame | None = None, materialize: bool = True
+          ) -> DataFrame:
     """M1: ``w = tf * (ln((1 + N) / (1 + df)) + 1)`` divided by the document's L2 norm.
 
     ``idf_from`` (same shape as ``tf``) fits the idf on another corpus; terms it
     lacks are dropped.  Output ``(keys..., term, tf, weight)`` rounded to 6 places.
+    ``tf`` feeds three branches (document count, document frequency, weights),
+    so by default it is written once to the shared checkpoint folder instead
+    of re-tokenizing the corpus per branch.
     """
+    if materialize:
+        from threadlens.session import cut_lineage
+
+        tf = cut_lineage(tf)
+        if idf_from is not None:
+            idf_from = cut_lineage(idf_from)
     fit = tf if idf_from is None else idf_from
     kfit = keys if idf_from is None else [c for c in fit.columns if c not in ("term", "tf", "term_index")]
     n_docs = fit.select(*kfit).distinct().agg(F.count(F.lit(1))).scalar()
     idf = document_frequency(fit, kfit).select(
         "term", (F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
-    idf, _ = bounded_broadcast(idf, VOCAB_BROADCAST_ROWS)
+    # idf comes out of a shuffle, so AQE sees its real size and turns this into a
+    # broadcast join only when it is small; no extra pass over the corpus to count it.
     w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return (w.join(norm, list(keys))
