@@ -56,3 +56,10 @@ def test_stat_matrix_shape(spark, sf_small):
 def test_user_document_empty_user_has_no_row(spark, sf_small):
     posts = ForumTables(spark, sf_small).posts
     assert R.user_document(posts, -1).count() == 0
+
+
+def test_dense_index_matches_global_row_number(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 1000).cast("string").alias("term"))
+    idx = R.dense_index(df, ["term"], "i", partitions=7)
+    ref = df.withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)
+    assert idx.select("term", "i").exceptAll(ref.select("term", "i")).count() == 0

@@ -57,10 +57,21 @@ def strip_non_latin1(c) -> Column:
     return F.regexp_replace(_c(c), NON_LATIN1_PATTERN, "")
 
 
+def single_spaced(c) -> Column:
+    """Whitespace runs (Python's set) -> one space, trimmed: ``' '.join(text.split())`` without the array."""
+    norm = F.translate(_c(c), EXOTIC_SPACES, " " * len(EXOTIC_SPACES))
+    return F.trim(F.regexp_replace(norm, ASCII_SPACE_RUN, " "))
+
+
+def word_count(spaced: Column) -> Column:
+    """Number of tokens of a ``single_spaced`` text (arithmetic, no array)."""
+    return F.when(spaced == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1)
+
+
 def as_words(c) -> Column:
     """Whitespace tokenization like Python's ``str.split()`` (no empty tokens)."""
     norm = F.translate(_c(c), EXOTIC_SPACES, " " * len(EXOTIC_SPACES))
-    return F.filter(F.split(norm, ASCII_SPACE_RUN), lambda x: x != "")
+    return F.array_remove(F.split(norm, ASCII_SPACE_RUN), "")
 
 
 def drop_url_tokens(tokens) -> Column:
@@ -73,17 +84,27 @@ def as_sentence(tokens) -> Column:
     return F.array_join(_c(tokens), " ")
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (Spark does not share subexpressions
+    across conditional branches, so an expensive value used in several branches is bound first)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _spaced_without_urls(c) -> Column:
+    """Single-spaced text with URL tokens removed; the token path runs only for texts containing 'http'."""
+    return bind(single_spaced(c), lambda sp: F.when(
+        sp.contains(URL_MARK), F.array_join(drop_url_tokens(F.split(sp, " ")), " ")).otherwise(sp))
+
+
 def clean_post(c, min_words: int = 4) -> Column:
     """T5: URL tokens removed; NULL when fewer than ``min_words`` tokens remain."""
-    toks = drop_url_tokens(as_words(c))
-    return F.when(F.size(toks) >= min_words, F.array_join(toks, " "))
+    return bind(_spaced_without_urls(c), lambda sp: F.when(word_count(sp) >= min_words, sp))
 
 
 def clean_posts_frame(df: DataFrame, text: str = "post_text", min_words: int = 4, out: str = "clean_text",
                       keep_null: bool = True) -> DataFrame:
     """T5 over a frame, tokenizing once (the token array is a column, not recomputed per use)."""
-    d = df.withColumn("_toks", drop_url_tokens(as_words(text)))
-    d = d.withColumn(out, F.when(F.size("_toks") >= min_words, F.array_join("_toks", " "))).drop("_toks")
+    d = df.withColumn(out, clean_post(text, min_words))
     return d if keep_null else d.where(F.col(out).isNotNull())
 
 

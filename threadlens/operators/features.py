@@ -60,8 +60,11 @@ def vocabulary(tf: DataFrame, keys: Sequence[str], min_df: int = 1, max_df: floa
     d = document_frequency(tf, keys).where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
     if max_features is not None:
         d = d.orderBy(F.desc("cnt"), "term").limit(max_features)
-    w = Window.orderBy("term")  # at most max_features rows when capped
-    return d.select("term", "df", "cnt", (F.row_number().over(w) - 1).alias("term_index"))
+        w = Window.orderBy("term")  # at most max_features rows
+        return d.select("term", "df", "cnt", (F.row_number().over(w) - 1).alias("term_index"))
+    from threadlens.operators.relational import dense_index
+
+    return dense_index(d.select("term", "df", "cnt"), ["term"], "term_index")
 
 
 def restrict(tf: DataFrame, vocab: DataFrame) -> DataFrame:

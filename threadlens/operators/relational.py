@@ -101,8 +101,7 @@ def thread_dataset(posts: DataFrame, topic_threads: DataFrame, topic_release: Da
     """
     rel, _ = bounded_broadcast(topic_threads.join(topic_release, "key"), SMALL_TABLE_ROWS)
     p = posts.join(rel, "thread_id")
-    toks = T.drop_url_tokens(T.as_words("post_text"))
-    text = F.array_join(toks, " ")
+    text = T._spaced_without_urls("post_text")
     return (p.where(F.col("post_timestamp") >= D.release_cutoff("release_date", days).cast("timestamp"))
             .select("key", "thread_id", "post_id", text.alias("clean_text"))
             .where(F.length("clean_text") >= min_chars))
@@ -362,3 +361,21 @@ def row_index(df: DataFrame, group: str, order_col: str, width: int = 4096) -> D
     return (d.join(offsets, [group, "_b"])
             .withColumn("row_index", F.col("_before") + F.row_number().over(w))
             .drop("_b", "_before"))
+
+
+def dense_index(df: DataFrame, order: list[str], out: str = "index", partitions: int | None = None) -> DataFrame:
+    """0-based position of every row in a global order, without a single-partition window.
+
+    Rows are range-partitioned and sorted on ``order``; per-partition row
+    counts (one row per partition) give each partition's offset, and the
+    row number inside the partition adds the local position.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    counts = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    local = Window.partitionBy("_p").orderBy(*order)
+    return (s.join(F.broadcast(offsets), "_p")
+            .withColumn(out, F.col("_off") + F.row_number().over(local) - 1)
+            .drop("_p", "_off"))

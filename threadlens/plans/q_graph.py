@@ -73,6 +73,23 @@ def _posts(spark, sf_dir):
     return ForumTables(spark, sf_dir).posts
 
 
+def materialized_graph(posts):
+    """G5 graph written once to the shared checkpoint folder.
+
+    Degree cuts, indexes and JSON reuse the vertex and edge tables several
+    times; reading two small parquet tables keeps every later plan from
+    re-expanding the posts lineage (scan, document join, explode) per use.
+    """
+    from threadlens.session import cut_lineage
+
+    v, e = G.named_graph(posts)
+    return cut_lineage(v), cut_lineage(e)
+
+
+def _graph(spark, sf_dir):
+    return materialized_graph(_posts(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- J6 / J7 / A13 / G1 / G2
 
 @register("j6_quote_edges", with_ctes("select thread_id, src, dst from qe", "posts", extra=[QE]))
@@ -111,13 +128,13 @@ def g2_edges(spark, sf_dir):
 
 @register("g3_degree", with_ctes("select thread_id, node, degree from deg", "posts", extra=GRAPH))
 def g3_degree(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     return G.degrees(v, e)
 
 
 @register("g4_degree_cut", with_ctes("select thread_id, u, v from ce", "posts", extra=_cut_sql(MIN_DEGREE)))
 def g4_degree_cut(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     return G.degree_cut(v, e, MIN_DEGREE)[1]
 
 
@@ -130,7 +147,7 @@ def g5_named_edges(spark, sf_dir):
     "select thread_id, node from nv where exists (select 1 from ne where ne.thread_id = nv.thread_id "
     "and (ne.u = nv.node or ne.v = nv.node))", "posts", extra=[QE, NAMES, NV, NE]))
 def g11_non_isolated(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     return G.drop_isolated(v, e)
 
 
@@ -140,7 +157,7 @@ def g11_non_isolated(spark, sf_dir):
     "left join (select thread_id, count(*) as n_edges from ne group by thread_id) m on m.thread_id = n.thread_id",
     "posts", extra=[QE, NAMES, NV, NE]))
 def g13_graph_counts(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     return G.graph_counts(v, e)
 
 
@@ -149,7 +166,7 @@ def g13_graph_counts(spark, sf_dir):
 @register("g6_node_link", with_ctes("select thread_id, graph_json from nl_json", "posts",
                                     extra=_cut_sql(1) + _node_link_sql("kept", "ce")))
 def g6_node_link(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     v, e = G.degree_cut(v, e, 1)
     return G.node_link_json(v, e)
 
@@ -160,7 +177,7 @@ def g6_node_link(spark, sf_dir):
     " select thread_id, v as node, u as nbr from ne where u <> v) x group by thread_id, node",
     "posts", extra=[QE, NAMES, NE]))
 def g7_adjacency(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     a = G.adjacency(e)
     return a.select("thread_id", "node", F.array_join("neighbours", ",").alias("neighbours"))
 
@@ -177,7 +194,7 @@ def thread_graph(posts, thread_id=None, min_edges: int = 1, min_posts: int = 200
         p = posts.join(F.broadcast(chosen), "thread_id", "left_semi")
     else:
         p = posts.where(F.col("thread_id") == F.lit(thread_id))
-    v, e = G.named_graph(p)
+    v, e = materialized_graph(p)
     v, e = G.degree_cut(v, e, min_edges)
     return G.node_link_json(v, e)
 
@@ -203,7 +220,7 @@ def g8_thread_graph(spark, sf_dir):
           union all select thread_id, node, node as nbr from nv) x where node = '{NEIGHBOUR_OF}'""",
     "posts", extra=[QE, NAMES, NV, NE]))
 def g9_neighbours(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     return G.neighbours(e, v.where(F.col("node") == NEIGHBOUR_OF))
 
 
@@ -236,7 +253,7 @@ def _scored(v, e):
         """ls as (select *, case when score is null then 'any' when score >= 0.666 then 'high' when score >= 0.333 then 'mid'
                   when score >= 0 then 'low' else 'below' end as band from ls0)"""]))
 def g10_visible_links(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     ns, ls = _scored(v, e)
     return G.visible_links(ns, ls, VISIBLE_BANDS)
 
@@ -255,7 +272,7 @@ CC_SQL = with_ctes(
 
 @register("g12_components", CC_SQL)
 def g12_components(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     return G.connected_components(v, e)
 
 
@@ -264,13 +281,33 @@ def g12_components(spark, sf_dir):
     "select thread_id, count(distinct component) as n_components from "
     "(select thread_id, node, min(r) as component from reach group by thread_id, node) c group by thread_id"))
 def g12_component_counts(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     return G.component_counts(G.connected_components(v, e))
 
 
-@register("g14_shape_classes")
+G14_SQL = CC_SQL.replace(
+    "select thread_id, node, min(r) as component from reach group by thread_id, node",
+    """, comp as (select thread_id, node, min(r) as component from reach group by thread_id, node),
+    dg as (select nv.thread_id, nv.node, coalesce(c.degree, 0) as degree
+           from nv left join (select thread_id, node, count(*) as degree
+                              from (select thread_id, u as node from ne union all select thread_id, v as node from ne) x
+                              group by thread_id, node) c on c.thread_id = nv.thread_id and c.node = nv.node),
+    cn as (select c.thread_id, c.component, count(*) as n_nodes,
+                  string_agg(cast(d.degree as varchar), ',' order by d.degree) as degree_seq
+           from comp c join dg d on d.thread_id = c.thread_id and d.node = c.node group by c.thread_id, c.component),
+    cm as (select c.thread_id, c.component, count(*) as n_edges
+           from ne e join comp c on c.thread_id = e.thread_id and c.node = e.u group by c.thread_id, c.component),
+    sig as (select cn.thread_id, cn.component,
+                   cast(n_nodes as varchar) || '|' || cast(coalesce(n_edges, 0) as varchar) || '|' || degree_seq as signature
+            from cn left join cm on cm.thread_id = cn.thread_id and cm.component = cn.component)
+    select signature, arg_min(thread_id, (thread_id, component)) as thread_id,
+           arg_min(component, (thread_id, component)) as component, count(*) as class_size
+    from sig group by signature""")
+
+
+@register("g14_shape_classes", G14_SQL)
 def g14_shape_classes(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     comps = G.connected_components(v, e)
     return G.shape_classes(comps, e)
 
@@ -278,7 +315,7 @@ def g14_shape_classes(spark, sf_dir):
 @register("g15_dot_lines", with_ctes("select thread_id, u || ' -- ' || v as line from ne", "posts",
                                      extra=[QE, NAMES, NE]))
 def g15_dot_lines(spark, sf_dir):
-    v, e = G.named_graph(_posts(spark, sf_dir))
+    v, e = _graph(spark, sf_dir)
     return G.dot_lines(e)
 
 
@@ -291,5 +328,5 @@ def u3_disjoint_union(spark, sf_dir):
     posts = _posts(spark, sf_dir)
     graphs = {}
     for f in (44, 45):
-        graphs[f"f{f}"] = G.named_graph(posts.where(F.col("forum_id") == f))
+        graphs[f"f{f}"] = materialized_graph(posts.where(F.col("forum_id") == f))
     return R.disjoint_union(graphs)[1]
