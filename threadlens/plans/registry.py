@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
 def _load_all() -> None:
     # Import for side effects: each module registers its queries.
     for mod in ("q_graph", "q_relational", "q_text", "q_io", "q_extract", "q_stats", "q_features",
-                "q_models", "q_stream"):
+                "q_models", "q_stream", "q_roundtrip"):
         try:
             __import__(f"threadlens.plans.{mod}")
         except ModuleNotFoundError as exc:  # modules are added as operators land
