@@ -13,7 +13,6 @@
 
 from __future__ import annotations
 
-from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

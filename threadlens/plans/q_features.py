@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
 from threadlens.operators import features as FE

@@ -8,7 +8,7 @@ from threadlens.functions import text as T
 from threadlens.operators import features as FE
 from threadlens.operators import models as MO
 from threadlens.operators import relational as R
-from threadlens.plans.q_features import MAX_FEATURES, _TERMS, _m3, _sql_terms, _vocab, _doc_tf
+from threadlens.plans.q_features import MAX_FEATURES, _TERMS, _m3, _vocab, _doc_tf
 from threadlens.plans.q_text import STOP_WORDS
 from threadlens.plans.registry import register
 from threadlens.sources.forum import ForumTables
