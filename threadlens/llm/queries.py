@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlens.llm import langid, minhash, quality, secrets
+from threadlens.llm import decontaminate, langid, minhash, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,11 +29,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_quality_rules, op3_language_id, op5_secret_scan, op10_minhash_near_dedup)}
+    op2_quality_rules, op3_language_id, op5_secret_scan, op9_benchmark_decontamination, op10_minhash_near_dedup)}
 
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle()}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality.oracle(),
+    "op9_benchmark_decontamination": decontaminate.ORACLE,
+}
