@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadlens.llm import decontaminate, langid, minhash, quality, secrets
+from threadlens.llm import decontaminate, langid, minhash, mixing, packing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Wished token weights of the domains the labels table tells apart.
+MIX_WEIGHTS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
+
+
+def label_domain() -> Column:
+    """The domain of a row of ``labels``: toxic, low quality or good; null if it is not labelled."""
+    return (F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low")
+            .when((F.col("quality") == 1) & (F.col("toxic") == 0), "good"))
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), label_domain(),
+                        MIX_WEIGHTS)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +45,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +58,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_quality_rules, op3_language_id, op5_secret_scan, op9_benchmark_decontamination, op10_minhash_near_dedup)}
+    op1_soft_mixing, op2_quality_rules, op3_language_id, op5_secret_scan, op7_token_packing, op9_benchmark_decontamination, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.oracle(),
