@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import langid
+from threadlens.llm import decontaminate, langid, minhash, mixing, packing
+from threadlens.llm.queries import MIX_WEIGHTS, label_domain
 from threadlens.session import cut_lineage
 
 # A text is rejected if it has no letter, or if no language holds even this share of its words.
@@ -23,7 +24,34 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             .select("row.*"))
 
 
-STAGES = [("language ID", language_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-duplicates on five-word shingles at 0.8: the smallest id of each group stays."""
+    return minhash.distinct_rows(docs, k=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that hold four fifths of a benchmark item's five-word shingles go."""
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rates that meet the domains' target weights; each text stays as often as its rate, rounded."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mixing.mixed_rows(docs, labels, label_domain(), MIX_WEIGHTS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in packed rows, with segment lengths, position resets and the ids of the texts."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing to target weights", mixing_stage),
+    ("token packing", packing_stage),
+]
 
 ORACLE_SQL = None
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlens.llm import words as W
 
@@ -296,7 +297,9 @@ def predict_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
 
 def _label(src: DataFrame, model: Model) -> DataFrame:
     first_col = src.columns[0]
-    id_type = src.schema[first_col].dataType.simpleString()
+    schema = T.StructType([*src.schema.fields[:2], *(T.StructField(n, t) for n, t in (
+        ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_words", T.LongType()),
+        ("n_switches", T.LongType())))])
     src = src.withColumn("_letter", F.coalesce(F.col("_text").rlike("\\p{L}"), F.lit(False)))
     langs, k = model.languages, len(model.languages)
 
@@ -328,5 +331,4 @@ def _label(src: DataFrame, model: Model) -> DataFrame:
                      pa.array(np.where(letter, switches, 0))],
                     names=[first_col, "held_out", "lang_pred", "score", "n_words", "n_switches"])
 
-    return src.mapInArrow(run, f"`{first_col}` {id_type}, held_out boolean, lang_pred string, score double, "
-                               "n_words long, n_switches long")
+    return src.mapInArrow(run, schema)

@@ -222,6 +222,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, lower: bool = True, percent: in
                     (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept")))
 
 
+def distinct_rows(docs: DataFrame, k: int = 5, lower: bool = True, percent: int = 80, id_col: str = "doc_id",
+                  text_col: str = "text", **search: object) -> DataFrame:
+    """The rows of ``docs`` that stay when one text of each component does: the smallest id.
+
+    Rows without shingles or with a null id stay. Of rows that repeat an id one stays.
+    """
+    found = near_duplicates(docs, k, lower, percent, id_col=id_col, text_col=text_col, **search)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
+    rest = docs.join(gone, id_col, "left_anti")
+    twice = cut_lineage(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    if twice.isEmpty():
+        return rest
+    return rest.join(twice, id_col, "left_anti").unionByName(
+        rest.join(twice, id_col, "left_semi").dropDuplicates([id_col]))
+
+
 def candidate_links(docs: DataFrame, reps: DataFrame, total: int, k: int, lower: bool, percent: int,
                     miss: float) -> DataFrame:
     """Verified links of representatives, enough of them to connect every linked pair."""

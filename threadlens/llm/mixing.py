@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlens.llm import words as W
 from threadlens.llm.sample import first_of_each, label_sample
@@ -181,8 +182,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, per_domai
 
 def memberships(docs: DataFrame, model: Classifier, carry: list[str], text_col: str = "text") -> DataFrame:
     """``carry`` columns with ``n_tokens`` (words) and ``posterior`` (array in the order of the domains)."""
-    src = docs.select(*carry, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    src = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(text_col).alias("_text"))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("n_tokens", T.LongType()),
+                           T.StructField("posterior", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +196,7 @@ def memberships(docs: DataFrame, model: Classifier, carry: list[str], text_col:
                     [*(batch.column(i).slice(a, b - a) for i in range(len(carry))), pa.array(n.astype(np.int64)),
                      pa.array(list(post), pa.list_(pa.float64()))], names=[*carry, "n_tokens", "posterior"])
 
-    return src.mapInArrow(run, f"{schema}, n_tokens long, posterior array<double>")
+    return src.mapInArrow(run, schema)
 
 
 def _sums(member: DataFrame, k: int, rate: Column | None = None, gram: bool = False) -> np.ndarray:
@@ -252,19 +254,35 @@ def token_targets(member: DataFrame, domains: tuple[str, ...], weights: dict[str
     return wish * (now[top] / wish[top] if budget is None else budget)
 
 
+def fit(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], budget: float | None = None,
+        id_col: str = "doc_id", text_col: str = "text",
+        **classifier: object) -> tuple[Classifier, list[np.ndarray], DataFrame]:
+    """The classifier, the gradient steps of the fitted rates, and the membership table they were fitted on."""
+    model = fit_classifier(docs, labels, domain, id_col=id_col, text_col=text_col, **classifier)
+    member = cut_lineage(memberships(docs, model, [id_col], text_col))
+    known = model.domains != (UNLABELLED,)
+    return model, fit_rates(member, token_targets(member, model.domains, weights, budget)) if known else [], member
+
+
 def rates(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float],
-          carry: list[str] | None = None, budget: float | None = None, id_col: str = "doc_id",
-          text_col: str = "text", **fit: object) -> DataFrame:
-    """``carry`` columns (the id by default), ``n_tokens``, ``domains``, ``posterior`` and ``rate`` of every text."""
-    model = fit_classifier(docs, labels, domain, id_col=id_col, text_col=text_col, **fit)
-    member = cut_lineage(memberships(docs, model, carry or [id_col], text_col))
-    targets = token_targets(member, model.domains, weights, budget)
-    steps = fit_rates(member, targets) if model.domains != (UNLABELLED,) else []
-    return member.select(*(carry or [id_col]), "n_tokens", F.array(*map(F.lit, model.domains)).alias("domains"),
+          budget: float | None = None, id_col: str = "doc_id", text_col: str = "text",
+          **classifier: object) -> DataFrame:
+    """The id, ``n_tokens``, ``domains``, ``posterior`` and ``rate`` of every text."""
+    model, steps, member = fit(docs, labels, domain, weights, budget, id_col, text_col, **classifier)
+    return member.select(id_col, "n_tokens", F.array(*map(F.lit, model.domains)).alias("domains"),
                          "posterior", rate_column(steps).alias("rate"))
 
 
-def repeat_by_rate(rows: DataFrame, rate: str = "rate") -> DataFrame:
-    """Each row as often as its rate, rounded half up (rates under one half drop the row)."""
-    times = F.floor(F.col(rate) + F.lit(0.5)).cast("int")
-    return rows.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
+def mixed_rows(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float],
+               budget: float | None = None, id_col: str = "doc_id", text_col: str = "text",
+               **classifier: object) -> DataFrame:
+    """The rows of ``docs``, each as often as its rate rounded half up (a rate under one half drops it).
+
+    A rate depends on the text alone, so the second pass over the texts needs no join.
+    """
+    model, steps, _ = fit(docs, labels, domain, weights, budget, id_col, text_col, **classifier)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                       F.col(text_col).alias("_body"))
+    times = F.floor(rate_column(steps) + F.lit(0.5)).cast("int")
+    return (memberships(rows, model, ["row"], "_body").withColumn("times", times).where("times > 0")
+            .select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*"))
