@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import decontaminate, langid, minhash, mixing, packing, quality, secrets
+from threadlens.llm import decontaminate, langid, lmscore, minhash, mixing, packing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0))
+    return lmscore.loss_differences(_table(spark, sf_dir, "documents"), good)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +64,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_soft_mixing, op2_quality_rules, op3_language_id, op5_secret_scan, op7_token_packing, op9_benchmark_decontamination, op10_minhash_near_dedup)}
+    op1_soft_mixing, op2_quality_rules, op3_language_id, op4_lm_scoring, op5_secret_scan, op7_token_packing,
+    op9_benchmark_decontamination, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.oracle(),
