@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import decontaminate, langid, lmscore, minhash, mixing, packing, quality, secrets
+from threadlens.llm import decontaminate, langid, lmscore, minhash, mixing, packing, quality, secrets, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -64,10 +69,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_soft_mixing, op2_quality_rules, op3_language_id, op4_lm_scoring, op5_secret_scan, op7_token_packing,
-    op9_benchmark_decontamination, op10_minhash_near_dedup)}
+    op1_soft_mixing, op2_quality_rules, op3_language_id, op4_lm_scoring, op5_secret_scan,
+    op6_substring_dedup, op7_token_packing, op9_benchmark_decontamination, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.oracle(),
+    "op6_substring_dedup": substrings.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }
