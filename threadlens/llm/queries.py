@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import decontaminate, langid, lmscore, minhash, mixing, packing, quality, secrets, substrings
+from threadlens.llm import decontaminate, langid, lines, lmscore, minhash, mixing, packing, quality, secrets, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -70,7 +74,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_soft_mixing, op2_quality_rules, op3_language_id, op4_lm_scoring, op5_secret_scan,
-    op6_substring_dedup, op7_token_packing, op9_benchmark_decontamination, op10_minhash_near_dedup)}
+    op6_substring_dedup, op7_token_packing, op8_line_dedup, op9_benchmark_decontamination, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.oracle(),
