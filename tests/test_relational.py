@@ -49,7 +49,7 @@ def test_random_draw_is_post_weighted_and_reproducible(spark, sf_small):
 
 def test_stat_matrix_shape(spark, sf_small):
     t = ForumTables(spark, sf_small)
-    m = R.stat_matrix(t.topic_threads, t.posts, keys=[f"k{i}" for i in range(9)])
+    m = R.stat_matrix(t.topic_threads, t.posts, R.stat_registry(7), keys=[f"k{i}" for i in range(9)])
     assert m.count() == 3 and m.columns[0] == "stat" and len(m.columns) == 10
 
 

@@ -45,8 +45,8 @@ def test_date_and_id_parsers(spark):
     df = spark.createDataFrame([("x", " Jan 2, 2024 10:00 "), ("y", "   "), ("z", "bad")], "k string, d string")
     assert [r.k for r in D.clean_dates(df, "d").collect()] == ["x", "z"]
     assert col1(spark, ["post12345", "post12x", "", None], D.post_id_from_attr("v")) == [12345, None, None, None]
-    assert col1(spark, ["thread1234567", "thread123456"], D.thread_id_from_attr("v")) == [1234567, None]
-    assert col1(spark, ["thread123456"], D.thread_id_from_attr("v", allow_six=True)) == [123456]
+    ids = ["thread1234567", "thread123456", "thread10000001", "thread10000009", "thread123", "x1234567"]
+    assert col1(spark, ids, D.thread_id_from_attr("v")) == [1234567, 123456, 10000001, 10000009, None, None]
     assert col1(spark, ["member.php?userid=77", "x"], D.user_id_from_link("v")) == [77, None]
     link = '<a href="showthread.php?goto=post&amp;postid=5#post5">q</a> <a href="showthread.php?goto=post&amp;postid=9">'
     assert col1(spark, [link, "nothing"], D.quoted_post_id("v")) == [9, None]

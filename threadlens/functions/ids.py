@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 FORUM_DATE_FORMAT = "MMM d, yyyy HH:mm"
 SQL_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 FORUM_ID_PATTERN = r"(?:^|&)forumid=(\d{%d,})"
-THREAD_ID_PATTERN = r"(\d{%d})"
+THREAD_ID_PATTERN = r"thread(\d{%d,})"
 FIRST_DIGITS_PATTERN = r"(\d+)"
 USER_ID_PATTERN = r"userid=(\d+)"
 POST_ID_PATTERN = r"^post(\d+)$"
@@ -61,10 +61,9 @@ def forum_id_from_url(c, min_digits: int = 2) -> Column:
     return _nullif_empty(F.regexp_extract(query, FORUM_ID_PATTERN % min_digits, 1)).try_cast("int")
 
 
-def thread_id_from_attr(c, digits: int = 7, allow_six: bool = False) -> Column:
-    """A seven-digit thread id (six allowed by option), else NULL."""
-    pat = r"(\d{6,})" if allow_six else THREAD_ID_PATTERN % digits
-    return _nullif_empty(F.regexp_extract(_c(c), pat, 1)).try_cast("bigint")
+def thread_id_from_attr(c, min_digits: int = 6) -> Column:
+    """The whole run of digits after ``thread`` (at least ``min_digits`` of them), else NULL."""
+    return _nullif_empty(F.regexp_extract(_c(c), THREAD_ID_PATTERN % min_digits, 1)).try_cast("bigint")
 
 
 def first_digits(c) -> Column:

@@ -52,11 +52,19 @@ def document_frequency(tf: DataFrame, keys: Sequence[str]) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cnt"))
 
 
+def _number_of(documents: DataFrame, keys: Sequence[str]):
+    """How many distinct keys there are, as a scalar subquery."""
+    return documents.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()
+
+
 def vocabulary(tf: DataFrame, keys: Sequence[str], min_df: int = 1, max_df: float = 1.0,
-               max_features: int | None = None) -> DataFrame:
+               max_features: int | None = None, documents: DataFrame | None = None) -> DataFrame:
     """M2: terms with ``df >= min_df`` and ``df <= max_df * N``, then the ``max_features`` largest
-    corpus counts (ties by term); ``term_index`` is the alphabetical position (0-based)."""
-    n_docs = tf.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()
+    corpus counts (ties by term); ``term_index`` is the alphabetical position (0-based).
+
+    N counts the rows of ``documents`` (distinct keys), those without a term included.
+    """
+    n_docs = _number_of(tf if documents is None else documents, keys)
     d = document_frequency(tf, keys).where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
     if max_features is not None:
         d = d.orderBy(F.desc("cnt"), "term").limit(max_features)
@@ -73,12 +81,13 @@ def restrict(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     return tf.join(v, "term")
 
 
-def tfidf(tf: DataFrame, keys: Sequence[str], idf_from: DataFrame | None = None, materialize: bool = True
-          ) -> DataFrame:
+def tfidf(tf: DataFrame, keys: Sequence[str], idf_from: DataFrame | None = None, materialize: bool = True,
+          documents: DataFrame | None = None) -> DataFrame:
     """M1: ``w = tf * (ln((1 + N) / (1 + df)) + 1)`` divided by the document's L2 norm.
 
     ``idf_from`` (same shape as ``tf``) fits the idf on another corpus; terms it
-    lacks are dropped.  Output ``(keys..., term, tf, weight)`` rounded to 6 places.
+    lacks are dropped.  ``documents`` holds the keys of all documents the idf is
+    fitted on, those without a term included (N counts them).  Output ``(keys..., term, tf, weight)`` rounded to 6 places.
     ``tf`` feeds three branches (document count, document frequency, weights),
     so by default it is written once to the shared checkpoint folder instead
     of re-tokenizing the corpus per branch.
@@ -91,15 +100,15 @@ def tfidf(tf: DataFrame, keys: Sequence[str], idf_from: DataFrame | None = None,
             idf_from = cut_lineage(idf_from)
     fit = tf if idf_from is None else idf_from
     kfit = keys if idf_from is None else [c for c in fit.columns if c not in ("term", "tf", "term_index")]
-    n_docs = fit.select(*kfit).distinct().agg(F.count(F.lit(1))).scalar()
+    n_docs = _number_of(fit if documents is None else documents, kfit)
     idf = document_frequency(fit, kfit).select(
         "term", (F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
     # idf comes out of a shuffle, so AQE sees its real size and turns this into a
     # broadcast join only when it is small; no extra pass over the corpus to count it.
     w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return (w.join(norm, list(keys))
-            .select(*keys, "term", "tf", F.round(F.col("w") / F.col("norm"), 6).alias("weight")))
+    # One shuffle on the document: its squared weights are summed inside that partitioning.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return w.select(*keys, "term", "tf", F.round(F.col("w") / norm, 6).alias("weight"))
 
 
 def similar_documents(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, k: int) -> DataFrame:

@@ -36,15 +36,19 @@ def kmeans_dense(df: DataFrame, id_col: str, array_col: str, k: int = 8, max_ite
 
 
 def kmeans_text(tokens: DataFrame, id_col: str, tokens_col: str, k: int = 8, max_iter: int = 100, seed: int = 1,
-                vocab_size: int = 1 << 18, min_df: float = 1.0) -> tuple[DataFrame, object]:
-    """M5 on text: count vectors -> IDF -> L2 norm -> k-means (MLlib's idf is ln((N+1)/(df+1)))."""
+                num_features: int = 1 << 16, min_doc_freq: int = 0) -> tuple[DataFrame, object]:
+    """M5 on text: hashed term counts -> IDF -> L2 norm -> k-means (MLlib's idf is ln((N+1)/(df+1))).
+
+    Terms are hashed to ``num_features`` slots, so no term is dropped and no vocabulary is held on the driver;
+    the k centres of that width bound its memory.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
     pipe = Pipeline(stages=[
-        CountVectorizer(inputCol=tokens_col, outputCol="tf", vocabSize=vocab_size, minDF=min_df),
-        IDF(inputCol="tf", outputCol="tfidf"),
+        HashingTF(inputCol=tokens_col, outputCol="tf", numFeatures=num_features),
+        IDF(inputCol="tf", outputCol="tfidf", minDocFreq=min_doc_freq),
         Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
         KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="features", predictionCol="cluster"),
     ])
@@ -60,10 +64,10 @@ def clustering_scores(assign: DataFrame, label: str = "label", cluster: str = "c
     Only the contingency table (labels x clusters cells) is aggregated further.
     """
     ct = assign.groupBy(label, cluster).agg(F.count(F.lit(1)).cast("double").alias("nck"))
-    whole = Window.partitionBy()  # over the contingency cells only
+    total = assign.agg(F.count(F.lit(1)).cast("double")).scalar()
     ct = (ct.withColumn("nc", F.sum("nck").over(Window.partitionBy(label)))
             .withColumn("nk", F.sum("nck").over(Window.partitionBy(cluster)))
-            .withColumn("n", F.sum("nck").over(whole))
+            .withColumn("n", total)
             .withColumn("first_c", F.row_number().over(Window.partitionBy(label).orderBy(cluster)) == 1)
             .withColumn("first_k", F.row_number().over(Window.partitionBy(cluster).orderBy(label)) == 1))
 
@@ -159,20 +163,24 @@ def lda_topics(tokens: DataFrame, tokens_col: str, k: int = 10, max_iter: int =
 
 # ---------------------------------------------------------------- M10 naive Bayes
 
-def naive_bayes_fit(counts: DataFrame, doc: str, label: str, smoothing: float = 1.0
-                    ) -> tuple[DataFrame, DataFrame]:
+def naive_bayes_fit(counts: DataFrame, doc: str, label: str, smoothing: float = 1.0,
+                    documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """M10 exact multinomial fit from ``(doc, label, term, tf)`` training rows.
 
+    ``documents`` (doc, label) names all training documents, so that those without a term count in the
+    priors; by default the documents of ``counts``.
+
     ``theta_ct = (T_ct + a) / (T_c + a V)`` with V the training vocabulary.
     Returns ``classes(label, log_prior, log_zero)`` (log theta of an unseen
     cell) and ``delta(label, term, delta)`` = log theta_ct - log_zero for seen
     cells only, so no labels x vocabulary grid is ever built.
     """
-    docs = counts.select(doc, label).distinct()
+    docs = (counts if documents is None else documents).select(doc, label).distinct()
     n = docs.agg(F.count(F.lit(1))).scalar()
     v = counts.select("term").distinct().agg(F.count(F.lit(1))).scalar()
     tc = counts.groupBy(label).agg(F.sum("tf").alias("tc"))
-    classes = (docs.groupBy(label).agg(F.count(F.lit(1)).alias("nd")).join(tc, label)
+    classes = (docs.groupBy(label).agg(F.count(F.lit(1)).alias("nd")).join(tc, label, "left")
+               .withColumn("tc", F.coalesce("tc", F.lit(0)))
                .select(label, F.log(F.col("nd") / n).alias("log_prior"),
                        F.log(F.lit(smoothing) / (F.col("tc") + F.lit(smoothing) * v)).alias("log_zero")))
     tct = counts.groupBy(label, "term").agg(F.sum("tf").alias("tct"))
@@ -208,14 +216,14 @@ def naive_bayes_predict(docs: DataFrame, counts: DataFrame, classes: DataFrame,
     return j.select(doc, best["l"].alias("predicted"), "scores")
 
 
-def naive_bayes_mllib(train: DataFrame, test: DataFrame, tokens_col: str, label: str, vocab_size: int = 1 << 18):
-    """M10 with MLlib: count vectors + multinomial NaiveBayes (smoothing 1)."""
+def naive_bayes_mllib(train: DataFrame, test: DataFrame, tokens_col: str, label: str, num_features: int = 1 << 20):
+    """M10 with MLlib: hashed term counts (no term is dropped) + multinomial NaiveBayes (smoothing 1)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.feature import HashingTF
 
     pipe = Pipeline(stages=[
-        CountVectorizer(inputCol=tokens_col, outputCol="features", vocabSize=vocab_size),
+        HashingTF(inputCol=tokens_col, outputCol="features", numFeatures=num_features),
         NaiveBayes(modelType="multinomial", smoothing=1.0, labelCol=label, featuresCol="features"),
     ])
     model = pipe.fit(train.withColumn(label, F.col(label).cast("double")))
@@ -231,7 +239,7 @@ def _seeded_uniform(seed: int, *cols) -> "F.Column":
 
 
 def nmf(x: DataFrame, doc: str, term: str, value: str, k: int = 10, alpha: float = 0.1, l1_ratio: float = 0.5,
-        max_iter: int = 30, seed: int = 1, eps: float = 1e-10) -> tuple[DataFrame, DataFrame, list[float]]:
+        tolerance: float = 1e-3, seed: int = 1, eps: float = 1e-10) -> tuple[DataFrame, DataFrame, list[float]]:
     """M7: minimise 1/2 |X - WH|^2 + a*l1 (|W|_1 + |H|_1) + a*(1-l1)/2 (|W|^2 + |H|^2) by multiplicative updates.
 
     ``x`` is sparse COO ``(doc, term, value)`` with value >= 0.  Long-format
@@ -239,6 +247,7 @@ def nmf(x: DataFrame, doc: str, term: str, value: str, k: int = 10, alpha: float
     k x vocabulary rows and is joined in after a size check.  All products are
     joins + grouped sums; each round is checkpointed and the objective (one
     number per round, computed from aggregates, zeros of X included) is returned.
+    Rounds go on until one lowers the objective by less than ``tolerance`` of it.
     """
     X = x.select(F.col(doc).alias("d"), F.col(term).alias("t"), F.col(value).cast("double").alias("x"))
     X = cut_lineage(X)
@@ -255,7 +264,7 @@ def nmf(x: DataFrame, doc: str, term: str, value: str, k: int = 10, alpha: float
     l1 = alpha * l1_ratio
     l2 = alpha * (1 - l1_ratio)
     history: list[float] = []
-    for _ in range(max_iter):
+    while len(history) < 2 or history[-2] - history[-1] > tolerance * abs(history[-2]):
         # --- H update
         wtx = X.join(W, "d").groupBy("c", "t").agg(F.sum(F.col("w") * F.col("x")).alias("num"))
         wtw = (W.alias("a").join(W.alias("b"), "d")
@@ -266,8 +275,7 @@ def nmf(x: DataFrame, doc: str, term: str, value: str, k: int = 10, alpha: float
                         .select("c", "t", (F.col("h") * F.coalesce("num", F.lit(0.0))
                                            / (F.col("den") + l1 + l2 * F.col("h") + eps)).alias("h")))
         # --- W update
-        hb, _ = bounded_broadcast(H, 50_000_000)
-        xht = X.join(hb, "t").groupBy("d", "c").agg(F.sum(F.col("x") * F.col("h")).alias("num"))
+        xht = X.join(H, "t")        # H is a written table: its size decides the join.groupBy("d", "c").agg(F.sum(F.col("x") * F.col("h")).alias("num"))
         hht = (H.alias("a").join(H.alias("b"), "t")
                .groupBy(F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.sum(F.col("a.h") * F.col("b.h")).alias("g")))
         whht = (W.withColumnRenamed("c", "i").join(F.broadcast(hht), "i")

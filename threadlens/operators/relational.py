@@ -227,7 +227,7 @@ def corpus_joined_length(df: DataFrame, text: str = "post_text") -> DataFrame:
 
 
 # Registry of named statistics for the matrix (A8): name -> aggregate over (key, post_id, user_id).
-def stat_registry(user_id: int = 114997) -> dict[str, Column]:
+def stat_registry(user_id: int) -> dict[str, Column]:
     return {
         "post_count": F.count("post_id"),
         "unique_posters": F.countDistinct("user_id"),
@@ -235,10 +235,9 @@ def stat_registry(user_id: int = 114997) -> dict[str, Column]:
     }
 
 
-def stat_matrix(topic_threads: DataFrame, posts: DataFrame, stats: dict[str, Column] | None = None,
+def stat_matrix(topic_threads: DataFrame, posts: DataFrame, stats: dict[str, Column],
                 keys: list[str] | None = None) -> DataFrame:
     """rows = statistics, columns = topic keys; one aggregate pass instead of one scan per cell."""
-    stats = stats or stat_registry()
     j = topic_threads.join(posts.select("thread_id", "post_id", "user_id"), "thread_id", "left")
     wide = j.groupBy("key").agg(*[v.cast("bigint").alias(k) for k, v in stats.items()])
     long = wide.unpivot("key", list(stats), "stat", "value")

@@ -9,6 +9,7 @@ from threadlens.plans.oracle_sql import with_ctes
 from threadlens.plans.q_relational import sql_clean_post
 from threadlens.plans.q_text import NEG_SQL, STOP_WORDS, _sql_list, _TOKS
 from threadlens.plans.registry import register
+from threadlens.session import cut_lineage
 from threadlens.sources.forum import ForumTables
 
 MIN_DF = 2
@@ -26,10 +27,10 @@ def _sql_terms(text: str, stop: bool = True) -> str:
     return f"list_filter({base}, lambda x: not list_contains({_STOP}, x))" if stop else base
 
 
-def _sql_tfidf(tf: str, keys: str) -> list[str]:
-    """CTEs turning a tf relation (keys, term, tf) into weights ``wt``."""
+def _sql_tfidf(tf: str, keys: str, documents: str = "documents") -> list[str]:
+    """CTEs turning a tf relation (keys, term, tf) into weights ``wt``; N counts all ``documents``."""
     return [
-        f"nd as (select count(*) as n from (select distinct {keys} from {tf}) x)",
+        f"nd as (select count(*) as n from (select distinct {keys} from {documents}) x)",
         f"dfq as (select term, count(*) as df from {tf} group by term)",
         f"wr as (select {tf}.*, {tf}.tf * (ln((1 + nd.n) / (1 + dfq.df)) + 1) as w from {tf} join dfq using (term), nd)",
         f"nr as (select {keys}, sqrt(sum(w * w)) as nrm from wr group by {keys})",
@@ -47,13 +48,13 @@ def _t(spark, sf_dir):
 M1_SQL = with_ctes("select thread_id, user_id, term, tf, weight from wt", "posts", extra=[
     f"occ as (select thread_id, user_id, unnest({_sql_terms('post_text')}) as term from posts)",
     "tfr as (select thread_id, user_id, term, count(*) as tf from occ group by thread_id, user_id, term)",
-] + _sql_tfidf("tfr", "thread_id, user_id"))
+] + _sql_tfidf("tfr", "thread_id, user_id", "posts"))
 
 
 def user_doc_tfidf(posts):
     keys = ["thread_id", "user_id"]
     tf = FE.term_counts(FE.term_occurrences(posts, keys, "post_text", STOP_WORDS), keys)
-    return FE.tfidf(tf, keys)
+    return FE.tfidf(tf, keys, documents=posts)
 
 
 @register("m1_tfidf", M1_SQL)
@@ -68,7 +69,7 @@ _DOC_TF = [
     "dtf as (select doc_id, term, count(*) as tf from docc group by doc_id, term)",
 ]
 _VOCAB = _DOC_TF + [
-    "ndocs as (select count(*) as n from (select distinct doc_id from dtf) x)",
+    "ndocs as (select count(*) as n from documents)",
     f"""vocab as (select term, df, cnt, row_number() over (order by term) - 1 as term_index from (
           select term, count(*) as df, sum(tf) as cnt from dtf group by term
           having count(*) >= {MIN_DF} and count(*) <= {MAX_DF} * (select n from ndocs)
@@ -81,20 +82,24 @@ def _doc_tf(spark, sf_dir):
     return FE.term_counts(FE.term_occurrences(docs, ["doc_id"], "text", STOP_WORDS), ["doc_id"])
 
 
-def _vocab(tf):
-    return FE.vocabulary(tf, ["doc_id"], MIN_DF, MAX_DF, MAX_FEATURES)
+def _all_docs(spark, sf_dir):
+    return _t(spark, sf_dir).raw("documents").select("doc_id")
+
+
+def _vocab(tf, documents):
+    return FE.vocabulary(tf, ["doc_id"], MIN_DF, MAX_DF, MAX_FEATURES, documents)
 
 
 @register("m2_vocabulary", with_ctes("select term, df, cnt, term_index from vocab", extra=_VOCAB))
 def m2v(spark, sf_dir):
-    return _vocab(_doc_tf(spark, sf_dir))
+    return _vocab(_doc_tf(spark, sf_dir), _all_docs(spark, sf_dir))
 
 
 @register("m2_count_vectors", with_ctes(
     "select dtf.doc_id, vocab.term_index, dtf.tf from dtf join vocab using (term)", extra=_VOCAB))
 def m2c(spark, sf_dir):
-    tf = _doc_tf(spark, sf_dir)
-    return FE.restrict(tf, _vocab(tf)).select("doc_id", "term_index", "tf")
+    tf = cut_lineage(_doc_tf(spark, sf_dir))
+    return FE.restrict(tf, _vocab(tf, _all_docs(spark, sf_dir))).select("doc_id", "term_index", "tf")
 
 
 M3_CTES = _VOCAB + ["rtf as (select dtf.doc_id, dtf.term, dtf.tf from dtf join vocab using (term))"] + \
@@ -102,9 +107,10 @@ M3_CTES = _VOCAB + ["rtf as (select dtf.doc_id, dtf.term, dtf.tf from dtf join v
 
 
 def _m3(spark, sf_dir):
-    tf = _doc_tf(spark, sf_dir)
-    r = FE.restrict(tf, _vocab(tf)).select("doc_id", "term", "tf")
-    return FE.tfidf(r, ["doc_id"])
+    tf = cut_lineage(_doc_tf(spark, sf_dir))
+    docs = _all_docs(spark, sf_dir)
+    r = FE.restrict(tf, _vocab(tf, docs)).select("doc_id", "term", "tf")
+    return FE.tfidf(r, ["doc_id"], documents=docs)
 
 
 @register("m3_tfidf_limited", with_ctes("select doc_id, term, tf, weight from wt", extra=M3_CTES))
@@ -142,7 +148,7 @@ select doc_id, term, tf, weight from wt"""
 def m4(spark, sf_dir):
     docs = _t(spark, sf_dir).raw("documents").select("doc_id", T.clean_post("text", 4).alias("clean_text"))
     tf = FE.term_counts(FE.negation_terms(docs, "doc_id", "clean_text"), ["doc_id"])
-    return FE.tfidf(tf, ["doc_id"])
+    return FE.tfidf(tf, ["doc_id"], documents=docs)
 
 
 # ---------------------------------------------------------------- M11
@@ -166,9 +172,9 @@ M11_SQL = with_ctes(
 @register("m11_similar_documents", M11_SQL)
 def m11(spark, sf_dir):
     t = _t(spark, sf_dir)
-    ctf = _doc_tf(spark, sf_dir)
-    corpus = FE.tfidf(ctf, ["doc_id"])
+    ctf, docs = cut_lineage(_doc_tf(spark, sf_dir)), _all_docs(spark, sf_dir)
+    corpus = FE.tfidf(ctf, ["doc_id"], materialize=False, documents=docs)
     bench = t.raw("benchmark").select("item_id", "text")
     qtf = FE.term_counts(FE.term_occurrences(bench, ["item_id"], "text", STOP_WORDS), ["item_id"])
-    queries = FE.tfidf(qtf, ["item_id"], idf_from=ctf)
+    queries = FE.tfidf(qtf, ["item_id"], idf_from=ctf, materialize=False, documents=docs)
     return FE.similar_documents(queries, corpus, "item_id", "doc_id", TOP_K)

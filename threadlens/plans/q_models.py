@@ -8,9 +8,10 @@ from threadlens.functions import text as T
 from threadlens.operators import features as FE
 from threadlens.operators import models as MO
 from threadlens.operators import relational as R
-from threadlens.plans.q_features import MAX_FEATURES, _TERMS, _m3, _vocab, _doc_tf
+from threadlens.plans.q_features import MAX_FEATURES, _TERMS, _all_docs, _doc_tf, _m3, _vocab
 from threadlens.plans.q_text import STOP_WORDS
 from threadlens.plans.registry import register
+from threadlens.session import cut_lineage
 from threadlens.sources.forum import ForumTables
 
 N_AXES = 8
@@ -97,9 +98,9 @@ def m6s(spark, sf_dir):
 @register("m7_nmf_topics")
 def m7(spark, sf_dir):
     w = _m3(spark, sf_dir)
-    vocab = _vocab(_doc_tf(spark, sf_dir)).select("term", "term_index")
+    vocab = cut_lineage(_vocab(cut_lineage(_doc_tf(spark, sf_dir)), _all_docs(spark, sf_dir)).select("term", "term_index"))
     x = w.join(vocab, "term").select("doc_id", "term_index", "weight")
-    _, H, _hist = MO.nmf(x, "doc_id", "term_index", "weight", k=10, alpha=0.1, l1_ratio=0.5, max_iter=10, seed=1)
+    _, H, _hist = MO.nmf(x, "doc_id", "term_index", "weight", k=10, alpha=0.1, l1_ratio=0.5, seed=1)
     topics = H.join(vocab, "term_index").select("component", "term", F.round("h", 6).alias("weight"))
     return FE.top_terms(topics, "component", 10)
 
@@ -120,7 +121,9 @@ def _nb_counts(spark, sf_dir):
     docs = t.raw("documents").select("doc_id", "text")
     occ = FE.term_occurrences(docs, ["doc_id"], "text")
     tf = FE.term_counts(occ, ["doc_id"])
-    return tf.join(labels, "doc_id").withColumnRenamed("quality", "label")
+    counts = tf.join(labels, "doc_id").withColumnRenamed("quality", "label")
+    every = docs.select("doc_id").join(labels, "doc_id").withColumnRenamed("quality", "label")
+    return counts, every
 
 
 @register("m10_naive_bayes", f"""
@@ -133,16 +136,18 @@ cnt as (select d.doc_id, sp.label, sp.split, d.term, count(*) as tf
         from (select doc_id, unnest({_TERMS.format(t='text')}) as term from documents) d join sp using (doc_id)
         group by d.doc_id, sp.label, sp.split, d.term),
 tr as (select * from cnt where split = 'train'),
-nn as (select count(distinct doc_id) as n from tr),
+every as (select sp.* from sp join documents using (doc_id)),
+nn as (select count(*) as n from every where split = 'train'),
 vv as (select count(distinct term) as v from tr),
 classes as (select label, ln(nd / nn.n) as log_prior, ln(1.0 / (tc + vv.v)) as log_zero
-            from (select label, count(distinct doc_id) as nd, sum(tf) as tc from tr group by label) c, nn, vv),
+            from (select label, count(*) as nd from every where split = 'train' group by label) c
+                 join (select label, sum(tf) as tc from tr group by label) s using (label), nn, vv),
 delta as (select label, term, ln(sum(tf) + 1.0) as delta from tr group by label, term),
 te as (select doc_id, term, tf from cnt where split = 'test' and term in (select term from delta)),
 tot as (select doc_id, sum(tf) as n_terms from te group by doc_id),
 seen as (select te.doc_id, delta.label, sum(te.tf * delta.delta) as d from te join delta using (term)
          group by te.doc_id, delta.label),
-docs as (select distinct doc_id from cnt where split = 'test'),
+docs as (select doc_id from every where split = 'test'),
 sc as (select docs.doc_id, c.label, c.log_prior + c.log_zero * coalesce(tot.n_terms, 0) + coalesce(seen.d, 0) as score
        from docs cross join classes c left join tot on tot.doc_id = docs.doc_id
        left join seen on seen.doc_id = docs.doc_id and seen.label = c.label)
@@ -151,11 +156,11 @@ select doc_id, arg_max(label, (score, -label)) as predicted,
        round(max(case when label = 1 then score end), 6) as score_1
 from sc group by doc_id""")
 def m10(spark, sf_dir):
-    c = _nb_counts(spark, sf_dir)
+    c, every = _nb_counts(spark, sf_dir)
     train = c.where(F.col("split") == "train").select("doc_id", "label", "term", "tf")
     test = c.where(F.col("split") == "test").select("doc_id", "term", "tf")
-    classes, delta = MO.naive_bayes_fit(train, "doc_id", "label")
-    pred = MO.naive_bayes_predict(test.select("doc_id"), test, classes, delta, "doc_id", "label")
+    classes, delta = MO.naive_bayes_fit(train, "doc_id", "label", documents=every.where(F.col("split") == "train"))
+    pred = MO.naive_bayes_predict(every.where(F.col("split") == "test").select("doc_id"), test, classes, delta, "doc_id", "label")
 
     def score(lbl):
         return F.round(F.filter("scores", lambda s: s["label"] == lbl)[0]["score"], 6)

@@ -167,10 +167,12 @@ def d3(spark, sf_dir):
 
 
 @register("d4_release_cutoff", with_ctes(
-    "select key, cast(release_date + interval 14 day as date) as cutoff from topic_release", "topic_release"))
+    "select thread_id, key, cast(release_date + interval 14 day as date) as cutoff from topic_threads "
+    "join topic_release using (key)", "posts", "topic_threads", "topic_release"))
 def d4(spark, sf_dir):
-    rel = ForumTables(spark, sf_dir).topic_release
-    return rel.select("key", D.release_cutoff("release_date").alias("cutoff"))
+    t = ForumTables(spark, sf_dir)
+    rel = t.topic_threads.join(t.topic_release, "key")
+    return rel.select("thread_id", "key", D.release_cutoff("release_date").alias("cutoff"))
 
 
 # ---------------------------------------------------------------- D5-D11
@@ -198,12 +200,19 @@ def d5(spark, sf_dir):
 
 
 @register("d6_thread_id_attr", with_ctes(
-    "select thread_id, try_cast(nullif(regexp_extract('thread' || cast(thread_id as varchar), '(\\d{7})', 1), '') as bigint) "
-    "as parsed from threads", "threads"))
+    """select src, id, id as parsed from (select 'thread' as src, thread_id as id from threads
+       union all select 'post', post_id * 10 + 10000000 from posts
+       union all select 'user', 100000 + user_id from (select distinct user_id from posts) u) x""",
+    "threads", "posts"))
 def d6(spark, sf_dir):
-    th = ForumTables(spark, sf_dir).threads
-    return th.select("thread_id", D.thread_id_from_attr(F.concat(F.lit("thread"), F.col("thread_id").cast("string")))
-                     .alias("parsed"))
+    """Ids of six, seven and eight digits and more, in the markup's form."""
+    t = ForumTables(spark, sf_dir)
+    ids = (t.threads.select(F.lit("thread").alias("src"), F.col("thread_id").alias("id"))
+           .unionByName(t.posts.select(F.lit("post").alias("src"), (F.col("post_id") * 10 + 10000000).alias("id")))
+           .unionByName(t.posts.select("user_id").distinct().select(F.lit("user").alias("src"),
+                                                                    (F.col("user_id") + 100000).alias("id"))))
+    attr = F.concat(F.lit("thread"), F.col("id").cast("string"))
+    return ids.select("src", "id", D.thread_id_from_attr(attr).alias("parsed"))
 
 
 @register("d7_first_digits", "select page_id, try_cast(nullif(regexp_extract(url, '(\\d+)', 1), '') as bigint) as digits from pages")

@@ -58,9 +58,14 @@ def thread_posts(posts: DataFrame, thread_id: int) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One document per line with a stable id (sha2 of the text + file + position-free)."""
+    """One document per line.
+
+    ``line_id`` tells equal lines apart (unique in the read, the same for the same files and split sizes);
+    ``doc_key`` is a hash of the text, for de-duplication.
+    """
     df = spark.read.text(path)
-    return df.select(F.sha2(F.col("value"), 256).alias("doc_key"), F.col("value").alias("text"))
+    return df.select(F.monotonically_increasing_id().alias("line_id"), F.sha2(F.col("value"), 256).alias("doc_key"),
+                     F.col("value").alias("text"))
 
 
 def read_polarities(spark: SparkSession, path: str) -> DataFrame:
@@ -186,7 +191,7 @@ def dedupe_latest(df: DataFrame, key: str = "post_id", order_by: list[str] | Non
     order_by = order_by or ["post_timestamp"]
     cols = [c for c in df.columns]
     rank = F.struct(*[F.col(c) for c in order_by], *[F.col(c) for c in cols if c not in order_by and
-                                                     not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType))])
+                                                     not isinstance(df.schema[c].dataType, T.MapType)])
     best = df.groupBy(key).agg(F.max_by(F.struct(*cols), rank).alias("_r"))
     return best.select("_r.*")
 
