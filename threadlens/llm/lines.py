@@ -226,9 +226,10 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     first = (line_places(docs).where("doc_id IS NOT NULL").join(wanted, "line")
              .groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("p")).select("line", "p.*"))
     lists = first.groupBy("doc_id").agg(F.collect_list(F.struct("line", "number")).alias("list"))
-    rows = docs.dropDuplicates(["doc_id"]).join(lists, "doc_id")
+    rows = docs.join(lists.hint("merge"), "doc_id")     # the texts move, at every size
     return (rows.select(F.split("_text", "\n").alias("l"), F.explode("list").alias("e"))
-            .select("e.line", F.btrim(F.get("l", F.col("e.number").cast("int")), F.lit(_TRIM)).alias("body")))
+            .select("e.line", F.btrim(F.get("l", F.col("e.number").cast("int")), F.lit(_TRIM)).alias("body"))
+            .where("body IS NOT NULL"))
 
 
 def line_duplicates(docs: DataFrame, tau: int = 2, min_chars: int = 30, id_col: str = "doc_id",
@@ -241,7 +242,7 @@ def line_duplicates(docs: DataFrame, tau: int = 2, min_chars: int = 30, id_col:
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     places = cut_lineage(line_places(src))
     first = cut_lineage(places.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first")))
-    links = cut_lineage(near_lines(src, tau, min_chars))
+    links = cut_lineage(near_lines(src, tau, min_chars).distinct())
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = ends.join(first.select(F.col("line").alias("b"), F.col("first").alias("other")), "b")
     linked = other.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.min("other").alias("before"))

@@ -209,7 +209,7 @@ def loss_differences(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 1
     """Score every text of ``docs``; the texts named by ``target_ids`` (column ``id_col``) are the target."""
     ids = target_ids.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
     corpus = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    flagged = corpus.join(ids.withColumn("_is_target", F.lit(True)), F.col(id_col) == F.col("_id"), "left")
+    flagged = corpus.join(ids.withColumn("_is_target", F.lit(True)).hint("merge"), F.col(id_col) == F.col("_id"), "left")
     flagged = flagged.select(id_col, "text", F.coalesce("_is_target", F.lit(False)).alias("_is_target"))
     target = cut_lineage(flagged.where("_is_target").select("text"))
     return score(flagged, *fit(corpus, target, vocabulary, bits), strength, id_col)

@@ -167,7 +167,7 @@ def _occurrences(docs: DataFrame, width: int, id_type: str) -> DataFrame:
 def _context_words(docs: DataFrame, wanted: DataFrame, width: int, id_type: str) -> DataFrame:
     """``anchor, context, doc_id, hot, words`` (word hashes) of the wanted contexts, read from their texts."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "context", "at", "n", "hot")).alias("list"))
-    rows = docs.dropDuplicates(["doc_id"]).join(lists, "doc_id")
+    rows = docs.join(lists.hint("merge"), "doc_id")     # the texts move, at every size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +253,7 @@ def removed_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     """``doc_id, windows``: first words of all windows that also start in a text with a smaller id."""
     id_type = dict(docs.dtypes)["doc_id"]
     docs = docs.where("doc_id IS NOT NULL")
-    every = cut_lineage(_occurrences(docs, width, id_type))
+    every = _occurrences(docs, width, id_type)      # cheaper to compute twice than to write
     shared = cut_lineage(every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                          .where("lo != hi").select("anchor"))
     every = cut_lineage(every.join(shared, "anchor"))
@@ -293,7 +293,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     """``doc_id, n_words, n_removed, kept`` (the kept words, joined by one space) of every row."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     id_type = dict(src.dtypes)["doc_id"]
-    rows = src.join(removed_windows(src, width), "doc_id", "left")
+    rows = src.join(removed_windows(src, width).hint("merge"), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
