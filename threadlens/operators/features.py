@@ -15,10 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadlens.functions import text as T
-from threadlens.session import bounded_broadcast
 
-VOCAB_BROADCAST_ROWS = 2_000_000
-QUERY_BROADCAST_ROWS = 5_000_000
 
 
 def term_occurrences(df: DataFrame, keys: Sequence[str], text: str, stop_words: Iterable[str] | None = None
@@ -76,8 +73,8 @@ def vocabulary(tf: DataFrame, keys: Sequence[str], min_df: int = 1, max_df: floa
 
 
 def restrict(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Keep only vocabulary terms (vocabulary broadcast after a size check)."""
-    v, _ = bounded_broadcast(vocab.select("term", "term_index"), VOCAB_BROADCAST_ROWS)
+    """Keep only vocabulary terms (the join follows the vocabulary's measured size)."""
+    v = vocab.select("term", "term_index")
     return tf.join(v, "term")
 
 
@@ -115,14 +112,12 @@ def similar_documents(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: st
     """Top-``k`` corpus documents by cosine for each query document (exact).
 
     Both sides are L2-normalised TF-IDF in COO form ``(key, term, weight)``.
-    The query side is broadcast after its size is checked, so the corpus is
-    scanned once and joined map-side on term; partial sums per (query, doc)
-    are combined before the shuffle and the top-k per query is a windowed
-    limit (Spark applies it per partition before the final sort).  Without
-    the bound the same plan runs as a shuffle join.
+    The two sides meet on the term (map-side where adaptive execution finds the
+    query side small); partial sums per (query, doc) are combined before the
+    shuffle and the top-k per query is a windowed limit (Spark applies it per
+    partition before the final sort).
     """
-    q, _ = bounded_broadcast(queries.select(F.col(qkey).alias("q"), "term", F.col("weight").alias("wq")),
-                             QUERY_BROADCAST_ROWS)
+    q = queries.select(F.col(qkey).alias("q"), "term", F.col("weight").alias("wq"))
     c = corpus.select(F.col(ckey).alias("d"), "term", F.col("weight").alias("wd"))
     # rounded before ranking so that equal documents (copies) tie exactly and fall back to the id order
     scores = (c.join(q, "term").groupBy("q", "d").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias("cosine")))

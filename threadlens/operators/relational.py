@@ -14,11 +14,9 @@ from pyspark.sql.window import Window
 
 from threadlens.functions import text as T
 from threadlens.functions import ids as D
-from threadlens.session import bounded_broadcast
 
 DEFAULT_SEED = 42
 # Lookup frames below this many rows are broadcast; bigger ones are shuffle-joined.
-SMALL_TABLE_ROWS = 100_000
 
 
 def seeded_hash(seed: int, c) -> Column:
@@ -51,11 +49,11 @@ def posts_of_threads(posts: DataFrame, thread_ids: DataFrame | Iterable[int]) ->
     """Posts of a set of threads (bag union of per-thread lists as one scan).
 
     A literal list becomes an ``isin`` filter (pushed to the scan); a frame is a
-    semi-join, broadcast only when its size is proven small.
+    semi-join (adaptive execution broadcasts it if its measured size is small).
     """
     if not isinstance(thread_ids, DataFrame):
         return posts.where(F.col("thread_id").isin(*_ids(thread_ids)))
-    ids, _ = bounded_broadcast(thread_ids.select("thread_id").distinct(), SMALL_TABLE_ROWS)
+    ids = thread_ids.select("thread_id").distinct()
     return posts.join(ids, "thread_id", "left_semi")
 
 
@@ -96,10 +94,10 @@ def thread_dataset(posts: DataFrame, topic_threads: DataFrame, topic_release: Da
                    min_chars: int = 20, days: int = D.RELEASE_OFFSET_DAYS) -> DataFrame:
     """P10: posts at least ``days`` after their topic's release, URL tokens removed, >= ``min_chars``.
 
-    ``topic_threads``/``topic_release`` are keyed lookups; they are broadcast
-    only after their size is proven small.
+    ``topic_threads``/``topic_release`` are keyed lookups; adaptive execution
+    broadcasts them if their measured size is small.
     """
-    rel, _ = bounded_broadcast(topic_threads.join(topic_release, "key"), SMALL_TABLE_ROWS)
+    rel = topic_threads.join(topic_release, "key")
     p = posts.join(rel, "thread_id")
     text = T._spaced_without_urls("post_text")
     return (p.where(F.col("post_timestamp") >= D.release_cutoff("release_date", days).cast("timestamp"))
@@ -304,7 +302,7 @@ def seeded_split(df: DataFrame, id_col: str, label_col: str, seed: int = DEFAULT
     offsets = sizes.select(label_col, "_b",
                            F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_before"),
                            F.sum("_bn").over(wt).alias("_n"))
-    offsets, _ = bounded_broadcast(offsets, 1_000_000)
+    offsets = offsets
     w = Window.partitionBy(label_col, "_b").orderBy("_h", id_col)
     ranked = d.join(offsets, [label_col, "_b"]).withColumn("_rn", F.col("_before") + F.row_number().over(w))
     return (ranked.withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") / 2), F.lit("train"))

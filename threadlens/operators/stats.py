@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
 from threadlens.operators.graph import quote_edges
-from threadlens.session import bounded_broadcast
 
 
 def quotes_received(posts: DataFrame, exclude_self: bool = True) -> DataFrame:
@@ -56,12 +55,12 @@ def most_oblivious_user(posts: DataFrame, min_posts: int = 10, exclude_self: boo
 def cuss_counts(posts: DataFrame, cusses: DataFrame | Iterable[str]) -> DataFrame:
     """Per user, occurrences of lexicon words (lower-case terms); users without any get 0.
 
-    The word list is a small table, broadcast after its size is checked.
+    The word list is a small table; its measured size decides the join.
     """
     spark = posts.sparkSession
     if not isinstance(cusses, DataFrame):
         cusses = spark.createDataFrame([(w,) for w in cusses], "token string")
-    lex, _ = bounded_broadcast(cusses.select(F.lower("token").alias("token")).distinct(), 1_000_000)
+    lex = cusses.select(F.lower("token").alias("token")).distinct()
     toks = posts.select("user_id", F.explode(T.terms("post_text")).alias("token"))
     c = toks.join(lex, "token", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("cusses"))
     users = posts.select("user_id").distinct()

@@ -93,6 +93,13 @@ def m6s(spark, sf_dir):
     return MO.silhouette_sq(pts, "vec_id", "embedding", "cluster")
 
 
+@register("m5_kmeans_text")
+def m5t(spark, sf_dir):
+    """k-means on the TF-IDF of whole texts: cluster sizes' members as ``(doc_id, cluster)``."""
+    docs = _t(spark, sf_dir).raw("documents").select("doc_id", T.terms("text", STOP_WORDS).alias("tokens"))
+    return MO.kmeans_text(docs, "doc_id", "tokens", k=8, max_iter=20, num_features=1 << 14, seed=1)[0]
+
+
 # ---------------------------------------------------------------- M7 / M8
 
 @register("m7_nmf_topics")
