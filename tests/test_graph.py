@@ -93,6 +93,20 @@ def test_components_and_shapes(spark):
     assert len(by_sig) == 4
 
 
+def test_long_path_is_one_component(spark):
+    n = 5000
+    v = spark.range(n).selectExpr("1L as thread_id", "lpad(id, 5, '0') as node")
+    e = spark.range(n - 1).selectExpr("1L as thread_id", "lpad(id, 5, '0') as u", "lpad(id + 1, 5, '0') as v")
+    assert G.connected_components(v, e).select("component").distinct().count() == 1
+
+
+def test_triangles(spark):
+    e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "a", "c"), (1, "c", "d"), (1, "b", "d"), (2, "a", "b")],
+                              "thread_id long, u string, v string")
+    assert {r.thread_id: r.n for r in G.triangles(e).groupBy("thread_id").agg({"triangles": "sum"})
+            .withColumnRenamed("sum(triangles)", "n").collect()} == {1: 2}
+
+
 def test_dot_round_trip(spark, tmpdir_path):
     e = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "thread_id long, u string, v string")
     G.write_dot(e, tmpdir_path + "/dot")

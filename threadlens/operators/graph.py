@@ -256,27 +256,47 @@ def component_counts(components: DataFrame, key: str = "thread_id") -> DataFrame
 
 # ---------------------------------------------------------------- G14 / G15
 
+def triangles(edges: DataFrame, key: str = "thread_id") -> DataFrame:
+    """Triangles by their node of least rank: ``(key, u, triangles)``; ``edges`` are simple and undirected.
+
+    Edges point from the end of lower degree to the other one (ties by name), so a node starts at most
+    sqrt(2 * edges) of them, and the wedges of a hub are not built.
+    """
+    e = edges.where(F.col("u") != F.col("v"))
+    both = e.select(key, "u", "v").unionAll(e.select(key, F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    deg = both.groupBy(key, "u").agg(F.count(F.lit(1)).alias("d"))
+    ranked = (both.join(deg, [key, "u"])
+              .join(deg.select(key, F.col("u").alias("v"), F.col("d").alias("dv")), [key, "v"]))
+    up = ranked.where((F.col("d") < F.col("dv")) | ((F.col("d") == F.col("dv")) & (F.col("u") < F.col("v"))))
+    up = up.select(key, "u", "v")
+    wedge = (up.join(up.select(key, "u", F.col("v").alias("w")), [key, "u"]).where(F.col("v") < F.col("w")))
+    closed = wedge.join(both.select(key, F.col("u").alias("v"), F.col("v").alias("w")), [key, "v", "w"])
+    return closed.groupBy(key, "u").agg(F.count(F.lit(1)).alias("triangles"))
+
+
 def shape_classes(components: DataFrame, edges: DataFrame, key: str = "thread_id") -> DataFrame:
     """Keep one component per "could be isomorphic" class.
 
-    Signature = (nodes, edges, sorted degree sequence); two components with
-    different signatures are never isomorphic, equal signatures may be.  This
-    is weaker than the reference's invariant test (no triangle/clique counts,
-    which would need wedge enumeration); the representative is the smallest
-    (graph, component).
+    Signature = (nodes, edges, triangles, degree histogram); two components
+    with different signatures are never isomorphic, equal signatures may be.
+    The representative is the smallest (graph, component).
     """
     deg = degrees(components.select(key, "node"), edges, key)
     nodes = components.join(deg, [key, "node"])
     comp_of_u = components.select(key, F.col("node").alias("u"), "component")
     m = edges.join(comp_of_u, [key, "u"]).groupBy(key, "component").agg(F.count(F.lit(1)).alias("n_edges"))
-    sig = (nodes.groupBy(key, "component")
-           .agg(F.count(F.lit(1)).alias("n_nodes"),
-                F.array_join(F.transform(F.sort_array(F.collect_list("degree")), lambda x: x.cast("string")), ",")
-                .alias("degree_seq"))
-           .join(m, [key, "component"], "left")
-           .withColumn("n_edges", F.coalesce("n_edges", F.lit(0))))
-    sig = sig.withColumn("signature", F.concat_ws("|", F.col("n_nodes").cast("string"),
-                                                  F.col("n_edges").cast("string"), "degree_seq"))
+    tri = (triangles(edges, key).join(comp_of_u, [key, "u"])
+           .groupBy(key, "component").agg(F.sum("triangles").alias("n_triangles")))
+    # The histogram has as many entries as there are different degrees, whatever the number of nodes.
+    hist = nodes.groupBy(key, "component", "degree").agg(F.count(F.lit(1)).alias("c"))
+    sig = (hist.groupBy(key, "component")
+           .agg(F.sum("c").alias("n_nodes"),
+                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("degree", "c"))),
+                                         lambda x: F.concat_ws(":", x["degree"].cast("string"), x["c"].cast("string"))),
+                             ",").alias("degrees"))
+           .join(m, [key, "component"], "left").join(tri, [key, "component"], "left"))
+    counts = [F.coalesce(c, F.lit(0)).cast("string") for c in ("n_nodes", "n_edges", "n_triangles")]
+    sig = sig.withColumn("signature", F.concat_ws("|", *counts, "degrees"))
     return (sig.groupBy("signature")
             .agg(F.min(F.struct(key, "component")).alias("rep"), F.count(F.lit(1)).alias("class_size"))
             .select("signature", F.col(f"rep.{key}").alias(key), F.col("rep.component").alias("component"),
@@ -291,14 +311,17 @@ def dot_lines(edges: DataFrame, key: str = "thread_id") -> DataFrame:
     return edges.select(key, F.concat(F.col("u").cast("string"), F.lit(DOT_EDGE), F.col("v").cast("string")).alias("line"))
 
 
-def write_dot(edges: DataFrame, path: str, key: str = "thread_id", mode: str = "overwrite") -> None:
-    """G15 sink: text files of edge lines, one folder per graph."""
-    dot_lines(edges, key).write.mode(mode).partitionBy(key).text(path)
+def write_dot(edges: DataFrame, path: str, key: str = "thread_id", mode: str = "overwrite", buckets: int = 64) -> None:
+    """G15 sink: edge lines behind their graph's key and a tab, one folder per bucket of graphs."""
+    lines = dot_lines(edges, key).select(
+        F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"),
+        F.concat_ws("\t", F.col(key).cast("string"), "line").alias("value"))
+    lines.repartition("bucket").write.mode(mode).partitionBy("bucket").text(path)
 
 
 def read_dot(spark, path: str, key: str = "thread_id") -> DataFrame:
     """G15 reader: edge lines back to ``(key, u, v)``."""
     df = spark.read.text(path)
-    return df.select(F.col(key).cast("bigint").alias(key) if key in df.columns else F.lit(None).alias(key),
-                     F.regexp_extract("value", r"^(.*) -- (.*)$", 1).alias("u"),
-                     F.regexp_extract("value", r"^(.*) -- (.*)$", 2).alias("v"))
+    pattern = r"^([^\t]*)\t(.*) -- (.*)$"
+    return df.select(F.regexp_extract("value", pattern, 1).cast("bigint").alias(key),
+                     F.regexp_extract("value", pattern, 2).alias("u"), F.regexp_extract("value", pattern, 3).alias("v"))

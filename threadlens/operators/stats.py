@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
+from threadlens.session import broadcast_if_small
 from threadlens.operators.graph import quote_edges
 
 
@@ -60,7 +61,7 @@ def cuss_counts(posts: DataFrame, cusses: DataFrame | Iterable[str]) -> DataFram
     spark = posts.sparkSession
     if not isinstance(cusses, DataFrame):
         cusses = spark.createDataFrame([(w,) for w in cusses], "token string")
-    lex = cusses.select(F.lower("token").alias("token")).distinct()
+    lex = broadcast_if_small(cusses.select(F.lower("token").alias("token")).distinct())
     toks = posts.select("user_id", F.explode(T.terms("post_text")).alias("token"))
     c = toks.join(lex, "token", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("cusses"))
     users = posts.select("user_id").distinct()

@@ -42,6 +42,13 @@ def s5(spark, sf_dir):
                                args={"f": FORUM}, posts=_t(spark, sf_dir).posts)
 
 
+@register("s5_first_column", with_ctes(
+    f"select post_id from posts where forum_id = {FORUM} and thread_page = 1", "posts"))
+def s5l(spark, sf_dir):
+    return IO.sql_first_column(spark, "SELECT post_id, user_id FROM {posts} WHERE forum_id = :f AND thread_page = 1",
+                               args={"f": FORUM}, posts=_t(spark, sf_dir).posts)
+
+
 @register("s6_thread_posts", with_ctes(
     f"select post_id, user_id, thread_page from posts where thread_id = {THREAD}", "posts"))
 def s6(spark, sf_dir):
@@ -152,6 +159,14 @@ def k8(spark, sf_dir):
     return IO.thread_post_json_rows(_t(spark, sf_dir).posts)
 
 
+@register("k8_thread_documents", with_ctes(
+    f"""select thread_id, forum_id, '{{"thread_id":"' || thread_id || '","forum_id":"' || forum_id || '","posts":[' ||
+        string_agg({_POST_BODY_SQL % 'post_text'}::varchar, ',' order by post_id) || ']}}' as document
+        from posts group by thread_id, forum_id""", "posts"))
+def k8d(spark, sf_dir):
+    return IO.thread_document(_t(spark, sf_dir).posts)
+
+
 @register("k9_index_documents", with_ctes(
     f"select cast(forum_id as varchar) || '-' || cast(thread_id as varchar) as index, post_id as id, "
     f"{_POST_BODY_SQL % 'post_text'} as body from posts", "posts"))

@@ -17,6 +17,22 @@ from threadlens.streaming.ingest import scratch
 MAX_RECORDS = 500
 
 
+@register("k3_load_into_table", with_ctes("select thread_id, count(*) as n_posts from posts group by thread_id", "posts"))
+def k3(spark, sf_dir):
+    """Load into an existing table, twice by halves; the table then holds every post once."""
+    import uuid
+
+    posts = ForumTables(spark, sf_dir).posts.select("post_id", "thread_id", "user_id")
+    table, path = f"posts_{uuid.uuid4().hex}", scratch(spark, "load-table")
+    posts.limit(0).write.parquet(path)
+    spark.sql(f"CREATE TABLE {table} (post_id BIGINT, thread_id BIGINT, user_id BIGINT) USING parquet LOCATION '{path}'")
+    for part in (0, 1):
+        IO.load_into_table(spark, posts.where(F.col("post_id") % 2 == part), table)
+    loaded = spark.read.schema("post_id long, thread_id long, user_id long").parquet(path)
+    spark.sql(f"DROP TABLE {table}")        # the files stay: the table is external
+    return loaded.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n_posts"))
+
+
 @register("s1_k1_posts_round_trip", with_ctes(
     "select post_id, thread_id, forum_id, thread_page, user_id, length(post_text) as text_chars, "
     "len(quoted_post_ids) as n_quotes from posts", "posts"))

@@ -98,3 +98,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{base}/threadlens-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A word list or lexicon, marked for broadcast if a count shows that it has at most ``max_rows`` rows.
+
+    A list made in the driver carries no size statistics, so without the mark it would be joined by a
+    shuffle of the large side. Beyond the bound the frame is returned as it is.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= max_rows else df

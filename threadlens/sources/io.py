@@ -52,6 +52,12 @@ def sql_single_value(spark: SparkSession, text: str, args: dict | None = None, *
     return df.select(df.columns[0]).limit(1)
 
 
+def sql_first_column(spark: SparkSession, text: str, args: dict | None = None, **frames: DataFrame) -> DataFrame:
+    """S5, list form: the first column of every row, as a frame of one column."""
+    df = sql_query(spark, text, args, **frames)
+    return df.select(df.columns[0])
+
+
 def thread_posts(posts: DataFrame, thread_id: int) -> DataFrame:
     """All posts of a thread; stays a DataFrame (use ``toLocalIterator`` only at the caller's edge)."""
     return posts.where(F.col("thread_id") == F.lit(thread_id))
@@ -157,15 +163,15 @@ def write_threads(threads: DataFrame, path: str, max_records: int = 1_000_000, f
 
 
 def load_into_table(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
-    """K3: append into an existing table; fail when it is missing or the columns differ.
+    """K3: append into an existing table; fail when it is missing or the columns or types differ.
 
     Returns a one-row frame with the rows loaded, counted while writing via ``observe``.
     """
     if not spark.catalog.tableExists(table):
         raise ValueError(f"table {table} does not exist")
     target = spark.table(table)
-    if [f.name for f in target.schema.fields] != df.columns:
-        raise ValueError(f"columns {df.columns} do not match {target.columns}")
+    if df.dtypes != target.dtypes:
+        raise ValueError(f"columns {df.dtypes} do not match {target.dtypes}")
     from pyspark.sql import Observation
 
     obs = Observation("load")
@@ -216,10 +222,10 @@ def write_post_ids(posts: DataFrame, thread_id: int, path: str, mode: str = "ove
 
 
 def thread_post_json_rows(posts: DataFrame) -> DataFrame:
-    """K8, row form: ``(thread_id, forum_id, post_id, post_json)``; written partitioned by thread.
+    """K8, row form: ``(thread_id, forum_id, post_id, post_json)``; written by buckets of threads.
 
-    The whole-thread document is never built in one task: each thread folder
-    holds its posts as JSON lines, ordered by post_id within files.
+    The whole-thread document is never built in one task: a thread's posts are
+    JSON lines, ordered by post_id within files.
     """
     body = F.to_json(F.struct(
         "post_id", "thread_id", "user_name", "user_id", F.col("post_text").alias("text"),
@@ -242,10 +248,16 @@ def thread_document(posts: DataFrame) -> DataFrame:
                  F.lit("]}")).alias("document"))
 
 
-def write_thread_json(posts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K8 sink: JSON lines per thread folder."""
-    (thread_post_json_rows(posts).sortWithinPartitions("thread_id", "post_id")
-     .write.mode(mode).partitionBy("thread_id").json(path))
+def thread_bucket(thread_id: Column, buckets: int) -> Column:
+    """The folder of a thread: a hash bucket, so the number of folders does not grow with the threads."""
+    return F.pmod(F.xxhash64(thread_id), F.lit(buckets)).cast("int")
+
+
+def write_thread_json(posts: DataFrame, path: str, mode: str = "overwrite", buckets: int = 64) -> None:
+    """K8 sink: JSON lines, one folder per thread bucket; a thread's rows stand together, by post id."""
+    rows = thread_post_json_rows(posts).withColumn("bucket", thread_bucket(F.col("thread_id"), buckets))
+    (rows.repartition("bucket", "thread_id").sortWithinPartitions("bucket", "thread_id", "post_id")
+     .write.mode(mode).partitionBy("bucket").json(path))
 
 
 def index_documents(posts: DataFrame, ascii_only: bool = False) -> DataFrame:
@@ -263,9 +275,11 @@ def index_documents(posts: DataFrame, ascii_only: bool = False) -> DataFrame:
     return latest.select(index.alias("index"), F.col("post_id").alias("id"), body.alias("body"))
 
 
-def write_index(posts: DataFrame, path: str, ascii_only: bool = False, mode: str = "overwrite") -> None:
-    """K9 sink: bulk files, one folder per index."""
-    index_documents(posts, ascii_only).write.mode(mode).partitionBy("index").json(path)
+def write_index(posts: DataFrame, path: str, ascii_only: bool = False, mode: str = "overwrite",
+                buckets: int = 64) -> None:
+    """K9 sink: bulk files, one folder per bucket of indexes; the index stays a column of the rows."""
+    rows = index_documents(posts, ascii_only).withColumn("bucket", thread_bucket(F.col("index"), buckets))
+    rows.repartition("bucket", "index").write.mode(mode).partitionBy("bucket").json(path)
 
 
 def write_polarities(pol: DataFrame, path: str, header: bool = True, mode: str = "append") -> None:
