@@ -69,23 +69,26 @@ def test_near_duplicates_ids(make_docs):
 
 def test_posterior_pruning_bounds():
     # A pair at the threshold passes all batches but with the chosen probability.
-    plan = minhash.least_matches(256, 0.8, 1e-5)
-    assert [n for n, _ in plan] == [64, 128, 192, 256]
+    plan = minhash.least_matches(512, 0.8, 1e-5)
+    assert [n for n, _ in plan] == [256, 512]
     for n, m in plan:
         assert minhash.posterior(m, n, 0.8) >= 1e-5 > (minhash.posterior(m - 1, n, 0.8) if m else 0)
 
 
-def test_equal_bytes(spark):
+def test_equal_bytes_by_bit_planes(spark):
+    import numpy as np
     from pyspark.sql import functions as F
 
-    rng = random.Random(1)
-    rows = []
-    for _ in range(200):
-        x = bytes(rng.randrange(256) for _ in range(8))
-        y = bytes(b if rng.random() < 0.5 else rng.choice((0, 128, 255, b ^ 128, b ^ 1)) for b in x)
-        rows.append((*(int.from_bytes(v, "little", signed=True) for v in (x, y)), sum(a == b for a, b in zip(x, y))))
-    df = spark.createDataFrame(rows, "x long, y long, want int")
-    assert df.where(minhash._equal_bytes(F.col("x"), F.col("y")) != F.col("want")).count() == 0
+    rng = np.random.default_rng(1)
+    low = rng.integers(0, 2 ** 63, size=(40, 512), dtype=np.uint64)
+    low[20:] = np.where(rng.random((20, 512)) < 0.7, low[:20], low[20:])
+    byte = (low >> np.uint64(56)).astype(np.uint8) ^ (low >> np.uint64(7)).astype(np.uint8)
+    planes = minhash.bit_planes(low)
+    rows = [(planes[i].tolist(), planes[20 + i].tolist(), int((byte[i] == byte[20 + i]).sum())) for i in range(20)]
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, want int")
+    total = sum((minhash._equal_bytes([F.col("x")[8 * g + j] for j in range(8)], [F.col("y")[8 * g + j] for j in range(8)])
+                 for g in range(8)), F.lit(0))
+    assert df.where(total != F.col("want")).count() == 0
 
 
 def test_components_of_paths_and_stars(spark):

@@ -31,7 +31,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Every node hands its smallest neighbour to its smaller ones and itself.
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = cut_lineage(down)
         edges = cut_lineage(
             large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(down.select("u", F.col("m").alias("v"))).distinct())

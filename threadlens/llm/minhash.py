@@ -1,17 +1,17 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. One pass over the texts gives each its distinct word shingles' count, a 128-bit fingerprint of the
-   set, one byte of each of ``rows * bands`` min-hashes, and the band keys.
+1. One pass over the texts gives each its number of distinct word shingles, a 128-bit fingerprint of the set
+   and its signature: one byte of each of 512 min-hashes. Eight min-hashes make a band.
 2. Texts with equal sets are one class, represented by its smallest id (grouped map-side first).
-3. Representatives that share a band key are candidates. A bucket is never expanded into all its
-   pairs: hubs are tried first, classes linked so far are contracted, and only pairs of different
-   components that still share a bucket are tested, until none is left untested.
-4. A candidate is judged in batches of its signature: after each batch it is dropped if the posterior
-   probability of a similarity at the threshold or above is under ``miss`` (uniform prior).
+3. Representatives that share a band are candidates. A bucket is never expanded into all its pairs: hubs are
+   tried first, classes linked so far are contracted, and only pairs of different components that still
+   share a bucket are tested, each pair in the first bucket it shares.
+4. A candidate is judged in batches of its signature, inside the join that finds it: after each batch it is
+   dropped if the posterior probability of a similarity at the threshold or above is under ``miss`` (uniform
+   prior), so a group of texts that are alike, but not alike enough, does not emit its pairs.
 5. Survivors are verified exactly on their full shingle sets; links give connected components.
 
-A link is lost only if no band agrees (3e-6 at the default bands and similarity 0.8, less above) or by
-the chosen ``miss`` probability.
+A link of similarity 0.8 is lost if no band agrees (8e-6; 2e-8 at 0.85) or by the chosen ``miss`` probability.
 
 Edge cases: a text with fewer words than a shingle is one shingle of all its words; null and empty texts
 have no shingle and are linked with nothing; a null id is never linked, has a null component and is kept;
@@ -22,18 +22,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm import words as W
 from threadlens.llm.components import components
 from threadlens.session import cut_lineage
 
-BATCH = 32
-HUB_ROUNDS = 3
+BATCH = 256
+HUB_ROUNDS = 2
 _CACHE_RUN = 1 << 15
 
 
@@ -66,13 +67,20 @@ class Hasher:
         return out
 
 
-def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key per band of ``rows`` min-hashes, distinct between bands."""
-    n = minima.shape[1] // rows
-    key = np.zeros((len(minima), n), dtype=np.uint64)
+def bit_planes(minima: np.ndarray) -> np.ndarray:
+    """One byte of each min-hash, eight longs of one bit each for every 64 min-hashes."""
+    byte = (minima >> np.uint64(56)).astype(np.uint8) ^ (minima >> np.uint64(7)).astype(np.uint8)
+    n, m = byte.shape
+    bits = np.unpackbits(byte.reshape(n, m // 64, 64, 1), axis=3).transpose(0, 1, 3, 2)
+    return np.packbits(np.ascontiguousarray(bits), axis=3).reshape(n, m // 8, 8).view(np.int64).reshape(n, m // 8)
+
+
+def band_codes(minima: np.ndarray, rows: int = 8) -> np.ndarray:
+    """A 32-bit code of every ``rows`` min-hashes."""
+    key = np.zeros((len(minima), minima.shape[1] // rows), dtype=np.uint64)
     for r in range(rows):
-        key = W.mix64(key + minima[:, r::rows][:, :n])
-    return W.mix64(key + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = W.mix64(key + minima[:, r::rows])
+    return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def shingle_sets(column: pa.Array, k: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -90,12 +98,16 @@ def shingle_sets(column: pa.Array, k: int, lower: bool) -> tuple[np.ndarray, np.
     return flat, np.concatenate(([0], np.cumsum(sizes)))
 
 
-def signatures(docs: DataFrame, k: int = 4, lower: bool = True, rows: int = 5, bands: int = 32,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, k1, k2, sig, bands`` of every row; nulls where a text has no shingle."""
+def signatures(docs: DataFrame, k: int = 4, lower: bool = True, hashes: int = 512, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, k1, k2, sig, bands`` of every row; nulls where a text has no shingle.
+
+    ``sig``: one byte of each of ``hashes`` min-hashes, by bit planes: for every 64 min-hashes eight longs, the
+    j-th with bit j of all 64.  ``bands``: a 32-bit code of every eight min-hashes.
+    """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    hasher = Hasher(rows * bands)
+    hasher = Hasher(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +117,7 @@ def signatures(docs: DataFrame, k: int = 4, lower: bool = True, rows: int = 5, b
                 some = size > 0
                 at = first[:-1][some]
                 low = hasher.minima(flat, at)
-                sig = (low >> np.uint64(56)).astype(np.uint8) ^ (low >> np.uint64(7)).astype(np.uint8)
-                keys = W.as_signed(band_keys(low, rows))
+                planes, codes = bit_planes(low), band_codes(low)
                 one = np.zeros(b - a, dtype=np.uint64)
                 two = np.zeros(b - a, dtype=np.uint64)
                 if len(at):
@@ -117,11 +128,12 @@ def signatures(docs: DataFrame, k: int = 4, lower: bool = True, rows: int = 5, b
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(size),
                      pa.array(W.as_signed(one), mask=none), pa.array(W.as_signed(two), mask=none),
-                     pa.array([sig[r].tobytes() if s else None for r, s in zip(row, some)], pa.binary()),
-                     pa.array([keys[r] if s else None for r, s in zip(row, some)], pa.list_(pa.int64()))],
+                     pa.array([planes[r] if s else None for r, s in zip(row, some)], pa.list_(pa.int64())),
+                     pa.array([codes[r] if s else None for r, s in zip(row, some)], pa.list_(pa.int32()))],
                     names=["doc_id", "n_shingles", "k1", "k2", "sig", "bands"])
 
-    return src.mapInArrow(run, f"doc_id {id_type}, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
+    return src.mapInArrow(run, f"doc_id {id_type}, n_shingles long, k1 long, k2 long, sig array<long>, "
+                               "bands array<int>")
 
 
 def posterior(matches: int, trials: int, threshold: float) -> float:
@@ -141,33 +153,27 @@ def least_matches(total: int, threshold: float, miss: float) -> list[tuple[int,
     return out
 
 
-def _prune(pairs: DataFrame, total: int, threshold: float, miss: float) -> DataFrame:
-    """Sequential test of ``a, b, sig_a, sig_b``; returns the surviving ``a, b``."""
-    plan = least_matches(total, threshold, miss)
-    types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+def passes_batches(x: Column, y: Column, hashes: int, threshold: float, miss: float) -> Column:
+    """The sequential test as a condition on two signatures: batch by batch, the first failure ends it."""
+    test, hits, at = F.lit(True), F.lit(0), 0
+    for upto, least in least_matches(hashes, threshold, miss):
+        for group in range(at // 64, upto // 64):
+            hits = hits + _equal_bytes([x[8 * group + j] for j in range(8)], [y[8 * group + j] for j in range(8)])
+        test, at = test & (hits >= least), upto
+    return test
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(n, total)
-                    for c in (batch.column(2), batch.column(3)))
-            live, hits, at = np.arange(n), np.zeros(n, dtype=np.int64), 0
-            for upto, least in plan:
-                hits[live] += (x[live, at:upto] == y[live, at:upto]).sum(axis=1)
-                live, at = live[hits[live] >= least], upto
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(live)) for i in (0, 1)], names=["a", "b"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {types['a']}, b {types['b']}")
+def _equal_bytes(x: list[Column], y: list[Column]) -> Column:
+    """How many of 64 bytes, given by their eight bit planes, are equal."""
+    differs = reduce(lambda a, b: a.bitwiseOR(b), (a.bitwiseXOR(b) for a, b in zip(x, y)))
+    return 64 - F.bit_count(differs)
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, k: int, lower: bool, percent: int) -> DataFrame:
-    """Pairs whose full sets meet the threshold: 100 * |a & b| >= percent * |a | b|."""
+def _full_sets(docs: DataFrame, ids: DataFrame, k: int, lower: bool) -> DataFrame:
+    """``doc_id, items`` (sorted shingle hashes, packed) of the texts with the given ids."""
     id_type = dict(docs.dtypes)["doc_id"]
-    need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in W.slices(batch.column(1)):
                 flat, first = shingle_sets(batch.column(1).slice(a, b - a), k, lower)
@@ -176,6 +182,14 @@ def _exact(pairs: DataFrame, docs: DataFrame, k: int, lower: bool, percent: int)
                      pa.array([flat[s:e].tobytes() for s, e in zip(first[:-1], first[1:])], pa.binary())],
                     names=["doc_id", "items"])
 
+    return (docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
+            .mapInArrow(run, f"doc_id {id_type}, items binary"))
+
+
+def _exact(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets meet the threshold: 100 * |a & b| >= percent * |a | b|."""
+    id_type = dict(items.dtypes)["doc_id"]
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -190,27 +204,23 @@ def _exact(pairs: DataFrame, docs: DataFrame, k: int, lower: bool, percent: int)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in (0, 1)], names=["a", "b"])
 
-    items = cut_lineage(docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                        .mapInArrow(sets, f"doc_id {id_type}, items binary"))
     both = (pairs.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
             .join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b"))
     return both.select("a", "b", "x", "y").mapInArrow(check, f"a {id_type}, b {id_type}")
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, lower: bool = True, percent: int = 80, rows: int = 5,
-                    bands: int = 32, miss: float = 1e-6, id_col: str = "doc_id",
+def near_duplicates(docs: DataFrame, k: int = 4, lower: bool = True, percent: int = 80, hashes: int = 512,
+                    miss: float = 1e-5, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    all_sigs = cut_lineage(signatures(docs, k, lower, rows, bands))
+    all_sigs = cut_lineage(signatures(docs, k, lower, hashes))
     sets = ["n_shingles", "k1", "k2"]
     some = all_sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut_lineage(some.groupBy(*sets).agg(F.min("doc_id").alias("rep")))
-    reps = cut_lineage(
-        some.join(classes.select(*sets, F.col("rep").alias("doc_id")), [*sets, "doc_id"], "left_semi")
-        .dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig", "bands"))
-    links = candidate_links(docs, reps, rows * bands, k, lower, percent, miss)
-    comp = components(links)
+    reps = cut_lineage(some.join(classes.select(F.col("rep").alias("doc_id"), *sets), ["doc_id", *sets], "left_semi")
+                       .select("doc_id", F.col("n_shingles").alias("n"), "sig", "bands"))
+    comp = linked_components(docs, reps, hashes, k, lower, percent, miss)
     named = (classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
              .select(*sets, F.coalesce("component", "rep").alias("component_id")))
     named = cut_lineage(named)
@@ -230,7 +240,7 @@ def distinct_rows(docs: DataFrame, k: int = 5, lower: bool = True, percent: int
     """
     found = near_duplicates(docs, k, lower, percent, id_col=id_col, text_col=text_col, **search)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    rest = docs.join(gone, id_col, "left_anti")
+    rest = docs.join(gone.hint("merge"), id_col, "left_anti")
     twice = cut_lineage(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
     if twice.isEmpty():
         return rest
@@ -238,55 +248,52 @@ def distinct_rows(docs: DataFrame, k: int = 5, lower: bool = True, percent: int
         rest.join(twice, id_col, "left_semi").dropDuplicates([id_col]))
 
 
-def candidate_links(docs: DataFrame, reps: DataFrame, total: int, k: int, lower: bool, percent: int,
-                    miss: float) -> DataFrame:
-    """Verified links of representatives, enough of them to connect every linked pair."""
-    member = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = cut_lineage(member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"))
-    member = cut_lineage(member.join(shared, "key"))
-    sig = reps.select("doc_id", "sig")
-    comp = tested = links = None
+def linked_components(docs: DataFrame, reps: DataFrame, hashes: int, k: int, lower: bool, percent: int,
+                      miss: float) -> DataFrame:
+    """``id, component`` of all representatives (``doc_id, n, sig, bands``) linked with another one."""
+    id_type = dict(reps.dtypes)["doc_id"]
+    band = reps.select("doc_id", F.posexplode("bands").alias("band", "code")).select(
+        "doc_id", F.col("band").cast("short").alias("band"), F.xxhash64("band", "code").alias("key"))
+    shared = cut_lineage(band.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"))
+    member = cut_lineage(band.join(shared, "key"))
+    one, two = (reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+                for x in ("a", "b"))
+    similar = ((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+               & passes_batches(F.col("sig_a"), F.col("sig_b"), hashes, percent / 100, miss))
+    items = None
+    comp = docs.sparkSession.createDataFrame([], f"id {id_type}, component {id_type}")
     for turn in range(HUB_ROUNDS + 1):
-        live = member
-        if comp is not None:
-            live = (live.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        live = member.withColumn("c", F.col("doc_id"))
+        if turn:
+            live = (member.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
                     .withColumn("c", F.coalesce("component", "doc_id")).drop("component"))
-            mixed = cut_lineage(live.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-                                .where("lo != hi").select("key"))
-            live = live.join(mixed, "key")
-        else:
-            live = live.withColumn("c", F.col("doc_id"))
-        live = cut_lineage(live)
+            mixed = live.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
+            live = cut_lineage(live.join(cut_lineage(mixed.select("key")), "key"))
         if turn < HUB_ROUNDS:
             # One hub a bucket, another one each turn, against all members of other components.
             order = F.col("doc_id") if turn == 0 else F.xxhash64(F.lit(turn), "c", "doc_id")
-            hubs = cut_lineage(live.groupBy("key").agg(
-                F.min(F.struct(order.alias("o"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"),
-                               F.col("c").alias("hub_c"))).alias("h")).select("key", "h.*").drop("o"))
-            pairs = (live.join(hubs, "key").where("c != hub_c")
-                     .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"),
-                             F.col("n").alias("n_a"), F.col("hub_n").alias("n_b")))
+            hubs = cut_lineage(live.groupBy("key").agg(F.min_by(F.struct(F.col("doc_id").alias("hub"), F.col("c").alias("hub_c")),
+                                                                order).alias("h")).select("key", "h.*"))
+            tried = (live.join(hubs, "key").where("c != hub_c")
+                     .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct())
+            pairs = tried.join(one, "a").join(two, "b").where(similar).select("a", "b")
         else:
-            # What is left: members of different components that still share a bucket.
-            other = live.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-            pairs = (live.join(other, "key").where("doc_id < b AND c != c_b")
-                     .select(F.col("doc_id").alias("a"), "b", F.col("n").alias("n_a"), "n_b"))
-        pairs = (pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                 .select("a", "b").distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            # What is left: members of different components that share a bucket, in the first one they share.
+            side = cut_lineage(live.select("key", "doc_id", "band", "c").join(reps, "doc_id"))
+            left, right = (side.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"),
+                                       F.col("c").alias(f"c_{x}"), F.col("band").alias(f"band_{x}"),
+                                       F.col("bands").alias(f"bands_{x}")) for x in ("a", "b"))
+            first_shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band_a") + 1
+            pairs = (left.join(right, "key").drop("key")
+                     .where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar & first_shared)
+                     .select("a", "b").distinct())
         pairs = cut_lineage(pairs)
         if pairs.isEmpty():
-            if turn < HUB_ROUNDS and not live.isEmpty():
-                continue
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        with_sig = (pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
-                    .join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b"))
-        likely = cut_lineage(_prune(with_sig, total, percent / 100, miss))
-        found = cut_lineage(_exact(likely, docs, k, lower, percent))
-        links = found if links is None else links.unionByName(found)
-        comp = cut_lineage(components(links))
-    if links is None:
-        return reps.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    return links
+            continue
+        if items is None:
+            items = cut_lineage(_full_sets(docs, member.select("doc_id").distinct(), k, lower))
+        found = cut_lineage(_exact(pairs, items, percent))
+        if not found.isEmpty():
+            old = comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            comp = cut_lineage(components(old.unionByName(found)))
+    return comp
