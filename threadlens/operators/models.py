@@ -275,7 +275,8 @@ def nmf(x: DataFrame, doc: str, term: str, value: str, k: int = 10, alpha: float
                         .select("c", "t", (F.col("h") * F.coalesce("num", F.lit(0.0))
                                            / (F.col("den") + l1 + l2 * F.col("h") + eps)).alias("h")))
         # --- W update
-        xht = X.join(H, "t")        # H is a written table: its size decides the join.groupBy("d", "c").agg(F.sum(F.col("x") * F.col("h")).alias("num"))
+        # H is a written table: its size decides the join
+        xht = X.join(H, "t").groupBy("d", "c").agg(F.sum(F.col("x") * F.col("h")).alias("num"))
         hht = (H.alias("a").join(H.alias("b"), "t")
                .groupBy(F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.sum(F.col("a.h") * F.col("b.h")).alias("g")))
         whht = (W.withColumnRenamed("c", "i").join(F.broadcast(hht), "i")
