@@ -184,8 +184,9 @@ def edit_distance_within(x: str, y: str, tau: int) -> bool:
 
 def near_lines(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
     """``a, b`` (line hashes, a < b): all pairs of different long lines within ``tau`` edits. ``docs``: doc_id, _text."""
-    index = _keys(docs, tau, min_chars, False, ("line_i", "bits_i", ""))
-    probe = _keys(docs, tau, min_chars, True, ("line_p", "bits_p", ""))
+    # A line that stands in many partitions is one row a key: the repeats fall where the keys meet.
+    index = _keys(docs, tau, min_chars, False, ("line_i", "bits_i", "")).repartition("key").dropDuplicates()
+    probe = _keys(docs, tau, min_chars, True, ("line_p", "bits_p", "")).repartition("key").dropDuplicates()
     found = (index.join(probe, "key")
              .where((F.col("line_i") != F.col("line_p"))
                     & (F.bit_count(F.col("bits_i").bitwiseXOR(F.col("bits_p"))) <= 2 * tau))
