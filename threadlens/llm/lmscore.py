@@ -137,7 +137,7 @@ class OwnCounts:
         return OwnCounts(*(np.where(keep, x, 0.0) for x in (self.word, self.cell, self.history, self.total)))
 
 
-def fit(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 16, bits: int = 21,
+def fit(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 16, bits: int = 20,
         text_col: str = "text") -> tuple[np.ndarray, Model, Model]:
     """The shared vocabulary (sorted word hashes) and the target and background models."""
     back = cut_lineage(word_counts(docs, text_col))
@@ -146,17 +146,21 @@ def fit(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 16, bits: int
     scales = (1.0, totals[0] / totals[1] if totals[0] and totals[1] else 1.0)
     top = back.orderBy(F.desc("n"), "word").limit(vocabulary)
     rows = (top.withColumnRenamed("n", "b").join(front.withColumnRenamed("n", "f"), "word", "left")
-            .select("word", "b", F.coalesce("f", F.lit(0)).alias("f")).toPandas())
-    word = rows["word"].to_numpy(dtype=np.int64).view(np.uint64)
+            .select("word", "b", F.coalesce("f", F.lit(0)).alias("f")).toArrow())
+    word = rows["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(word)
     vocab = word[order]
     out = []
     for side, texts, total, scale in (("f", target, totals[0], scales[0]), ("b", docs, totals[1], scales[1])):
-        count = rows[side].to_numpy(dtype=np.int64)[order]
+        count = rows[side].to_numpy().astype(np.int64)[order]
         count = np.append(count, total - count.sum())
         cells = np.zeros(1 << bits, dtype=np.int64)
-        got = cell_counts(texts, vocab, bits, text_col).toPandas()
-        cells[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+        got = cell_counts(texts, vocab, bits, text_col).toArrow()      # at most 2**bits rows
+        if got.num_rows:
+            cells[got["cell"].to_numpy().astype(np.int64)] = got["n"].to_numpy()
+        del got
+        if cells.max(initial=0) < 1 << 31:
+            cells = cells.astype(np.int32)
         starts = texts.where(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).count()
         out.append(Model(count, cells, starts, scale))
     return vocab, out[0], out[1]
@@ -204,7 +208,7 @@ def score(docs: DataFrame, vocabulary: np.ndarray, target: Model, background: Mo
                                "loss_difference double")
 
 
-def loss_differences(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 1 << 16, bits: int = 21,
+def loss_differences(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 1 << 16, bits: int = 20,
                      strength: float = 50.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text of ``docs``; the texts named by ``target_ids`` (column ``id_col``) are the target."""
     ids = target_ids.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
