@@ -5,8 +5,8 @@ a multinomial logistic model on selected hashed words and a few layout ratios).
 text a posterior over the domains. ``fit_rates`` finds nonnegative rates r whose expected domain totals
 sum_d r_d n_d p_d meet the targets: least squares by projected gradient, each step one distributed sum over
 the membership table. With r measured per token (weight n_d) and residuals in the metric of the Gram
-matrix G = sum_d n_d p_d p_d', the step length is exactly 1, and a step is r <- max(0, r - p . G^-1 (A r - T)).
-It runs until the objective stops falling, without a limit on rounds. Starting at 1, it changes the rates as
+matrix G = sum_d n_d p_d p_d' (of the texts whose rate is still positive), the step length is 1, and a step is
+r <- max(0, r - p . G^-1 (A r - T)). It runs until the objective stops falling, without a limit on rounds. Starting at 1, it changes the rates as
 little as the targets allow.
 
 Edge cases: null and empty texts have no tokens, the prior as posterior and a rate by the same rule;
@@ -199,11 +199,16 @@ def memberships(docs: DataFrame, model: Classifier, carry: list[str], text_col:
     return src.mapInArrow(run, schema)
 
 
-def _sums(member: DataFrame, k: int, rate: Column | None = None, gram: bool = False) -> np.ndarray:
-    n = F.col("n_tokens") * (F.lit(1.0) if rate is None else rate)
+def _sums(member: DataFrame, k: int, rate: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens by domain at the given rates, and the Gram matrix of the texts with a positive rate."""
+    rate = F.lit(1.0) if rate is None else rate
+    row = member.select("n_tokens", "posterior", rate.alias("r"))
     p = [F.col("posterior")[j] for j in range(k)]
-    exprs = [F.sum(n * p[i] * p[j]) for i in range(k) for j in range(k)] if gram else [F.sum(n * x) for x in p]
-    return np.array([float(v or 0.0) for v in member.agg(*exprs).first()])
+    n, live = F.col("n_tokens"), F.when(F.col("r") > 0, F.col("n_tokens")).otherwise(F.lit(0))
+    got = row.agg(*[F.sum(n * F.col("r") * x) for x in p],
+                  *[F.sum(live * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
+    flat = np.array([float(v or 0.0) for v in got])
+    return flat[:k], flat[k:].reshape(k, k)
 
 
 def rate_column(steps: list[np.ndarray]) -> Column:
@@ -218,24 +223,33 @@ def rate_column(steps: list[np.ndarray]) -> Column:
     return F.aggregate(history, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
 
-def fit_rates(member: DataFrame, targets: np.ndarray, tolerance: float = 1e-6) -> list[np.ndarray]:
-    """Gradient steps whose replay (``rate_column``) gives the fitted rates."""
+def fit_rates(member: DataFrame, targets: np.ndarray, tolerance: float = 1e-4) -> list[np.ndarray]:
+    """Gradient steps whose replay (``rate_column``) gives the fitted rates.
+
+    A step is measured in the Gram matrix of the texts whose rate is still positive, which meets reachable
+    targets in a few rounds. If that step raises the objective, the step in the Gram matrix of all texts,
+    which never does, is taken instead.
+    """
     k = len(targets)
-    gram = _sums(member, k, gram=True).reshape(k, k)
+    totals, gram = _sums(member, k)
     inverse = np.linalg.pinv(gram)
     steps: list[np.ndarray] = []
     first = last = None
+    plain = None
     while True:
-        rest = _sums(member, k, rate_column(steps)) - targets
+        rest = totals - targets
         value = float(rest @ inverse @ rest)
-        if last is not None and last - value <= tolerance * max(first, 1e-12):
-            return steps
-        if last is None:
-            first = value
-        if value <= 1e-12 * max(1.0, float(targets @ inverse @ targets)):
+        if last is not None and value > last and plain is not None:
+            steps[-1], plain = plain, None
+        elif last is not None and last - value <= tolerance * first:
             return steps
-        last = value
-        steps.append(inverse @ rest)
+        else:
+            first = value if first is None else first
+            if value <= 1e-12 * max(1.0, float(targets @ inverse @ targets)):
+                return steps
+            last, plain = value, inverse @ rest
+            steps.append(np.linalg.pinv(gram) @ rest)
+        totals, gram = _sums(member, k, rate_column(steps))
 
 
 def token_targets(member: DataFrame, domains: tuple[str, ...], weights: dict[str, float],
@@ -246,7 +260,7 @@ def token_targets(member: DataFrame, domains: tuple[str, ...], weights: dict[str
     Domains without a wished weight get none.
     """
     wish = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
-    now = _sums(member, len(domains))
+    now, _ = _sums(member, len(domains))
     if wish.sum() <= 0:
         return now
     wish = wish / wish.sum()
