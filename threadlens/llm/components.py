@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from threadlens.session import cut_lineage
 
 
+EDGES_PER_TASK = 500_000
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     r = edges.agg(F.count(F.lit(1)).alias("n"),
                   F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -24,16 +27,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                         .where("u != v").distinct())
     state = _state(edges)
     while state[0]:
+        # Few edges do not need a task for every shuffle partition.
+        tasks = max(8, state[0] // EDGES_PER_TASK)
         # Every node hands its smallest neighbour to its larger ones.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks))
         large = cut_lineage(both.where("v > u").join(least, "u")
-                            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+                            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks))
         # Every node hands its smallest neighbour to its smaller ones and itself.
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = cut_lineage(
             large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+            .unionByName(down.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks))
         new = _state(edges)
         if new == state:
             break

@@ -35,6 +35,7 @@ from threadlens.session import cut_lineage
 
 BATCH = 256
 HUB_ROUNDS = 2
+SLICE_BYTES = 1 << 20     # keeps a worker under about 100 MB
 _CACHE_RUN = 1 << 15
 
 
@@ -111,7 +112,7 @@ def signatures(docs: DataFrame, k: int = 4, lower: bool = True, hashes: int = 51
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in W.slices(batch.column(1)):
+            for a, b in W.slices(batch.column(1), SLICE_BYTES):
                 flat, first = shingle_sets(batch.column(1).slice(a, b - a), k, lower)
                 size = np.diff(first)
                 some = size > 0
@@ -175,7 +176,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, k: int, lower: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in W.slices(batch.column(1)):
+            for a, b in W.slices(batch.column(1), SLICE_BYTES):
                 flat, first = shingle_sets(batch.column(1).slice(a, b - a), k, lower)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a),
