@@ -103,6 +103,40 @@ def test_loss_against_plain_counts(make_docs, spark):
     assert rows[1]["target_loss"] == pytest.approx(want)
 
 
+def test_losses_count_every_word_and_pair(make_docs, spark):
+    """More distinct words than 2**16, and pairs that would share some of 2**20 cells: plain counts."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(40) if rng.random() < 0.3 else rng.randrange(200_000)}" for _ in range(500))
+             for _ in range(400)] + ["w1 w2 W1 w2", "w1 w2 w1 w2", None, ""]
+    target = set(range(0, 400, 4)) | {400}
+    got = {r["doc_id"]: r for r in lmscore.loss_differences(
+        make_docs(texts), spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
+    tokens = [(t or "").lower().split() for t in texts]
+    assert len({x for t in tokens for x in t}) > 1 << 16
+
+    def counts(some):
+        return (Counter(x for t in some for x in t), Counter(p for t in some for p in zip([None, *t], t)),
+                sum(map(len, some)), sum(map(bool, some)))
+
+    sides = [counts([tokens[i] for i in sorted(target)]), counts(tokens)]
+    size = len(sides[1][0]) + 1
+    for i in (0, 1, 2, 4, 7, 399, 400, 401):
+        t = tokens[i]
+        own = counts([t])
+        for name, (word, pair, total, starts), scale, mine in (
+                ("target_loss", sides[0], 1.0, i in target), ("background_loss", sides[1], sides[0][2] / sides[1][2], 1)):
+            bits = 0.0
+            for p, x in zip([None, *t], t):
+                uni = (scale * (word[x] - mine * own[0][x]) + 0.5) / (scale * (total - mine * own[2]) + 0.5 * size)
+                seen = starts - mine if p is None else word[p] - mine * own[0][p]
+                bits -= math.log2((scale * (pair[p, x] - mine * own[1][p, x]) + 50 * uni) / (scale * seen + 50))
+            assert got[i][name] == pytest.approx(bits / len(t), rel=1e-9), (i, name)
+    assert got[402]["target_loss"] is None and got[403]["n_words"] == 0
+
+
 @pytest.fixture(scope="module")
 def enc():
     return packing.encoding(packing.read_ranks())

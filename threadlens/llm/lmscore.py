@@ -1,11 +1,15 @@
 """Cross-entropy difference: how much better a target language model predicts a text than a background one.
 
-Both models are interpolated bigram models over one vocabulary: the ``vocabulary`` commonest words of the
-whole corpus and one class for all others, so every token of every text counts.  Counts are taken over
-all texts (background, scaled to the target's size so that the same smoothing weighs alike) and over all
-target texts; a text's own counts are left out when it is scored.  Bigram counts are kept in
-2**``bits`` hashed cells, which bounds the table that is sent to the workers (8 bytes a cell) whatever the
-size of the corpus; what is gathered grows with the corpus, as every partition sends its own counts.
+Both models are interpolated bigram models over all words of the corpus, with exact counts of every word and
+of every (previous, word) pair (words stand as 64-bit hashes).  Counts are taken over all texts (background,
+scaled to the target's size so that the same smoothing weighs alike) and over all target texts; a text's own
+counts are left out when it is scored.
+
+Counts never meet in one place.  Texts are worked on in slices of a few MB.  A slice deals the distinct words
+and pairs it holds, with its own counts of them, into buckets by a hash; a bucket sums the counts of all slices
+and answers each one with the totals of the keys it asked for.  A key that very many texts hold is one entry a
+slice, and the number of buckets grows with the corpus, so no task grows with it.  Nothing but six sums is
+gathered in the driver.
 
 ``loss difference = H_target - H_background`` in bits per token: lower is closer to the target.
 
@@ -22,198 +26,217 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm import words as W
 from threadlens.session import cut_lineage
 
-_START = np.uint64(0xFFFFFFFF)
-
-
-def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``word`` (64-bit hash) and ``n`` over all texts; each batch sends its distinct words only."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in W.slices(batch.column(0)):
-                h = W.split_words(batch.column(0).slice(a, b - a)).hashes(lower=True)
-                word, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(W.as_signed(word)), pa.array(n.astype(np.int64))],
-                                                 names=["word", "n"])
-
-    return (texts.select(F.col(text_col).alias("_text")).mapInArrow(run, "word long, n long")
-            .groupBy("word").agg(F.sum("n").alias("n")))
-
+_START = np.uint64(0)       # stands before a text's first word
+BUCKET_BYTES = 8 << 20      # text bytes a bucket answers for
+_KEYS = ("words", "words_f", "words_b", "prev", "next", "pairs_f", "pairs_b")
 
-def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Place of each word in the sorted vocabulary; its length stands for all other words."""
-    if not len(vocabulary):
-        return np.zeros(len(h), dtype=np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at, len(vocabulary))
 
+class Slice:
+    """The tokens of a slice of texts, and its distinct words and pairs in the order of their buckets.
 
-def _cells(w: W.Words, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed bigram cell of every word, and the id before it (``_START`` for a text's first word)."""
-    before = np.empty(len(ids), dtype=np.uint64)
-    before[1:] = ids[:-1]
-    before[w.first[:-1][w.counts > 0]] = _START
-    cell = W.mix64(before * np.uint64(0x100000001) ^ ids.astype(np.uint64)) >> np.uint64(64 - bits)
-    return cell.astype(np.int64), before
-
+    The order depends on the set of texts alone, so that answers need not repeat the keys.
+    """
 
-def cell_counts(texts: DataFrame, vocabulary: np.ndarray, bits: int, text_col: str = "text") -> DataFrame:
-    """``cell`` and ``n`` of all bigrams; each task sends its own counts once."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)   # at most the vocabulary's size
+    def __init__(self, column: pa.Array, buckets: int):
+        self.w = W.split_words(column)
+        word, self.at = np.unique(self.w.hashes(lower=True), return_inverse=True)
+        bucket = (W.mix64(word) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((word, bucket))
+        self.words, self.word_bucket = word[order], bucket[order]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.at = place[self.at]                    # word of every token
+        self.before = np.empty(len(self.at), dtype=np.int64)
+        self.before[1:] = self.at[:-1]              # word before every token, -1 at the start of a text
+        self.before[self.w.first[:-1][self.w.counts > 0]] = -1
+        pair, self.pair = np.unique((self.before + 1) * len(word) + self.at, return_inverse=True)
+        before, after = (pair // len(word) - 1, pair % len(word)) if len(word) else (pair, pair)
+        prev = np.where(before < 0, _START, self.words[before]) if len(word) else self.words
+        nxt = self.words[after]
+        bucket = (W.mix64(W.mix64(prev) + nxt) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((nxt, prev, bucket))
+        self.prev, self.next, self.pair_bucket = prev[order], nxt[order], bucket[order]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.pair = place[self.pair]                # pair of every token
+
+    def requests(self, flag: np.ndarray, buckets: int) -> list[pa.Array]:
+        """``bucket`` and the lists ``_KEYS``, a row for each bucket that the slice has a key in."""
+        mine = np.repeat(flag, self.w.counts)
+        used = np.unique(np.concatenate((self.word_bucket, self.pair_bucket)))
+
+        def lists(bucket: np.ndarray, values: np.ndarray) -> pa.Array:
+            cut = np.append(np.searchsorted(bucket, used), len(bucket)).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(cut), pa.array(values))
+
+        def counts(at: np.ndarray, size: int) -> list[np.ndarray]:
+            return [np.bincount(x, minlength=size).astype(np.int32) for x in (at[mine], at)]
+
+        return [pa.array(used),
+                *(lists(self.word_bucket, x) for x in (W.as_signed(self.words), *counts(self.at, len(self.words)))),
+                *(lists(self.pair_bucket, x) for x in (W.as_signed(self.prev), W.as_signed(self.next),
+                                                       *counts(self.pair, len(self.prev))))]
+
+
+def _sliced(flagged: DataFrame, id_type: str, buckets: int) -> DataFrame:
+    """One written table of two kinds of rows: texts with their slice and number of words, and requests."""
+    schema = (f"slice long, id {id_type}, text string, flag boolean, n_words long, bucket long, words array<long>, "
+              "words_f array<int>, words_b array<int>, prev array<long>, next array<long>, pairs_f array<int>, "
+              "pairs_b array<int>")
+    kinds = [pa.int64(), *[pa.list_(pa.int64() if k in ("words", "prev", "next") else pa.int32()) for k in _KEYS]]
+    names = ["slice", "id", "text", "flag", "n_words", "bucket", *_KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for a, b in W.slices(batch.column(0)):
-                w = W.split_words(batch.column(0).slice(a, b - a))
-                if len(w.starts):
-                    cell, _ = _cells(w, _ids(w.hashes(lower=True), shared.value), bits)
-                    total += np.bincount(cell, minlength=1 << bits)
-        used = np.flatnonzero(total)
-        for at in range(0, len(used), 1 << 17):
-            some = used[at:at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
-
-    return (texts.select(F.col(text_col).alias("_text")).mapInArrow(run, "cell int, n long")
-            .groupBy("cell").agg(F.sum("n").alias("n")))
+            for a, b in W.slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                x = Slice(part.column(1), buckets)
+                flag = np.asarray(part.column(2).to_pylist(), dtype=bool)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(b - a, number)), *part.columns, pa.array(x.w.counts.astype(np.int64)),
+                     *(pa.nulls(b - a, k) for k in kinds)], names=names)
+                asked = x.requests(flag, buckets)
+                n = len(asked[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, number)), *(pa.nulls(n, part.column(i).type) for i in range(3)),
+                     pa.nulls(n, pa.int64()), *asked], names=names)
+                number += 1
+
+    return cut_lineage(flagged.mapInArrow(run, schema))
+
+
+def _totals(keys: tuple[np.ndarray, ...], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """For every entry the sums of ``counts`` over the entries of equal keys, and the number of distinct keys."""
+    if not len(keys[0]):
+        return [c.astype(np.int64) for c in counts], 0
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), dtype=bool)
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    new[0] = True
+    group = np.empty(len(order), dtype=np.int64)
+    group[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return [np.add.reduceat(c[order].astype(np.int64), at)[group] for c in counts], len(at)
+
+
+def _answers(asked: DataFrame) -> DataFrame:
+    """``slice, bucket, words_f, ..., pairs_b`` (totals over all slices) and ``distinct``: summed, all distinct words."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        col = {k: pa.concat_arrays(table[k].chunks) for k in _KEYS}
+        flat = {k: v.flatten().to_numpy() for k, v in col.items()}
+        out, distinct = [table["slice"], table["bucket"]], np.zeros(table.num_rows, dtype=np.int64)
+        for keys, counts in ((("words",), ("words_f", "words_b")), (("prev", "next"), ("pairs_f", "pairs_b"))):
+            size = col[keys[0]].value_lengths().to_numpy()
+            cut = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+            sums, n = _totals(tuple(flat[k] for k in keys), [flat[c] for c in counts])
+            out += [pa.ListArray.from_arrays(cut, pa.array(s)) for s in sums]
+            if len(keys) == 1:
+                distinct[0] = n
+        return pa.Table.from_arrays([*out, pa.array(distinct)], names=["slice", "bucket", "words_f", "words_b", "pairs_f",
+                                                                       "pairs_b", "distinct"])
+
+    return cut_lineage(asked.groupBy("bucket").applyInArrow(
+        run, "slice long, bucket long, words_f array<long>, words_b array<long>, pairs_f array<long>, "
+             "pairs_b array<long>, distinct long"))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Counts of one corpus over the shared vocabulary; all are multiplied by ``scale`` when used."""
+    """What a model knows beside the counts of words and pairs; all counts are multiplied by ``scale`` when used."""
 
-    words: np.ndarray       # int64 (vocabulary + 1)
-    cells: np.ndarray       # int64 (2**bits)
+    total: int              # words
     starts: int             # texts that have a word: the history count of a text's start
+    size: int               # distinct words of the corpus, and one for all that it does not hold
     scale: float
 
-    def losses(self, ids: np.ndarray, before: np.ndarray, cell: np.ndarray, own: OwnCounts | None,
+    def losses(self, word: np.ndarray, joint: np.ndarray, seen: np.ndarray, total: np.ndarray,
                strength: float) -> np.ndarray:
-        """Bits of every token; ``own`` holds what its text itself gave to the counts."""
-        at_start = before == _START
-        word = self.words[ids].astype(np.float64)
-        joint = self.cells[cell].astype(np.float64)
-        seen = np.where(at_start, self.starts, self.words[np.where(at_start, 0, before).astype(np.int64)]).astype(float)
-        total = float(self.words.sum())
-        if own is not None:
-            word, joint, seen, total = word - own.word, joint - own.cell, seen - own.history, total - own.total
-        size = len(self.words)
-        unigram = (self.scale * np.maximum(word, 0) + 0.5) / (self.scale * np.maximum(total, 0) + 0.5 * size)
-        seen = self.scale * np.maximum(seen, 0)
-        joint = np.minimum(self.scale * np.maximum(joint, 0), seen)
+        """Bits of every token from its counts, its own text's left out."""
+        unigram = (self.scale * word + 0.5) / (self.scale * total + 0.5 * self.size)
         # Dirichlet smoothing: the unigram model counts as ``strength`` more observations.
-        return -np.log2((joint + strength * unigram) / (seen + strength))
-
+        return -np.log2((self.scale * joint + strength * unigram) / (self.scale * seen + strength))
+
+
+def _own(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """For every token, how often its own text holds the same word (or pair)."""
+    _, inv, n = np.unique(text * size + at, return_inverse=True, return_counts=True)
+    return n[inv]
+
+
+def _scores(texts: DataFrame, answers: DataFrame, target: Model, background: Model, strength: float, buckets: int,
+            id_col: str, id_type: str) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.Table.from_arrays([pa.nulls(0, left["id"].type), pa.nulls(0, pa.int64())]
+                                        + [pa.nulls(0, pa.float64())] * 3, names=names)
+        left = left.combine_chunks()
+        x = Slice(pa.concat_arrays(left["text"].chunks), buckets)
+        n = x.w.counts
+        none = n == 0
+        losses = [np.zeros(len(n))] * 2
+        if len(x.at):
+            right = right.sort_by("bucket").combine_chunks()
+            got = {k: pa.concat_arrays(right[k].chunks).flatten().to_numpy()
+                   for k in ("words_f", "words_b", "pairs_f", "pairs_b")}
+            text = x.w.text_of_word()
+            first = x.before < 0
+            own_word, own_pair = _own(text, x.at, len(x.words)), _own(text, x.pair, len(x.prev))
+            own_seen = np.ones(len(own_word), dtype=np.int64)
+            own_seen[1:] = own_word[:-1]
+            own_seen[first] = 1
+            flag = np.repeat(np.asarray(left["flag"].to_pylist(), dtype=np.int64), n)
+            losses = []
+            for m, side, mine in ((target, "f", flag), (background, "b", np.ones(len(text), dtype=np.int64))):
+                word = got[f"words_{side}"]
+                bit = m.losses(word[x.at] - mine * own_word, got[f"pairs_{side}"][x.pair] - mine * own_pair,
+                               np.where(first, m.starts, word[x.before]) - mine * own_seen,
+                               m.total - mine * n[text], strength)
+                loss = np.zeros(len(n))
+                loss[~none] = np.add.reduceat(bit, x.w.first[:-1][~none]) / n[~none]
+                losses.append(loss)
+        return pa.Table.from_arrays(
+            [left["id"], pa.array(n.astype(np.int64)), pa.array(losses[0], mask=none), pa.array(losses[1], mask=none),
+             pa.array(losses[0] - losses[1], mask=none)], names=names)
+
+    names = [id_col, "n_words", "target_loss", "background_loss", "loss_difference"]
+    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
+        run, f"`{id_col}` {id_type}, n_words long, target_loss double, background_loss double, loss_difference double")
+
+
+def loss_differences(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, bits: int | None = None,
+                     strength: float = 50.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_words, target_loss, background_loss, loss_difference`` (bits per token) of every text of ``docs``.
 
-@dataclass(frozen=True)
-class OwnCounts:
-    """For every token, the counts that its own text holds (zero where the text is not in the corpus)."""
-
-    word: np.ndarray
-    cell: np.ndarray
-    history: np.ndarray
-    total: np.ndarray
-
-    @classmethod
-    def of(cls, w: W.Words, ids: np.ndarray, before: np.ndarray, cell: np.ndarray, bits: int) -> OwnCounts:
-        text = w.text_of_word()
-
-        def inside(x: np.ndarray, shift: int) -> np.ndarray:
-            _, inv, n = np.unique((text << shift) | x, return_inverse=True, return_counts=True)
-            return n[inv].astype(np.float64)
-
-        word = inside(ids, 32)
-        history = np.ones(len(ids))
-        history[1:] = word[:-1]
-        history[before == _START] = 1.0
-        return cls(word, inside(cell, bits), history, w.counts[text].astype(np.float64))
-
-    def where(self, keep: np.ndarray) -> OwnCounts:
-        return OwnCounts(*(np.where(keep, x, 0.0) for x in (self.word, self.cell, self.history, self.total)))
-
-
-def fit(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 16, bits: int = 20,
-        text_col: str = "text") -> tuple[np.ndarray, Model, Model]:
-    """The shared vocabulary (sorted word hashes) and the target and background models."""
-    back = cut_lineage(word_counts(docs, text_col))
-    front = cut_lineage(word_counts(target, text_col))
-    totals = [int(t.agg(F.sum("n")).first()[0] or 0) for t in (front, back)]
-    scales = (1.0, totals[0] / totals[1] if totals[0] and totals[1] else 1.0)
-    top = back.orderBy(F.desc("n"), "word").limit(vocabulary)
-    rows = (top.withColumnRenamed("n", "b").join(front.withColumnRenamed("n", "f"), "word", "left")
-            .select("word", "b", F.coalesce("f", F.lit(0)).alias("f")).toArrow())
-    word = rows["word"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(word)
-    vocab = word[order]
-    out = []
-    for side, texts, total, scale in (("f", target, totals[0], scales[0]), ("b", docs, totals[1], scales[1])):
-        count = rows[side].to_numpy().astype(np.int64)[order]
-        count = np.append(count, total - count.sum())
-        cells = np.zeros(1 << bits, dtype=np.int64)
-        got = cell_counts(texts, vocab, bits, text_col).toArrow()      # at most 2**bits rows
-        if got.num_rows:
-            cells[got["cell"].to_numpy().astype(np.int64)] = got["n"].to_numpy()
-        del got
-        if cells.max(initial=0) < 1 << 31:
-            cells = cells.astype(np.int32)
-        starts = texts.where(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).count()
-        out.append(Model(count, cells, starts, scale))
-    return vocab, out[0], out[1]
-
-
-def score(docs: DataFrame, vocabulary: np.ndarray, target: Model, background: Model, strength: float = 50.0,
-          id_col: str = "doc_id", text_col: str = "text", flag_col: str = "_is_target") -> DataFrame:
-    """``id, n_words, target_loss, background_loss, loss_difference`` (bits per token) of every text.
-
-    Every text is taken out of the counts it is judged by: of the background, and of the target where
-    ``flag_col`` says that it is one.
+    The texts named by ``target_ids`` (column ``id_col``) are the target. ``vocabulary`` and ``bits`` bounded
+    the models once; they are still taken and change nothing, as all words and pairs count.
     """
-    src = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.col(flag_col).alias("_flag"))
-    id_type = src.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, target, background))
-    bits = len(target.cells).bit_length() - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, front, back = shared.value
-        for batch in batches:
-            for a, b in W.slices(batch.column(1)):
-                w = W.split_words(batch.column(1).slice(a, b - a))
-                n = w.counts
-                none = n == 0
-                losses = []
-                if len(w.starts):
-                    ids = _ids(w.hashes(lower=True), vocab)
-                    cell, before = _cells(w, ids, bits)
-                    own = OwnCounts.of(w, ids, before, cell, bits)
-                    flag = np.asarray(batch.column(2).slice(a, b - a).to_pylist(), dtype=bool)
-                    for m, mine in ((front, own.where(np.repeat(flag, n))), (back, own)):
-                        loss = np.zeros(b - a)
-                        bit = m.losses(ids, before, cell, mine, strength)
-                        loss[~none] = np.add.reduceat(bit, w.first[:-1][~none]) / n[~none]
-                        losses.append(loss)
-                else:
-                    losses = [np.zeros(b - a)] * 2
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)),
-                     pa.array(losses[0], mask=none), pa.array(losses[1], mask=none),
-                     pa.array(losses[0] - losses[1], mask=none)],
-                    names=[id_col, "n_words", "target_loss", "background_loss", "loss_difference"])
-
-    return src.mapInArrow(run, f"`{id_col}` {id_type}, n_words long, target_loss double, background_loss double, "
-                               "loss_difference double")
-
-
-def loss_differences(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 1 << 16, bits: int = 20,
-                     strength: float = 50.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every text of ``docs``; the texts named by ``target_ids`` (column ``id_col``) are the target."""
+    spark = docs.sparkSession
     ids = target_ids.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
     corpus = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    id_type = corpus.schema[id_col].dataType.simpleString()
+    n_bytes = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Several buckets a shuffle task, so that tasks are even.
+    buckets = max(n_bytes // BUCKET_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
     flagged = corpus.join(ids.withColumn("_is_target", F.lit(True)).hint("merge"), F.col(id_col) == F.col("_id"), "left")
-    flagged = flagged.select(id_col, "text", F.coalesce("_is_target", F.lit(False)).alias("_is_target"))
-    target = cut_lineage(flagged.where("_is_target").select("text"))
-    return score(flagged, *fit(corpus, target, vocabulary, bits), strength, id_col)
+    flagged = flagged.select(F.col(id_col).alias("id"), "text", F.coalesce("_is_target", F.lit(False)).alias("flag"))
+    both = _sliced(flagged, id_type, buckets)
+    texts = both.where("bucket IS NULL").select("slice", "id", "text", "flag", "n_words")
+    answers = _answers(both.where("bucket IS NOT NULL").select("slice", "bucket", *_KEYS))
+    front, back = F.when(F.col("flag"), F.col("n_words")), F.col("n_words")
+    sums = texts.agg(F.sum(front), F.sum(back), F.count(F.when(front > 0, 1)), F.count(F.when(back > 0, 1))).first()
+    n_front, n_back, starts_front, starts_back = (int(v or 0) for v in sums)
+    size = int(answers.agg(F.sum("distinct")).first()[0] or 0) + 1
+    scale = n_front / n_back if n_front and n_back else 1.0
+    return _scores(texts.drop("n_words"), answers.drop("distinct"), Model(n_front, starts_front, size, 1.0),
+                   Model(n_back, starts_back, size, scale), strength, buckets, id_col, id_type)
