@@ -95,6 +95,32 @@ def test_secrets(make_docs, edge_texts):
     assert secrets.scan(make_docs([])).count() == 0
 
 
+def test_armoured_keys_of_any_length(make_docs):
+    """Keys of 0, 1 and 2 bytes modulo 3, in lines, above armour, words and other base64 lines."""
+    rng = random.Random(13)
+    algorithm = _tlv(0x30, _tlv(6, bytes([42, 134, 72, 206, 61, 2, 1])))
+    texts, want = [], []
+    for n in (*range(40, 46), *range(107, 113), 700, 701, 702):
+        der = _tlv(0x30, _tlv(2, b"\0") + algorithm + _tlv(4, bytes(rng.randrange(256) for _ in range(n))))
+        b64 = base64.b64encode(der).decode()
+        for width, cut in ((64, "\n"), (76, "\r\n"), (10 ** 6, "\n")):
+            body = cut.join(b64[i:i + width] for i in range(0, len(b64), width))
+            for above, below in (("-----BEGIN PRIVATE KEY-----" + cut, cut + "-----END PRIVATE KEY-----"),
+                                 ("", cut + "word and words"), ("x" * 45 + cut, cut + "x" * 45 + cut + "abc"),
+                                 ("", cut + body), ("", "")):
+                t = above + body + below
+                texts.append(t)
+                found = [("der", len(above), len(above) + len(body))]
+                if below == cut + body:
+                    found.append(("der", len(body) + len(cut), len(t)))
+                want.append(found)
+    assert len({len(t.split()[0]) % 4 for t in texts}) > 1
+    for t, w in zip(texts, want):
+        assert [s for s in secrets.confirmed_spans(t) if s[0] == "der"] == w, t
+    rows = {r["doc_id"]: r["n_confirmed"] for r in secrets.scan(make_docs(texts[:30])).collect()}
+    assert [rows[i] for i in range(30)] == [len(w) for w in want[:30]]
+
+
 def _tongues(rng, n):
     parts = {"aa": ["tha", "ing", "the", "shi", "wor"], "bb": ["ção", "que", "ñar", "los", "ado"],
              "cc": ["sch", "ung", "der", "ü", "zei"]}

@@ -17,7 +17,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,11 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
-# One base64 run, or the lines of an armoured body.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+# Where a base64 run of 40 characters starts with a DER sequence or the OpenSSH magic.
+KEY_START = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-P](?=[A-Za-z0-9+/_-]{38})|b3Bl(?=[A-Za-z0-9+/_-]{36}))")
+# A run and the lines below it, as in an armoured body, above any armour line.
+BLOCK = re.compile(r"[A-Za-z0-9+/_-]+(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
 
@@ -64,6 +69,14 @@ def _tlv(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
+def _header(b: bytes) -> int:
+    """Length of the DER value, header included, that ``b`` (six bytes or more) starts; 0 if its form is wrong."""
+    k = b[1] & 0x7F if b[1] & 0x80 else 0
+    if k > 4 or b[1] == 0x80:
+        return 0
+    return 2 + k + (int.from_bytes(b[2:2 + k], "big") if k else b[1])
+
+
 def _children(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     """All values that fill ``b[at:end]`` exactly, or None."""
     out = []
@@ -144,16 +157,47 @@ def _key_kind(b: bytes | None) -> str | None:
     return "der" if b[0] == 0x30 and is_private_der(b) else None
 
 
+def _base64_keys(text: str) -> Iterator[Span]:
+    """Base64 keys, each from its start to the line end where it is whole.
+
+    The header of a DER key gives the number of its characters, so lines below it that look like base64 do not
+    matter. An OpenSSH container goes to the last line that leaves a length base64 can have.
+    """
+    done = block_end = 0
+    for m in KEY_START.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        if at >= block_end:
+            block_end = BLOCK.match(text, at).end()
+            runs = [r.span() for r in RUN.finditer(text, at, block_end)]
+            total = [0, *accumulate(e - s for s, e in runs)]
+        i = bisect_right(runs, at, key=lambda r: r[0]) - 1
+        before = total[i] + at - runs[i][0]                     # characters of the block above this start
+        if m[0] == "b3Bl":
+            last = next((j for j in range(len(runs), i, -1) if (total[j] - before) % 4 != 1), i)
+            end = runs[last - 1][1] if last > i else at
+        else:
+            top = _header(_unbase64(text[at:at + 8]))
+            size = -(-4 * top // 3)
+            last = bisect_left(total, before + size)
+            if last == len(total) or not top:
+                continue
+            end = runs[last - 1][1] - (total[last] - before - size)
+            if end != runs[last - 1][1] and not text.startswith("-----", end):
+                continue
+        while end < len(text) and text[end] == "=" and end - runs[last - 1][1] < 2:
+            end += 1
+        kind = _key_kind(_unbase64(text[at:end]))
+        if kind:
+            done = end
+            yield kind, at, end
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Spans that decode to a key or a signed token."""
     out: list[Span] = []
-    for m in BASE64.finditer(text):
-        at, end, kind = m.start(), m.end(), _key_kind(_unbase64(m[0]))
-        if kind is None and "\n" in m[0]:                       # a single line above other text
-            end = at + m[0].index("\n")
-            kind = _key_kind(_unbase64(text[at:end].rstrip("\r")))
-        if kind:
-            out.append((kind, at, end))
+    out += _base64_keys(text)
     for m in HEX_ANY.finditer(text):
         kind = _key_kind(bytes.fromhex(m[0]))
         if kind and not any(k == kind and s <= m.start() < e for k, s, e in out):
