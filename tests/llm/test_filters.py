@@ -121,6 +121,25 @@ def test_armoured_keys_of_any_length(make_docs):
     assert [rows[i] for i in range(30)] == [len(w) for w in want[:30]]
 
 
+def test_keys_after_names_and_spaced_headers(make_docs):
+    """A key after ``NAME=`` or a mark, and a signed header that starts with white space or is after a name."""
+    rng = random.Random(17)
+    algorithm = _tlv(0x30, _tlv(6, bytes([42, 134, 72, 206, 61, 2, 1])))
+    b64 = base64.b64encode(_tlv(0x30, _tlv(2, b"\0") + algorithm + _tlv(4, rng.randbytes(120)))).decode()
+    cases = {}
+    for before, below in (("PRIVATE_KEY=", ""), ("key=", "\nnext=1"), ("x/", " y"), ("key_", ""), ("a-", ""), ("k==", ""),
+                          ("-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----")):
+        cases[before + b64 + below] = [("der", len(before), len(before) + len(b64))]
+    for head in ('{"alg":"HS256"}', '{ "alg":"HS256"}', '{\n "alg" : "RS256"}', '\n {"alg":"ES256"}', '\t{"alg":"none"}'):
+        jwt = base64.urlsafe_b64encode(head.encode()).decode().rstrip("=") + ".e30.c2ln"
+        for before, below in (("", ""), ("jwt=", " x"), ("www.example-host-name.", "")):
+            cases[before + jwt + below] = [("jwt", len(before), len(before) + len(jwt))]
+    cases |= {"see www.example-of-a-host.org.uk": [], base64.b64encode(b'{ "typ":"JWT"}').decode().rstrip("=") + ".a.b": []}
+    rows = {r["doc_id"]: r for r in secrets.scan(make_docs(list(cases))).collect()}
+    for i, (t, spans) in enumerate(cases.items()):
+        assert rows[i]["spans"] == secrets.joined(spans) and rows[i]["n_confirmed"] == len(spans), t
+
+
 def _tongues(rng, n):
     parts = {"aa": ["tha", "ing", "the", "shi", "wor"], "bb": ["ção", "que", "ñar", "los", "ado"],
              "cc": ["sch", "ung", "der", "ü", "zei"]}

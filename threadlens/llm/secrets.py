@@ -35,12 +35,14 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
-# Where a base64 run of 40 characters starts with a DER sequence or the OpenSSH magic.
-KEY_START = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-P](?=[A-Za-z0-9+/_-]{38})|b3Bl(?=[A-Za-z0-9+/_-]{36}))")
+# Where 40 characters of a base64 run start with a DER sequence or the OpenSSH magic: after any other
+# character, or after a mark that may be of the run or of what stands before it (a path, armour, a name).
+KEY_START = re.compile(r"(?<![A-Za-z0-9+])(?:M[A-P](?=[A-Za-z0-9+/_-]{38})|b3Bl(?=[A-Za-z0-9+/_-]{36}))")
 # A run and the lines below it, as in an armoured body, above any armour line.
 BLOCK = re.compile(r"[A-Za-z0-9+/_-]+(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*")
 RUN = re.compile(r"[A-Za-z0-9+/_-]+")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# The first part of a dotted triple; what follows is looked at only, as its second part may start one too.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}+(?=(\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*+))")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -202,8 +204,11 @@ def confirmed_spans(text: str) -> list[Span]:
         kind = _key_kind(bytes.fromhex(m[0]))
         if kind and not any(k == kind and s <= m.start() < e for k, s, e in out):
             out.append((kind, m.start(), m.end()))
-    if "eyJ" in text:
-        out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if _is_signed_header(m[0].split(".", 1)[0])]
+    done = 0
+    for m in JWT.finditer(text):
+        if m.start() >= done and _is_signed_header(m[0]):
+            done = m.end(1)
+            out.append(("jwt", m.start(), done))
     return out
 
 
