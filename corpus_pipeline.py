@@ -35,7 +35,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates that meet the domains' target weights; each text stays as often as its rate, rounded."""
+    """Rates that meet the domains' target weights; each text stays as often as its rate, a fraction by a hash."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixing.mixed_rows(docs, labels, label_domain(), MIX_WEIGHTS)
 

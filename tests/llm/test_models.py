@@ -55,6 +55,22 @@ def test_rates_meet_targets(make_docs, edge_texts, spark, vocab):
     assert np.mean([(i in ids) == (kinds[i] == "good") for i in held]) > 0.95
 
 
+@pytest.mark.parametrize("bad", [0.02, 0.12, 0.4])
+def test_mixed_rows_meet_targets(make_docs, spark, vocab, bad):
+    """Domain totals of the rows written, at rates of the unwished domain near 0.05, 0.3 and 1.5."""
+    texts, kinds = two_kinds(vocab, 1500, 2)
+    docs = make_docs(texts)
+    labels = spark.createDataFrame([(i, k) for i, k in enumerate(kinds) if i % 2], "doc_id long, kind string")
+    weights = {"good": 1 - bad, "bad": bad}
+    model, _, member = mixing.fit(docs, labels, F.col("kind"), weights)
+    want = mixing.token_targets(member, model.domains, weights)
+    kept = mixing.mixed_rows(docs, labels, F.col("kind"), weights)
+    assert kept.columns == docs.columns
+    got, _ = mixing._sums(mixing.memberships(kept, model, ["doc_id"]), len(want))
+    by = dict(zip(model.domains, got / want))
+    assert by["good"] == pytest.approx(1, rel=0.05) and by["bad"] == pytest.approx(1, rel=0.4 if bad < 0.1 else 0.2 if bad < 0.2 else 0.1)
+
+
 def test_rates_without_labels(make_docs, edge_texts, spark):
     none = spark.createDataFrame([], "doc_id long, kind string")
     docs = make_docs(edge_texts)

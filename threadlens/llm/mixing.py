@@ -290,13 +290,16 @@ def rates(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str,
 def mixed_rows(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float],
                budget: float | None = None, id_col: str = "doc_id", text_col: str = "text",
                **classifier: object) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate rounded half up (a rate under one half drops it).
+    """The rows of ``docs``, each as often as the whole part of its rate, and once more where a hash of its id
+    and text falls below the fraction, so that the expected domain totals of the rows are those of the rates.
 
     A rate depends on the text alone, so the second pass over the texts needs no join.
     """
     model, steps, _ = fit(docs, labels, domain, weights, budget, id_col, text_col, **classifier)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-                       F.col(text_col).alias("_body"))
-    times = F.floor(rate_column(steps) + F.lit(0.5)).cast("int")
-    return (memberships(rows, model, ["row"], "_body").withColumn("times", times).where("times > 0")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("_body"),
+                       (F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), F.col(text_col)), 11) / F.lit(2.0 ** 53))
+                       .alias("_draw"))
+    rate = rate_column(steps)
+    times = (F.floor(rate) + (F.col("_draw") < rate - F.floor(rate)).cast("int")).cast("int")
+    return (memberships(rows, model, ["row", "_draw"], "_body").withColumn("times", times).where("times > 0")
             .select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*"))
