@@ -221,6 +221,35 @@ def test_lines_against_brute_force(make_docs, edge_texts):
     assert lines.line_duplicates(make_docs([])).count() == 0
 
 
+def test_line_query_links_short_lines(spark, tmp_path, make_docs):
+    """The registered query against brute force over lines of every length, short boilerplate among them."""
+    from threadlens.llm.queries import op8_line_dedup
+
+    rng = random.Random(8)
+    base = ["All rights reserved.", "abc", "xyz w", "Read more", "12", "q"]
+    base += ["".join(rng.choice("abcdé 語") for _ in range(rng.randint(1, 29))).strip() or "z" for _ in range(30)]
+
+    def vary(s):
+        i = rng.randrange(len(s))
+        return (s[:i] + rng.choice(["", "x", "é"]) + s[i + rng.randint(0, 1):]).strip() or "z"
+
+    texts = ["\n".join(vary(rng.choice(base)) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    texts += ["All rights reserved.", "All rights reserved"]
+    make_docs(texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    every = [[x.strip(" \t\n\x0b\f\r") for x in t.split("\n")] for t in texts]
+    first = {}
+    for d, ls in enumerate(every):
+        for i, x in enumerate(ls):
+            first.setdefault(x, (d, i))
+    long = [x for x in first if len(x) >= 3]
+    near = {x: {y for y in long if x != y and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2} for x in long}
+    rows = {r["doc_id"]: r for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    for d, ls in enumerate(every):
+        want = (sum((d, i) == first[x] and any(first[y] < first[x] for y in near.get(x, ())) for i, x in enumerate(ls)),
+                sum(len(near.get(x, ())) for x in set(ls)))
+        assert (rows[d]["n_near"], rows[d]["n_links"]) == want, ls
+
+
 def test_decontamination_against_brute_force(make_docs, edge_texts, spark, vocab):
     rng = random.Random(12)
     items = [" ".join(rng.choice(vocab) for _ in range(rng.randint(3, 70))) for _ in range(40)] + [None, "", "one two"]

@@ -2,7 +2,8 @@
 
 Lines are the parts of a text between newlines, without white space around them; empty ones do not count.
 Two different lines of at least ``min_chars`` code points are linked if their edit distance is at most
-``tau``; shorter lines only match as they are.
+``tau``; shorter lines only match as they are. ``min_chars`` can go down to ``tau + 1``, as in the registered
+query: a shorter line has no segment for each edit, and is within ``tau`` edits of any line as short.
 
 A line of length l is cut into ``tau + 1`` even segments and indexed by (l, segment number, segment). By the
 pigeonhole principle a linked line of length l to l + ``tau`` holds one of these segments as it stands, at
