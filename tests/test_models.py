@@ -99,6 +99,28 @@ def test_kmeans_recovers_separable_clusters(spark):
     assert scores.v_measure == 1.0 and scores.adjusted_rand == 1.0
 
 
+def test_kmeans_text_keeps_every_term_apart(spark, sf_small, monkeypatch):
+    """The registered query: one place a term, M1 weights, 100 rounds, a cluster for each document."""
+    from pyspark.ml.clustering import KMeans
+
+    from threadlens.plans import q_models
+    from threadlens.plans.q_features import _all_docs, _doc_tf
+
+    seen, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, x: (seen.append((self.getMaxIter(), x)), fit(self, x))[1])
+    out = q_models.m5t(spark, sf_small)
+    tf, docs = _doc_tf(spark, sf_small), _all_docs(spark, sf_small)
+    rounds, x = seen[0]
+    vectors = {r["doc_id"]: r["features"] for r in x.collect()}
+    assert rounds == 100 and len(vectors) == docs.count() == out.count()
+    assert {v.size for v in vectors.values()} == {tf.select("term").distinct().count()}
+    want = {}
+    for r in FE.tfidf(tf, ["doc_id"], documents=docs).collect():
+        want.setdefault(r["doc_id"], []).append(r["weight"])
+    assert all(sorted(want.get(d, [])) == sorted(v.values.tolist()) for d, v in vectors.items())
+    assert {r["cluster"] for r in out.collect()} <= set(range(8))
+
+
 def test_lda_topic_distributions(spark, sf_small):
     from threadlens.functions import text as T
     from threadlens.sources.forum import ForumTables

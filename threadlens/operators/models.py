@@ -56,6 +56,30 @@ def kmeans_text(tokens: DataFrame, id_col: str, tokens_col: str, k: int = 8, max
     return model.transform(tokens).select(id_col, "cluster"), model
 
 
+def kmeans_weights(weights: DataFrame, terms: DataFrame, documents: DataFrame, id_col: str, k: int = 8,
+                   max_iter: int = 100, seed: int = 1) -> tuple[DataFrame, object]:
+    """M5 on exact weights ``(id, term, weight)``, as sparse vectors over ``terms`` ``(term, term_index)``.
+
+    Every term has a place of its own; the k centres are as wide as the vocabulary. Each row of ``documents``
+    gets a cluster, those without a term as the empty vector.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    size = terms.count()
+
+    def vector(pairs):
+        pairs = pairs or []
+        return SparseVector(max(size, 1), [p[0] for p in pairs], [p[1] for p in pairs])
+
+    lists = (weights.join(terms.select("term", F.col("term_index").cast("int").alias("i")), "term")
+             .groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("pairs")))
+    x = cut_lineage(documents.join(lists, F.col(id_col) == F.col("_id"), "left")
+                    .select(id_col, F.udf(vector, VectorUDT())("pairs").alias("features")))
+    model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="features", predictionCol="cluster").fit(x)
+    return model.transform(x).select(id_col, "cluster"), model
+
+
 # ---------------------------------------------------------------- M6 cluster quality
 
 def clustering_scores(assign: DataFrame, label: str = "label", cluster: str = "cluster") -> DataFrame:

@@ -96,8 +96,10 @@ def m6s(spark, sf_dir):
 @register("m5_kmeans_text")
 def m5t(spark, sf_dir):
     """k-means on the TF-IDF of whole texts: cluster sizes' members as ``(doc_id, cluster)``."""
-    docs = _t(spark, sf_dir).raw("documents").select("doc_id", T.terms("text", STOP_WORDS).alias("tokens"))
-    return MO.kmeans_text(docs, "doc_id", "tokens", k=8, max_iter=20, num_features=1 << 14, seed=1)[0]
+    tf, docs = cut_lineage(_doc_tf(spark, sf_dir)), _all_docs(spark, sf_dir)
+    weights = FE.tfidf(tf, ["doc_id"], materialize=False, documents=docs)
+    terms = cut_lineage(FE.vocabulary(tf, ["doc_id"], documents=docs).select("term", "term_index"))
+    return MO.kmeans_weights(weights, terms, docs, "doc_id", k=8, max_iter=100, seed=1)[0]
 
 
 # ---------------------------------------------------------------- M7 / M8
