@@ -67,6 +67,15 @@ def test_near_duplicates_ids(make_docs):
     assert sorted(r["doc_id"] or -1 for r in kept.select("doc_id").collect()) == [-1, 1, 3]
 
 
+def test_repeated_ids_keep_different_texts(make_docs):
+    a, b, c = "a b c d e f g", "q r s t u v w", "k l m n o p q"
+    docs = make_docs([a, b, b, c, a, None, c], ids=[3, 3, 3, 3, 5, 4, None])
+    kept = minhash.distinct_rows(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.select("doc_id", "text").collect())
+    assert got == [(-1, c), (3, a), (3, c), (3, b), (4, "")]
+
+
 def test_posterior_pruning_bounds():
     # A pair at the threshold passes all batches but with the chosen probability.
     plan = minhash.least_matches(512, 0.8, 1e-5)

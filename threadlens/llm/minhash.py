@@ -237,16 +237,25 @@ def distinct_rows(docs: DataFrame, k: int = 5, lower: bool = True, percent: int
                   text_col: str = "text", **search: object) -> DataFrame:
     """The rows of ``docs`` that stay when one text of each component does: the smallest id.
 
-    Rows without shingles or with a null id stay. Of rows that repeat an id one stays.
+    Rows without shingles or with a null id stay. Where ids repeat, a row is known by its id and its text, so
+    that only rows of the same text, or of linked ones, go.
     """
-    found = near_duplicates(docs, k, lower, percent, id_col=id_col, text_col=text_col, **search)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    rest = docs.join(gone.hint("merge"), id_col, "left_anti")
-    twice = cut_lineage(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
-    if twice.isEmpty():
+    def repeated(rows: DataFrame, key: str) -> DataFrame:
+        return cut_lineage(rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
+
+    rows, key = docs, id_col
+    if not repeated(docs, id_col).isEmpty():
+        key = "_row_key"
+        rows = docs.withColumn(key, F.when(F.col(id_col).isNotNull(), F.struct(
+            F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))))
+    found = near_duplicates(rows, k, lower, percent, id_col=key, text_col=text_col, **search)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    rest = rows.join(gone.hint("merge"), key, "left_anti").select(rows.columns)
+    if key == id_col:
         return rest
-    return rest.join(twice, id_col, "left_anti").unionByName(
-        rest.join(twice, id_col, "left_semi").dropDuplicates([id_col]))
+    twice = repeated(rows, key)
+    return rest.join(twice, key, "left_anti").select(rows.columns).unionByName(
+        rest.join(twice, key, "left_semi").select(rows.columns).dropDuplicates([key])).drop(key)
 
 
 def linked_components(docs: DataFrame, reps: DataFrame, hashes: int, k: int, lower: bool, percent: int,
