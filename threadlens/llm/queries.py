@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import (archives, decontaminate, divergence, langid, lines, lmscore, minhash, mixing, packing,
-                            quality, secrets, substrings)
+                            quality, secrets, spelling, substrings)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.round_trip(_table(spark, sf_dir, "pages"), min_payload=0)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -85,12 +89,13 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_soft_mixing, op2_quality_rules, op3_language_id, op4_lm_scoring, op5_secret_scan,
     op6_substring_dedup, op7_token_packing, op8_line_dedup, op9_benchmark_decontamination, op10_minhash_near_dedup,
-    op11_warc, op13_source_divergence)}
+    op11_warc, op12_spelling_variants, op13_source_divergence)}
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.oracle(),
     "op6_substring_dedup": substrings.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
     "op11_warc": archives.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
     "op13_source_divergence": divergence.ORACLE,
 }
