@@ -99,26 +99,83 @@ def test_kmeans_recovers_separable_clusters(spark):
     assert scores.v_measure == 1.0 and scores.adjusted_rand == 1.0
 
 
-def test_kmeans_text_keeps_every_term_apart(spark, sf_small, monkeypatch):
-    """The registered query: one place a term, M1 weights, 100 rounds, a cluster for each document."""
-    from pyspark.ml.clustering import KMeans
+def _text_weights(texts):
+    """Normalised TF-IDF rows of token lists, spelled out."""
+    from collections import Counter
 
+    df = Counter(t for x in texts for t in set(x))
+    out = []
+    for x in texts:
+        w = {t: c * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, c in Counter(x).items()}
+        n = math.sqrt(sum(v * v for v in w.values()))
+        out.append({t: v / n for t, v in w.items()})
+    return out
+
+
+def _text_table(spark, texts):
+    docs = spark.createDataFrame([(i,) for i in range(len(texts))], "doc_id long")
+    return docs, spark.createDataFrame([(i, t) for i, x in enumerate(texts) for t in x], "doc_id long, term string").repartition("doc_id")
+
+
+def test_kmeans_text_is_lloyd_to_the_end(spark):
+    """From the centres the start picked, bounded rounds end where plain Lloyd rounds over dense vectors end."""
+    from threadlens.operators import kmeans as KM
+
+    rng = np.random.default_rng(5)
+    groups = [[f"g{g}w{i}" for i in range(30)] for g in range(4)]
+    texts = [[*rng.choice(groups[i % 4], 12), *rng.choice([f"c{j}" for j in range(40)], 14), f"only{i}"] for i in range(160)]
+    texts += [[], texts[0], ["alone"]]
+    docs, occ = _text_table(spark, texts)
+    rows, idf, state = KM.prepare(docs, occ, "doc_id")
+    seeds = KM._candidates(rows, idf, state, 4, 1)
+    assert len(set(seeds)) == 4
+    w = _text_weights(texts)
+    vocab = {t: i for i, t in enumerate(sorted({t for x in w for t in x}))}
+    x = np.zeros((len(texts), len(vocab)))
+    for i, row in enumerate(w):
+        for t, v in row.items():
+            x[i, vocab[t]] = v
+    c, want = x[seeds], None
+    for _ in range(100):
+        d = np.round(np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None])), 9)
+        new = d.argmin(1)
+        if want is not None and (new == want).all():
+            break
+        want = new
+        c = np.array([x[want == j].mean(0) if (want == j).any() else np.zeros(len(vocab)) for j in range(4)])
+    found, history = KM.fit(rows, idf, state, 4, 100, 0.0, 1)
+    got = {r["id"]: r["cluster"] for r in found.collect()}
+    assert [got[i] for i in range(len(texts))] == want.tolist()
+    assert history[-1]["moved"] == 0 and history[-1]["looked"] < len(texts)
+    assert len({got[i] for i in range(160)}) == 4
+
+
+def test_kmeans_text_edge_tables(spark):
+    from threadlens.operators import kmeans as KM
+
+    for texts in ([], [[], []], [["a"], ["a"], ["b"]]):
+        docs, occ = _text_table(spark, texts)
+        got = KM.kmeans_terms(docs, occ, "doc_id", k=8).collect()
+        assert len(got) == len(texts)
+
+
+def test_kmeans_text_query_gives_every_document_a_cluster(spark, sf_small):
     from threadlens.plans import q_models
-    from threadlens.plans.q_features import _all_docs, _doc_tf
-
-    seen, fit = [], KMeans.fit
-    monkeypatch.setattr(KMeans, "fit", lambda self, x: (seen.append((self.getMaxIter(), x)), fit(self, x))[1])
-    out = q_models.m5t(spark, sf_small)
-    tf, docs = _doc_tf(spark, sf_small), _all_docs(spark, sf_small)
-    rounds, x = seen[0]
-    vectors = {r["doc_id"]: r["features"] for r in x.collect()}
-    assert rounds == 100 and len(vectors) == docs.count() == out.count()
-    assert {v.size for v in vectors.values()} == {tf.select("term").distinct().count()}
-    want = {}
-    for r in FE.tfidf(tf, ["doc_id"], documents=docs).collect():
-        want.setdefault(r["doc_id"], []).append(r["weight"])
-    assert all(sorted(want.get(d, [])) == sorted(v.values.tolist()) for d, v in vectors.items())
-    assert {r["cluster"] for r in out.collect()} <= set(range(8))
+    from threadlens.plans.q_features import _all_docs
+
+    out = {r["doc_id"]: r["cluster"] for r in q_models.m5t(spark, sf_small).collect()}
+    assert set(out) == {r["doc_id"] for r in _all_docs(spark, sf_small).collect()} and set(out.values()) <= set(range(8))
+
+
+def test_discard_deletes_only_written_tables(spark):
+    import os
+
+    from threadlens.session import cut_lineage, discard
+
+    a, b = cut_lineage(spark.range(3)), cut_lineage(spark.range(4))
+    discard(a, spark.range(5), b.where("id > 0"))
+    folder = lambda t: "/" + t._written_path.replace("file:", "").lstrip("/")
+    assert not os.path.exists(folder(a)) and os.path.exists(folder(b)) and b.count() == 4
 
 
 def test_lda_topic_distributions(spark, sf_small):

@@ -63,3 +63,15 @@ def test_dense_index_matches_global_row_number(spark):
     idx = R.dense_index(df, ["term"], "i", partitions=7)
     ref = df.withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)
     assert idx.select("term", "i").exceptAll(ref.select("term", "i")).count() == 0
+
+
+def test_dense_index_is_one_evaluation(spark, tmp_path):
+    """Every position once on a written result of many rows, with the order kept."""
+    df = spark.range(400_000).select(F.sha1(F.col("id").cast("string")).alias("term"))
+    R.dense_index(df, ["term"], "i").write.parquet(f"{tmp_path}/i")
+    got = spark.read.parquet(f"{tmp_path}/i")
+    r = got.agg(F.countDistinct("i").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi")).first()
+    assert (r.n, r.lo, r.hi) == (400_000, 0, 399_999)
+    pairs = got.select(F.floor(F.col("i") / 1000).alias("b"), "term").groupBy("b").agg(
+        F.min("term").alias("lo"), F.max("term").alias("hi")).orderBy("b").collect()
+    assert all(a.hi < b.lo for a, b in zip(pairs, pairs[1:]))

@@ -1,6 +1,6 @@
 """Models over the features (M5-M8, M10): MLlib where it matches, DataFrame algebra where exactness matters.
 
-* k-means (M5) and online LDA (M8) are MLlib estimators.
+* k-means (M5) on dense vectors and online LDA (M8) are MLlib estimators; k-means on text is in ``kmeans.py``.
 * Cluster quality (M6) is computed from the contingency table and cluster
   sums: no pairwise distances.  Silhouette uses squared Euclidean distance,
   whose per-cluster mean decomposes into sums (the definition MLlib's
@@ -35,51 +35,6 @@ def kmeans_dense(df: DataFrame, id_col: str, array_col: str, k: int = 8, max_ite
     return model.transform(x).select(id_col, "cluster"), model
 
 
-def kmeans_text(tokens: DataFrame, id_col: str, tokens_col: str, k: int = 8, max_iter: int = 100, seed: int = 1,
-                num_features: int = 1 << 16, min_doc_freq: int = 0) -> tuple[DataFrame, object]:
-    """M5 on text: hashed term counts -> IDF -> L2 norm -> k-means (MLlib's idf is ln((N+1)/(df+1))).
-
-    Terms are hashed to ``num_features`` slots, so no term is dropped and no vocabulary is held on the driver;
-    the k centres of that width bound its memory.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-
-    pipe = Pipeline(stages=[
-        HashingTF(inputCol=tokens_col, outputCol="tf", numFeatures=num_features),
-        IDF(inputCol="tf", outputCol="tfidf", minDocFreq=min_doc_freq),
-        Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
-        KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="features", predictionCol="cluster"),
-    ])
-    model = pipe.fit(tokens)
-    return model.transform(tokens).select(id_col, "cluster"), model
-
-
-def kmeans_weights(weights: DataFrame, terms: DataFrame, documents: DataFrame, id_col: str, k: int = 8,
-                   max_iter: int = 100, seed: int = 1) -> tuple[DataFrame, object]:
-    """M5 on exact weights ``(id, term, weight)``, as sparse vectors over ``terms`` ``(term, term_index)``.
-
-    Every term has a place of its own; the k centres are as wide as the vocabulary. Each row of ``documents``
-    gets a cluster, those without a term as the empty vector.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    size = terms.count()
-
-    def vector(pairs):
-        pairs = pairs or []
-        return SparseVector(max(size, 1), [p[0] for p in pairs], [p[1] for p in pairs])
-
-    lists = (weights.join(terms.select("term", F.col("term_index").cast("int").alias("i")), "term")
-             .groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("pairs")))
-    x = cut_lineage(documents.join(lists, F.col(id_col) == F.col("_id"), "left")
-                    .select(id_col, F.udf(vector, VectorUDT())("pairs").alias("features")))
-    model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="features", predictionCol="cluster").fit(x)
-    return model.transform(x).select(id_col, "cluster"), model
-
-
 # ---------------------------------------------------------------- M6 cluster quality
 
 def clustering_scores(assign: DataFrame, label: str = "label", cluster: str = "cluster") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from threadlens.functions import text as T
 from threadlens.functions import ids as D
+from threadlens.session import cut_lineage
 
 DEFAULT_SEED = 42
 # Lookup frames below this many rows are broadcast; bigger ones are shuffle-joined.
@@ -302,7 +303,6 @@ def seeded_split(df: DataFrame, id_col: str, label_col: str, seed: int = DEFAULT
     offsets = sizes.select(label_col, "_b",
                            F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_before"),
                            F.sum("_bn").over(wt).alias("_n"))
-    offsets = offsets
     w = Window.partitionBy(label_col, "_b").orderBy("_h", id_col)
     ranked = d.join(offsets, [label_col, "_b"]).withColumn("_rn", F.col("_before") + F.row_number().over(w))
     return (ranked.withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") / 2), F.lit("train"))
@@ -310,12 +310,6 @@ def seeded_split(df: DataFrame, id_col: str, label_col: str, seed: int = DEFAULT
             .drop("_h", "_b", "_before", "_rn", "_n"))
 
 
-def top_n_per_group(df: DataFrame, group: str, score: str, item: str, n: int) -> DataFrame:
-    """Top ``n`` items per group by score (ties by item), with rank."""
-    w = Window.partitionBy(group).orderBy(F.desc(score), F.asc(item))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
 # ---------------------------------------------------------------- U: set operations
 
 def union_thread_ids(*frames: DataFrame) -> DataFrame:
@@ -361,18 +355,20 @@ def row_index(df: DataFrame, group: str, order_col: str, width: int = 4096) -> D
 
 
 def dense_index(df: DataFrame, order: list[str], out: str = "index", partitions: int | None = None) -> DataFrame:
-    """0-based position of every row in a global order, without a single-partition window.
+    """0-based position of every row in a global order, without a window and without a second shuffle.
 
-    Rows are range-partitioned and sorted on ``order``; per-partition row
-    counts (one row per partition) give each partition's offset, and the
-    row number inside the partition adds the local position.
+    The range-sorted rows are written once with the partition and place they got, so a single evaluation
+    decides the order. Sizes of the partitions (one row each) give exclusive sums, and the written place
+    adds the local position.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    counts = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    # The id holds the partition above 33 bits and the row's place in the sorted partition below.
+    placed = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                         .withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33).alias("_p"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")
+    placed = placed.select("*", part, place).drop("_at")
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    local = Window.partitionBy("_p").orderBy(*order)
-    return (s.join(F.broadcast(offsets), "_p")
-            .withColumn(out, F.col("_off") + F.row_number().over(local) - 1)
-            .drop("_p", "_off"))
+    return (placed.join(F.broadcast(offsets), "_p").withColumn(out, F.col("_off") + F.col("_place"))
+            .drop("_p", "_place", "_off"))

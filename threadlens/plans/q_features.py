@@ -95,6 +95,15 @@ def m2v(spark, sf_dir):
     return _vocab(_doc_tf(spark, sf_dir), _all_docs(spark, sf_dir))
 
 
+@register("m2_full_vocabulary", with_ctes(
+    """select term, count(*) as df, sum(tf)::bigint as cnt, row_number() over (order by term) - 1 as term_index
+       from dtf group by term""", extra=_DOC_TF))
+def m2f(spark, sf_dir):
+    """M2 without a limit: every term of the whole texts, numbered in order."""
+    tf = cut_lineage(_doc_tf(spark, sf_dir))
+    return FE.vocabulary(tf, ["doc_id"], documents=_all_docs(spark, sf_dir)).select("term", "df", "cnt", "term_index")
+
+
 @register("m2_count_vectors", with_ctes(
     "select dtf.doc_id, vocab.term_index, dtf.tf from dtf join vocab using (term)", extra=_VOCAB))
 def m2c(spark, sf_dir):

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
 from threadlens.operators import features as FE
+from threadlens.operators import kmeans as KM
 from threadlens.operators import models as MO
 from threadlens.operators import relational as R
-from threadlens.plans.q_features import MAX_FEATURES, _TERMS, _all_docs, _doc_tf, _m3, _vocab
+from threadlens.plans.oracle_sql import with_ctes
+from threadlens.plans.q_features import MAX_FEATURES, _DOC_TF, _TERMS, _all_docs, _doc_tf, _m3, _vocab
 from threadlens.plans.q_text import STOP_WORDS
 from threadlens.plans.registry import register
 from threadlens.session import cut_lineage
@@ -93,13 +95,59 @@ def m6s(spark, sf_dir):
     return MO.silhouette_sq(pts, "vec_id", "embedding", "cluster")
 
 
+def _text_occurrences(spark, sf_dir):
+    """All documents, and their term occurrences with a document's rows in one partition."""
+    docs = _t(spark, sf_dir).raw("documents").select("doc_id", "text")
+    return docs, FE.term_occurrences(docs.repartition("doc_id"), ["doc_id"], "text", STOP_WORDS)
+
+
 @register("m5_kmeans_text")
 def m5t(spark, sf_dir):
-    """k-means on the TF-IDF of whole texts: cluster sizes' members as ``(doc_id, cluster)``."""
-    tf, docs = cut_lineage(_doc_tf(spark, sf_dir)), _all_docs(spark, sf_dir)
-    weights = FE.tfidf(tf, ["doc_id"], materialize=False, documents=docs)
-    terms = cut_lineage(FE.vocabulary(tf, ["doc_id"], documents=docs).select("term", "term_index"))
-    return MO.kmeans_weights(weights, terms, docs, "doc_id", k=8, max_iter=100, seed=1)[0]
+    """k-means on the TF-IDF of whole texts: ``(doc_id, cluster)`` of every document."""
+    return KM.kmeans_terms(*_text_occurrences(spark, sf_dir), "doc_id", k=8, max_iter=100, seed=1)
+
+
+# One Lloyd step from the documents of the eight smallest ids as centres.
+_STEP = _DOC_TF + [
+    "nd as (select count(*) as n from documents)",
+    "dfq as (select term, count(*) as df from dtf group by term)",
+    "wr as (select doc_id, term, dtf.tf * (ln((1.0 + nd.n) / (1 + dfq.df)) + 1) as w from dtf join dfq using (term), nd)",
+    "nr as (select doc_id, sqrt(sum(w * w)) as nrm from wr group by doc_id)",
+    "wt as (select doc_id, term, w / nrm as w from wr join nr using (doc_id))",
+    """cs as (select doc_id, row_number() over (order by doc_id) - 1 as j from
+           (select doc_id from documents order by doc_id limit 8) x)""",
+    """dp as (select x.doc_id, cs.j, sum(x.w * c.w) as d from wt x join wt c using (term) join cs on cs.doc_id = c.doc_id
+           group by x.doc_id, cs.j)""",
+    """ds as (select d.doc_id, cs.j, round(sqrt(greatest(0.0, (case when nr.doc_id is null then 0.0 else 1.0 end)
+                  - 2 * coalesce(dp.d, 0) + (case when cn.doc_id is null then 0.0 else 1.0 end))), 6) as dist
+           from documents d cross join cs left join nr on nr.doc_id = d.doc_id left join nr cn on cn.doc_id = cs.doc_id
+           left join dp on dp.doc_id = d.doc_id and dp.j = cs.j)""",
+    """asg as (select doc_id, cast(j as integer) as cluster, dist as distance from (
+             select *, row_number() over (partition by doc_id order by dist, j) as r from ds) y where r = 1)""",
+]
+
+
+def _step(spark, sf_dir):
+    rows, idf, state = KM.prepare(*_text_occurrences(spark, sf_dir), "doc_id")
+    first = [r["id"] for r in state.select("id").orderBy("id").limit(8).collect()]
+    return rows, idf, state, KM.lloyd_step(rows, idf, state, first)
+
+
+@register("m5_lloyd_step", with_ctes("select doc_id, cluster, distance from asg", extra=_STEP))
+def m5s(spark, sf_dir):
+    return _step(spark, sf_dir)[3].withColumnRenamed("id", "doc_id")
+
+
+@register("m5_lloyd_centres", with_ctes("""
+    select c.cluster, c.n_docs, round(sqrt(coalesce(q.q, 0)), 6) as norm
+    from (select cast(j as integer) as cluster, (select count(*) from asg where cluster = j) as n_docs from cs) c
+    left join (select cluster, sum(m * m) as q from (
+                 select asg.cluster, wt.term, sum(wt.w) / max(n.n) as m from wt join asg using (doc_id)
+                 join (select cluster, count(*) as n from asg group by cluster) n on n.cluster = asg.cluster
+                 group by asg.cluster, wt.term) z group by cluster) q using (cluster)""", extra=_STEP))
+def m5c(spark, sf_dir):
+    rows, idf, state, assigned = _step(spark, sf_dir)
+    return KM.centre_table(rows, idf, state, cut_lineage(assigned), 8).withColumn("norm", F.round("norm", 6))
 
 
 # ---------------------------------------------------------------- M7 / M8

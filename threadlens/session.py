@@ -97,7 +97,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/threadlens-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut_lineage`` has written and nothing reads any more.
+
+    Iterative jobs call it when a round's table is replaced, so that a run holds one or two rounds on disk.
+    A frame that ``cut_lineage`` has not returned is left alone, and so is one in a store that
+    ``pyarrow.fs`` does not know (its owner's clean-up of the checkpoint folder removes it).
+    """
+    from pyarrow import ArrowInvalid, fs
+
+    for table in tables:
+        path = getattr(table, "_written_path", None)
+        if path is None:
+            continue
+        try:
+            if path.startswith("file:"):
+                path = "/" + path[5:].lstrip("/")
+            store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            store.delete_dir(inner)
+        except (ArrowInvalid, OSError):
+            pass
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
