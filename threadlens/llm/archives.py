@@ -205,10 +205,10 @@ class Package:
             raise ValueError("no end of a ZIP directory")
         self.entries, cd_size, cd_at = struct.unpack_from("<10xHII", tail, at)
         end = start + at
-        if self.entries == 0xFFFF or 0xFFFFFFFF in (cd_size, cd_at):
-            where = read_at(end - _END64_AT_SIZE, _END64_AT_SIZE) if end >= _END64_AT_SIZE else b""
-            if where.startswith(_END64_AT):
-                self.entries, cd_size, cd_at, end = self._end64(struct.unpack_from("<8xQ", where)[0], end - _END64_AT_SIZE)
+        # Writers may add a ZIP64 end where the plain one would do; it lies between that and the directory.
+        where = read_at(end - _END64_AT_SIZE, _END64_AT_SIZE) if end >= _END64_AT_SIZE else b""
+        if where.startswith(_END64_AT):
+            self.entries, cd_size, cd_at, end = self._end64(struct.unpack_from("<8xQ", where)[0], end - _END64_AT_SIZE)
         # Bytes that were put before the ZIP shift every place.
         self.shift = end - cd_size - cd_at
         if self.shift < 0:
@@ -227,26 +227,29 @@ class Package:
     def members(self) -> Iterator[Member]:
         """The entries of the central directory, read step by step."""
         at, end = self.directory
-        buf = b""
+        buf, i = b"", 0
         for _ in range(self.entries):
-            need = _ENTRY_SIZE
-            if len(buf) >= need:
-                need += sum(struct.unpack_from("<28xHHH", buf))
-            if len(buf) < need:
-                more = self.read_at(at, min(max(READ_STEP, 4 * _MAX_COMMENT), end - at))
-                at, buf = at + len(more), buf + more
-            if not buf.startswith(_ENTRY):
+            while True:         # the entry's fixed part, then its name and fields
+                held = len(buf) - i
+                need = _ENTRY_SIZE + (sum(struct.unpack_from("<28xHHH", buf, i)) if held >= _ENTRY_SIZE else 0)
+                if held >= need and held >= _ENTRY_SIZE:
+                    break
+                more = self.read_at(at, min(READ_STEP, end - at))
+                if not more:
+                    raise ValueError("the ZIP directory is cut")
+                at, buf, i = at + len(more), buf[i:] + more, 0
+            if not buf.startswith(_ENTRY, i):
                 raise ValueError("a damaged ZIP directory")
-            flags, method, packed, size, n, extra, comment, header = struct.unpack_from("<8xHH8xIIHHH8xI", buf)
-            name = buf[_ENTRY_SIZE:_ENTRY_SIZE + n].decode("utf-8" if flags & 0x800 else "cp437")
-            wide = self._wide(buf[_ENTRY_SIZE + n:_ENTRY_SIZE + n + extra])
+            flags, method, packed, size, n, extra, comment, header = struct.unpack_from("<8xHH8xIIHHH8xI", buf, i)
+            name = buf[i + _ENTRY_SIZE:i + _ENTRY_SIZE + n].decode("utf-8" if flags & 0x800 else "cp437")
+            wide = self._wide(buf[i + _ENTRY_SIZE + n:i + _ENTRY_SIZE + n + extra])
             if size == 0xFFFFFFFF:
                 wide.pop(0)
             if packed == 0xFFFFFFFF:
                 packed = wide.pop(0)
             if header == 0xFFFFFFFF:
                 header = wide.pop(0)
-            buf = buf[_ENTRY_SIZE + n + extra + comment:]
+            i += need
             yield Member(name, method, flags, packed, header + self.shift)
 
     @staticmethod
@@ -494,8 +497,8 @@ def read_records(index: DataFrame, read_bytes: int = 4 << 20, payloads: bool = T
 def page_rows(records: DataFrame, id_type: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of records written by ``write_archives``."""
     def key(urn: str) -> F.Column:
-        quoted = F.nullif(F.regexp_extract(urn, "^<urn:page:id:(.*)>$", 1), F.lit(""))
-        return F.url_decode(F.replace(quoted, F.lit("+"), F.lit("%2B"))).cast(id_type)
+        quoted = F.regexp_extract(urn, "^<urn:page:id:(.*)>$", 1)
+        return F.when(F.col(urn).startswith("<urn:page:id:"), F.url_decode(quoted)).cast(id_type)
 
     return records.where("record_type IN ('response', 'revisit')").select(
         key("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
