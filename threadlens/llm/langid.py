@@ -3,15 +3,16 @@
 Word emissions are sums of learned weights over hashed features: prefixes and suffixes of one to
 four bytes, inner byte trigrams, and the whole word (a learned lexicon, with one extra feature per
 language whose training text holds the word).  Transitions between the languages of neighbouring
-words are learned too.  Words are labelled by forward-backward, exactly within runs of ``BLOCK``
-words; every word of every text is labelled.  A text's language is the one with the largest mean
+words are learned too.  Words are labelled by forward-backward over the whole text: blocks of ``BLOCK`` words are
+reduced to a transfer matrix each, the forward and backward vectors are carried over the blocks' borders with
+these, and each block is then labelled between its two vectors.  So the chain has no cut, texts of any length take
+the same steps, and what is held beside a block is two vectors.  A text's language is the one with the largest mean
 word posterior, its score that mean.
 
-The model is fitted on a bounded sample of labelled texts (``per_language`` texts of each of at most
-``max_languages`` languages, ``words_per_text`` words of each), in the driver; a fit is deterministic.
-Training sequences mix stretches of different languages, so that the transitions see switches.
+The model is fitted on a bounded sample of labelled texts (``per_language`` whole texts of each language; more than
+``max_languages`` languages are an error), in the driver; a fit is deterministic.  Training sequences mix stretches of different languages, so that the transitions see switches.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; a text whose words carry no
+Edge cases: a row with a null id is neither held out nor learned from; a null text, or one without a letter, is ``und`` with score 0; a text whose words carry no
 known feature gets the model's prior; ties go to the alphabetically first language; without any
 labelled row everything is ``und``; repeated rows are judged alike; extra columns are not carried.
 """
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from threadlens.llm import words as W
 
 BLOCK = 128
+SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 _AFFIX = (1, 2, 3, 4)
 
@@ -47,6 +49,7 @@ class Model:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
+    """Whether a row is held out; null for a null id, which is not learned from either."""
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
 
 
@@ -116,39 +119,67 @@ def _forward_backward(em: np.ndarray, length: np.ndarray, trans: np.ndarray) ->
     return post, pair, 0.0
 
 
-def _posteriors(em: np.ndarray, length: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Posteriors only (the fast form used for labelling)."""
+def _transfer(em: np.ndarray, length: np.ndarray, t: np.ndarray, opening: np.ndarray) -> np.ndarray:
+    """(blocks, k, k): from the forward vector before a block to the one at its end, up to a factor."""
+    n, steps, k = em.shape
+    e = np.ascontiguousarray(np.exp(em - em.max(axis=2, keepdims=True)).transpose(1, 0, 2))
+    x = np.where(opening[:, None, None], np.eye(k)[None], t[None]) * e[0][:, None, :]
+    for i in range(1, steps):
+        nxt = (x @ t) * e[i][:, None, :]
+        nxt /= nxt.sum(axis=(1, 2), keepdims=True)
+        x = np.where((length > i)[:, None, None], nxt, x)
+    return x
+
+
+def _carry(moves: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward vectors before and backward vectors after each block. ``first``, ``count``: blocks of every text."""
+    k = moves.shape[1]
+    before, after = np.full((len(moves), k), 1.0 / k), np.full((len(moves), k), 1.0 / k)
+    for r in range(1, int(count.max(initial=0))):
+        b = first[count > r] + r
+        v = np.einsum("ni,nij->nj", before[b - 1], moves[b - 1])
+        before[b] = v / v.sum(axis=1, keepdims=True)
+        b = (first + count - 1)[count > r] - r
+        v = np.einsum("nij,nj->ni", moves[b + 1], after[b + 1])
+        after[b] = v / v.sum(axis=1, keepdims=True)
+    return before, after
+
+
+def _posteriors(em: np.ndarray, length: np.ndarray, t: np.ndarray, opening: np.ndarray, before: np.ndarray,
+                after: np.ndarray) -> np.ndarray:
+    """Posteriors of blocks between their forward and backward vectors."""
     n, steps, k = em.shape
     e = np.ascontiguousarray(np.exp(em - em.max(axis=2, keepdims=True)).transpose(1, 0, 2))
-    t = np.exp(trans)
     tt = np.ascontiguousarray(t.T)
     alpha = np.empty_like(e)
-    a = e[0]
+    a = np.where(opening[:, None], 1.0, before @ t) * e[0]
     for i in range(steps):
         if i:
             a = (a @ t) * e[i]
         a = a / a.sum(axis=1, keepdims=True)
         alpha[i] = a
-    beta = np.ones((n, k))
+    beta = after
     for i in range(steps - 1, -1, -1):
         alpha[i] *= beta
         alpha[i] /= alpha[i].sum(axis=1, keepdims=True)
         if i:
             b = (e[i] * beta) @ tt
             b /= b.sum(axis=1, keepdims=True)
-            beta = np.where((length > i)[:, None], b, 1.0)
+            beta = np.where((length > i)[:, None], b, beta)
     return alpha.transpose(1, 0, 2)
 
 
 def sample(docs: DataFrame, per_language: int, max_languages: int, id_col: str, text_col: str,
            lang_col: str) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled texts of each language, chosen by a hash of the id."""
+    """At most ``per_language`` whole labelled texts of each language, chosen by a hash of the id."""
     lab = (docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
            .select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"),
                    F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col)).alias("_h")))
-    counts = (lab.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).collect())
+    counts = lab.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages + 1).collect()
     if not counts:
         return []
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise max_languages")
     rows: list[tuple[str, str]] = []
     rate = F.lit(None).cast("double")
     for r in counts:
@@ -164,15 +195,14 @@ def sample(docs: DataFrame, per_language: int, max_languages: int, id_col: str,
     return rows
 
 
-def fit(docs: DataFrame, per_language: int = 100, max_languages: int = 64, words_per_text: int = 200,
-        bits: int = 16, rounds: int = 30, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
+def fit(docs: DataFrame, per_language: int = 100, max_languages: int = 200, bits: int = 16, rounds: int = 30, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     return fit_rows(sample(docs, per_language, max_languages, id_col, text_col, lang_col),
-                    words_per_text, bits, rounds, seed)
+                    bits, rounds, seed)
 
 
-def fit_rows(rows: list[tuple[str, str]], words_per_text: int = 400, bits: int = 16, rounds: int = 60,
+def fit_rows(rows: list[tuple[str, str]], bits: int = 16, rounds: int = 60,
              seed: int = 7) -> Model:
     """Maximum likelihood with a small quadratic penalty, by Adam on all sequences at once."""
     langs = tuple(sorted({r[0] for r in rows}))
@@ -184,18 +214,16 @@ def fit_rows(rows: list[tuple[str, str]], words_per_text: int = 400, bits: int =
     w = W.split_words(pa.array([t for _, t in rows], pa.string()))
     h = w.hashes(lower=True)
     label = np.repeat([langs.index(x) for x, _ in rows], w.counts)
-    take = np.concatenate([np.arange(a, min(b, a + words_per_text)) for a, b in zip(w.first[:-1], w.first[1:])])
     # Lexicon: which languages use a word in the sample.
-    uniq, inv = np.unique(h[take], return_inverse=True)
+    uniq, inv = np.unique(h, return_inverse=True)
     use = np.zeros((len(uniq), k))
-    np.add.at(use, (inv, label[take]), 1)
+    np.add.at(use, (inv, label), 1)
     member = use >= 2
     lex, member = uniq[member.any(axis=1)], member[member.any(axis=1)]
     # Sequences: stretches of 4 to 64 words, cut in text order and joined in random order.
     cuts, at = [], 0
     pieces = []
     for a, b in zip(w.first[:-1], w.first[1:]):
-        b = min(b, a + words_per_text)
         at = a
         while at < b:
             to = min(b, at + int(rng.integers(4, 65)))
@@ -266,50 +294,64 @@ def label_words(w: W.Words, model: Model) -> np.ndarray:
     feats, first = _features(w, at, h, model.bits)
     em_u = _emissions(model.weights, feats, first, _known(uniq, model.lexicon, model.member), model.bits)
     blocks = -(-w.counts // BLOCK)
-    start = np.repeat(w.first[:-1], blocks) + BLOCK * (
-        np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-    length = np.minimum(BLOCK, np.repeat(w.first[1:], blocks) - start)
-    out = np.empty((len(h), k))
+    ahead = np.cumsum(blocks) - blocks
+    rank = np.arange(blocks.sum()) - np.repeat(ahead, blocks)
+    start = np.repeat(w.first[:-1], blocks) + BLOCK * rank
+    length, opening = np.minimum(BLOCK, np.repeat(w.first[1:], blocks) - start), rank == 0
+    t = np.exp(model.transitions)
+
+    def emitted(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grid = start[part][:, None] + np.arange(int(length[part].max()))[None]
+        valid = grid < (start + length)[part][:, None]
+        em = em_u[inv[np.where(valid, grid, 0)]]
+        em[~valid] = 0.0
+        return em, grid, valid
+
     # Blocks of like length together, so that short texts do not pay for full blocks.
     order = np.argsort(length, kind="stable")
+    # Only texts of several blocks hand vectors over.
+    several = order[np.repeat(blocks, blocks)[order] > 1]
+    moves = np.zeros((len(start), k, k))
+    for part in np.array_split(several, -(-len(several) // 2048)) if len(several) else ():
+        moves[part] = _transfer(emitted(part)[0], length[part], t, opening[part])
+    before, after = _carry(moves, ahead, blocks)
+    out = np.empty((len(h), k))
     for part in np.array_split(order, max(1, len(order) // 2048)):
-        n = int(length[part].max())
-        grid = start[part][:, None] + np.arange(n)[None]
-        valid = np.arange(n)[None] < length[part][:, None]
-        em = em_u[inv[np.where(valid, grid, 0)]]
-        em[~valid] = 0.0
-        out[grid[valid]] = _posteriors(em, length[part], model.transitions)[valid]
+        em, grid, valid = emitted(part)
+        out[grid[valid]] = _posteriors(em, length[part], t, opening[part], before[part], after[part])[valid]
     return out
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: ``held_out``, ``lang_pred``, ``score``, words and language switches."""
-    src = docs.select(F.col(id_col).alias(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"))
-    return _label(src, model)
+    src = docs.select(F.col(id_col), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"),
+                      F.col(text_col).alias("_text"))
+    return _label(src, model, None)
 
 
 def predict_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The whole input row as the struct ``row``, with ``lang_pred`` and ``score`` beside it (no join back)."""
-    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-                      F.lit(False).alias("held_out"), F.col(text_col).alias("_text"))
-    return _label(src, model).drop("held_out")
+    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.lit(False).alias("held_out"))
+    return _label(src, model, text_col).drop("held_out")
 
 
-def _label(src: DataFrame, model: Model) -> DataFrame:
+def _label(src: DataFrame, model: Model, inside: str | None) -> DataFrame:
+    """``inside``: the text is this field of the first column, and goes to the task once; else it is the third column."""
     first_col = src.columns[0]
     schema = T.StructType([*src.schema.fields[:2], *(T.StructField(n, t) for n, t in (
         ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_words", T.LongType()),
         ("n_switches", T.LongType())))])
-    src = src.withColumn("_letter", F.coalesce(F.col("_text").rlike("\\p{L}"), F.lit(False)))
+    body = F.col("_text") if inside is None else F.col(first_col).getField(inside)
+    src = src.withColumn("_letter", F.coalesce(body.rlike("\\p{L}"), F.lit(False)))
     langs, k = model.languages, len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(2)
-            for a, b in W.slices(text):
+            text = batch.column(2) if inside is None else batch.column(0).field(inside)
+            for a, b in W.slices(text, SLICE_BYTES):
                 w = W.split_words(text.slice(a, b - a))
                 n = w.counts
-                letter = np.asarray(batch.column(3).slice(a, b - a).to_pylist(), dtype=bool) & (k > 0)
+                letter = np.asarray(batch.column(batch.num_columns - 1).slice(a, b - a).to_pylist(), dtype=bool) & (k > 0)
                 best = np.zeros(b - a, dtype=np.int64)
                 score = np.zeros(b - a)
                 switches = np.zeros(b - a, dtype=np.int64)
