@@ -10,7 +10,8 @@ r <- max(0, r - p . G^-1 (A r - T)). It runs until the objective stops falling,
 little as the targets allow.
 
 Edge cases: null and empty texts have no tokens, the prior as posterior and a rate by the same rule;
-labels that are null, or of unknown texts, are not used; without any label every text is of the domain
+labels that are null, or of unknown texts, are not used; an id with several domains counts for the first of them
+in alphabetical order; more than ``max_domains`` domains are an error; without any label every text is of the domain
 ``unlabelled`` with rate 1; repeated rows get equal rates; extra columns are not carried by ``rates``.
 """
 
@@ -32,6 +33,7 @@ from threadlens.session import cut_lineage
 UNLABELLED = "unlabelled"
 BUCKET_BITS = 18
 DENSE = 7
+SLICE_BYTES = 1 << 20
 
 _UPPER = np.zeros(256)
 _UPPER[ord("A"):ord("Z") + 1] = 1
@@ -128,8 +130,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, per_domai
                    text_col: str = "text") -> Classifier:
     """Fit on at most ``3 * per_domain * max_domains`` labelled texts, chosen by a hash of the id."""
     named = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), domain.alias("_domain"))
-    named = named.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
-    picked = label_sample(named, "_domain", "_id", per_domain, max_domains).dropDuplicates(["_id"])
+    named = (named.where("_domain IS NOT NULL").join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
+             .groupBy("_id").agg(F.min("_domain").alias("_domain")))
+    if named.select("_domain").distinct().limit(max_domains + 1).count() > max_domains:
+        raise ValueError(f"more than {max_domains} domains; raise max_domains")
+    picked = label_sample(named, "_domain", "_id", per_domain, max_domains)
     texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"))
              .join(F.broadcast(picked), "_id"))
     rows = sorted(_features_of(texts, "_body", ["_id", "_domain"]).collect(), key=lambda r: (str(r["_domain"]), r["_id"]))
@@ -180,16 +185,20 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, per_domai
     return Classifier(domains, column, w, d, bias, mean, scale)
 
 
-def memberships(docs: DataFrame, model: Classifier, carry: list[str], text_col: str = "text") -> DataFrame:
-    """``carry`` columns with ``n_tokens`` (words) and ``posterior`` (array in the order of the domains)."""
-    src = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(text_col).alias("_text"))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("n_tokens", T.LongType()),
+def memberships(docs: DataFrame, model: Classifier, carry: list[str], text_col: str = "text",
+                inside: str | None = None) -> DataFrame:
+    """``carry`` columns with ``n_tokens`` (words) and ``posterior`` (array in the order of the domains).
+
+    ``inside``: the text is the field ``text_col`` of this carried column, and goes to the task once.
+    """
+    src = docs.select(*(F.col(f"`{c}`") for c in carry), *([F.col(text_col).alias("_text")] if inside is None else []))
+    schema = T.StructType([*src.schema.fields[:len(carry)], T.StructField("n_tokens", T.LongType()),
                            T.StructField("posterior", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column(len(carry))
-            for a, b in W.slices(col):
+            col = batch.column(len(carry)) if inside is None else batch.column(carry.index(inside)).field(text_col)
+            for a, b in W.slices(col, SLICE_BYTES):
                 n, dense, text, bucket = text_features(col.slice(a, b - a))
                 post = model.posteriors(dense, text, bucket)
                 yield pa.RecordBatch.from_arrays(
@@ -296,10 +305,10 @@ def mixed_rows(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict
     A rate depends on the text alone, so the second pass over the texts needs no join.
     """
     model, steps, _ = fit(docs, labels, domain, weights, budget, id_col, text_col, **classifier)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("_body"),
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
                        (F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), F.col(text_col)), 11) / F.lit(2.0 ** 53))
                        .alias("_draw"))
     rate = rate_column(steps)
     times = (F.floor(rate) + (F.col("_draw") < rate - F.floor(rate)).cast("int")).cast("int")
-    return (memberships(rows, model, ["row", "_draw"], "_body").withColumn("times", times).where("times > 0")
+    return (memberships(rows, model, ["row", "_draw"], text_col, "row").withColumn("times", times).where("times > 0")
             .select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*"))
