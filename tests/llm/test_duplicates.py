@@ -5,6 +5,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from threadlens.llm import decontaminate, lines, minhash, substrings
 from threadlens.llm.components import components
@@ -72,6 +73,8 @@ def test_repeated_ids_keep_different_texts(make_docs):
     docs = make_docs([a, b, b, c, a, None, c], ids=[3, 3, 3, 3, 5, 4, None])
     kept = minhash.distinct_rows(docs)
     assert kept.columns == docs.columns
+    named = minhash.distinct_rows(docs.withColumn("_row_key", F.lit("mine")))
+    assert {r["_row_key"] for r in named.collect()} == {"mine"} and named.count() == kept.count()
     got = sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.select("doc_id", "text").collect())
     assert got == [(-1, c), (3, a), (3, c), (3, b), (4, "")]
 
@@ -86,8 +89,6 @@ def test_posterior_pruning_bounds():
 
 def test_equal_bytes_by_bit_planes(spark):
     import numpy as np
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(1)
     low = rng.integers(0, 2 ** 63, size=(40, 512), dtype=np.uint64)
     low[20:] = np.where(rng.random((20, 512)) < 0.7, low[:20], low[20:])
@@ -158,6 +159,15 @@ def test_substrings_null_ids(make_docs, vocab):
     assert {r["doc_id"]: r["n_removed"] for r in rows} == {None: 0, 1: 0, 2: 80}
 
 
+def test_substrings_of_repeated_ids(make_docs, vocab):
+    """Rows that share an id and not a text: each loses what a smaller id holds, and nothing else."""
+    p, q, r = (" ".join(vocab[i:i + 60]) for i in (0, 100, 200))
+    docs = make_docs([p, p, q, r + " " + p, r, None, q], ids=[1, 2, 2, 3, 3, 2, 5])
+    rows = sorted((x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in substrings.remove_repeats(docs).collect())
+    assert rows == sorted([(1, 60, 0, p), (2, 60, 60, ""), (2, 60, 0, q), (3, 120, 60, r), (3, 60, 0, r), (2, 0, 0, ""),
+                           (5, 60, 60, "")])
+
+
 def test_given_reference(make_docs, spark, vocab):
     rng = random.Random(3)
     ref = " ".join(rng.choice(vocab) for _ in range(300))
@@ -269,19 +279,61 @@ def test_decontamination_against_brute_force(make_docs, edge_texts, spark, vocab
         at = rng.randrange(len(host) + 1)
         part = edited(rng, rng.choice(items[:40]), rng.choice((0, 0, 0.02, 0.05)), vocab).split(" ")
         texts.append(" ".join(host[:at] + part[:rng.choice((len(part), len(part), len(part) // 2))] + host[at:]).upper())
-    grams = lambda t: shingles(t, 5) if len(WORD.findall(t or "")) >= 5 else set()
-    sets = [grams(x) for x in items]
+    items += ["two", "zzz yyy", texts[-1].split(" ")[0], "same same same same same same same", "three word run", "Same"]
+    texts += ["one two three", "a THREE word run", "three words run", "same " * 20, "zzz", "zzz yyy"]
+
+    def runs(t, q):
+        w = WORD.findall(low(t))
+        return {tuple(w[i:i + q]) for i in range(len(w) - q + 1)}
+
     want = set()
-    for d, t in enumerate(texts):
-        own = grams(t)
-        want |= {(d, i, len(s & own), len(s)) for i, s in enumerate(sets) if s and 100 * len(s & own) >= 80 * len(s)}
+    for i, x in enumerate(items):
+        q = min(5, len(WORD.findall(x or "")))
+        s = runs(x, q) if q else set()
+        for d, t in enumerate(texts):
+            shared = len(s & runs(t, q)) if s else 0
+            if s and 100 * shared >= 80 * len(s):
+                want.add((d, i, shared, len(s)))
     table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = make_docs(texts)
-    for block in (200_000, 300):
-        got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"])
-               for r in decontaminate.matches(docs, table, block_shingles=block).collect()}
-        assert got == want and len(want) > 50
+    got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in decontaminate.matches(docs, table).collect()}
+    assert got == want and len(want) > 50
     clean = decontaminate.clean_rows(docs, table)
     assert clean.columns == docs.columns
     assert {r["doc_id"] for r in clean.select("doc_id").collect()} == set(range(len(texts))) - {d for d, *_ in want}
     assert decontaminate.matches(docs, table.limit(0)).count() == 0 and decontaminate.matches(make_docs([]), table).count() == 0
+    assert decontaminate.clean_rows(docs, table.limit(0)).count() == len(texts)
+
+
+def test_decontamination_bitmap_lets_all_keys_through(spark):
+    """No key of the set is lost; a full bitmap costs only chance candidates, which the exact count drops."""
+    import numpy as np
+
+    keys = spark.range(5000).select(F.xxhash64("id").alias("mark"))
+    held = np.array([r["mark"] for r in keys.collect()], dtype=np.int64).view(np.uint64)
+    other = decontaminate.W.mix64(np.arange(200_000, dtype=np.uint64))
+    for n in (5000, 1):
+        bitmap = decontaminate.bitmap_of(keys, "mark", n)
+        assert len(bitmap.has(held)) == 5000 and len(bitmap.has(other)) < 200
+
+
+def test_decontamination_memory_of_single_shingle_items(spark):
+    """An item of one shingle in the benchmark keeps a worker's arrays at a few times its slice."""
+    import tracemalloc
+
+    import pyarrow as pa
+    table = spark.createDataFrame([(1, "one two three four five"), (2, "six"), (3, " ".join(f"w{i}" for i in range(40)))],
+                                  "item_id long, text string")
+    rows = decontaminate.item_rows(table, 5, True, 64, "item_id", "text").collect()
+    classes = sorted({(r["q"], r["width"]) for r in rows})
+    assert classes == [(1, 1), (5, 1), (5, 64)]
+    marks = spark.createDataFrame([(x,) for r in rows for x in r["keys"]], "mark long")
+    empty = decontaminate.bitmap_of(marks, "mark", 1000)
+    look = decontaminate.Windows(classes, empty, empty, 5, True, 64)
+    text = pa.array(["ab cd e " * (decontaminate.SLICE_BYTES // 8)])
+    list(look.search(text))
+    tracemalloc.start()
+    list(look.search(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * decontaminate.SLICE_BYTES

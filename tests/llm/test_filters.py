@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from threadlens.llm import langid, quality, secrets
@@ -182,7 +183,47 @@ def test_forward_backward_against_enumeration():
               for p in product(range(3), repeat=4)}
     z = sum(weight.values())
     want = np.array([[sum(v for p, v in weight.items() if p[i] == k) / z for k in range(3)] for i in range(4)])
-    assert np.allclose(langid._posteriors(em, np.array([4]), trans)[0], want)
     assert np.allclose(langid._forward_backward(em, np.array([4]), trans)[0][0], want)
+    t, one, flat = np.exp(trans), np.array([True]), np.full((1, 3), 1 / 3)
+    assert np.allclose(langid._posteriors(em, np.array([4]), t, one, flat, flat)[0], want)
     padded = np.concatenate([em, np.zeros((1, 3, 3))], axis=1)
-    assert np.allclose(langid._posteriors(padded, np.array([4]), trans)[0, :4], want)
+    assert np.allclose(langid._posteriors(padded, np.array([4]), t, one, flat, flat)[0, :4], want)
+    # The same chain in blocks of 1, 2 and 1 words, handed over by transfer matrices.
+    grid = np.zeros((3, 2, 3))
+    grid[0, 0], grid[1], grid[2, 0] = em[0, 0], em[0, 1:3], em[0, 3]
+    length, opening = np.array([1, 2, 1]), np.array([True, False, False])
+    before, after = langid._carry(langid._transfer(grid, length, t, opening), np.array([0]), np.array([3]))
+    got = langid._posteriors(grid, length, t, opening, before, after)
+    assert np.allclose(np.concatenate([got[0, :1], got[1], got[2, :1]]), want)
+
+
+def test_labels_equal_the_whole_chain(make_docs):
+    """Texts of up to 20,000 words, of many lengths in one slice, against one uncut forward-backward pass."""
+    import pyarrow as pa
+
+    from threadlens.llm import words as W
+    rng = random.Random(21)
+    texts, langs = _tongues(rng, 120)
+    model = langid.fit_rows(list(zip(langs, texts)), rounds=8)
+    long = [" ".join(rng.choice(texts) for _ in range(n)) for n in (1, 3, 6, 7, 13, 40, 1000)] + ["", "a", texts[0]]
+    w = W.split_words(pa.array(long))
+    assert w.counts.max() > 20_000
+    got = langid.label_words(w, model)
+    h = w.hashes(lower=True)
+    feats, first = langid._features(w, np.arange(len(h)), h, model.bits)
+    em = langid._emissions(model.weights, feats, first, langid._known(h, model.lexicon, model.member), model.bits)
+    for a, b in zip(w.first[:-1], w.first[1:]):
+        if b > a:
+            want = langid._forward_backward(em[None, a:b], np.array([b - a]), model.transitions)[0][0]
+            assert np.allclose(got[a:b], want, atol=1e-9)
+
+
+def test_language_bounds_and_null_ids(make_docs):
+    texts, langs = _tongues(random.Random(5), 60)
+    docs = make_docs(texts + ["the thing", "the thing"], ids=[*range(len(texts)), None, None], langs=[*langs, "zz", None])
+    with pytest.raises(ValueError, match="max_languages"):
+        langid.fit(docs, max_languages=2)
+    model = langid.fit(docs, rounds=3)
+    assert model.languages == ("aa", "bb", "cc")        # a null id is not learned from
+    rows = [r for r in langid.predict(docs, model).collect() if r["doc_id"] is None]
+    assert len(rows) == 2 and {r["held_out"] for r in rows} == {False} and {r["lang_pred"] for r in rows} <= {"aa", "bb", "cc"}

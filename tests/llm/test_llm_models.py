@@ -80,6 +80,18 @@ def test_rates_without_labels(make_docs, edge_texts, spark):
     assert mixing.rates(make_docs([]), none, F.col("kind"), {"good": 1.0}).count() == 0
 
 
+def test_two_labels_of_one_id_and_too_many_domains(make_docs, spark, vocab):
+    texts, kinds = two_kinds(vocab, 60, 4)
+    pairs = [(i, k) for i, k in enumerate(kinds)] * 2 + [(i, "zz") for i in range(0, 60, 2)] + [(1, None)]
+    docs = make_docs(texts)
+    labels = spark.createDataFrame(pairs, "doc_id long, kind string")
+    assert mixing.fit_classifier(docs, labels, F.col("kind"), rounds=3).domains == ("bad", "good")
+    many = spark.createDataFrame([(i, f"k{i}") for i in range(17)], "doc_id long, kind string")
+    with pytest.raises(ValueError, match="max_domains"):
+        mixing.fit_classifier(docs, many, F.col("kind"))
+    assert len(mixing.fit_classifier(docs, many, F.col("kind"), max_domains=17, rounds=3).domains) == 17
+
+
 def test_projection_keeps_rates_nonnegative(spark):
     rows = [(i, 100, [1.0, 0.0]) for i in range(5)] + [(9, 100, [0.2, 0.8])]
     member = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
@@ -246,6 +258,16 @@ def test_pipeline(make_docs, spark, edge_texts, vocab, tmp_path):
     assert cp.run(spark, base).count() == got.count()
 
 
+def test_pipeline_of_an_empty_table(make_docs, spark, tmp_path):
+    import corpus_pipeline as cp
+
+    base = str(tmp_path)
+    make_docs([]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    assert cp.run(spark, base).count() == 0
+
+
 def test_slices_cover_all_rows():
     col = pa.array(["a" * 10, None, "", "b" * 100, "c"], pa.string())
     spans = list(W.slices(col, 16))

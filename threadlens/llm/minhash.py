@@ -246,6 +246,8 @@ def distinct_rows(docs: DataFrame, k: int = 5, lower: bool = True, percent: int
     rows, key = docs, id_col
     if not repeated(docs, id_col).isEmpty():
         key = "_row_key"
+        while key in docs.columns:
+            key += "_"
         rows = docs.withColumn(key, F.when(F.col(id_col).isNotNull(), F.struct(
             F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))))
     found = near_duplicates(rows, k, lower, percent, id_col=key, text_col=text_col, **search)

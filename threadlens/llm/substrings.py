@@ -20,8 +20,8 @@ a shard goes only where texts share its anchors. ``remove_reference`` is the for
 there each shard's automaton is broadcast and all texts are streamed past it.
 
 Edge cases: null and empty texts have no word; texts shorter than a window lose nothing; a null id loses
-nothing and is no reference; rows that repeat an id are taken as the same text and get the same result;
-extra columns are not carried.
+nothing and is no reference; rows that repeat an id are known by id and text (``tkey``, its hash), and lose nothing to
+each other; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -158,16 +158,16 @@ def _occurrences(docs: DataFrame, width: int, id_type: str) -> DataFrame:
                 text, anchor, context, first, count = anchors(w, w.hashes(), width)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(W.as_signed(anchor)), pa.array(W.as_signed(context)),
-                     batch.column(0).take(pa.array(a + text, pa.int64())), pa.array(first.astype(np.int32)),
-                     pa.array(count.astype(np.int16))], names=["anchor", "context", "doc_id", "at", "n"])
+                     *(batch.column(i).take(pa.array(a + text, pa.int64())) for i in (0, 2)), pa.array(first.astype(np.int32)),
+                     pa.array(count.astype(np.int16))], names=["anchor", "context", "doc_id", "tkey", "at", "n"])
 
-    return docs.mapInArrow(run, f"anchor long, context long, doc_id {id_type}, at int, n short")
+    return docs.mapInArrow(run, f"anchor long, context long, doc_id {id_type}, tkey long, at int, n short")
 
 
 def _context_words(docs: DataFrame, wanted: DataFrame, width: int, id_type: str) -> DataFrame:
     """``anchor, context, doc_id, hot, words`` (word hashes) of the wanted contexts, read from their texts."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "context", "at", "n", "hot")).alias("list"))
-    rows = docs.join(lists.hint("merge"), "doc_id")     # the texts move, at every size
+    lists = wanted.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("anchor", "context", "at", "n", "hot")).alias("list"))
+    rows = docs.join(lists.hint("merge"), ["doc_id", "tkey"])     # the texts move, at every size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,14 +250,14 @@ def _hashed_owners(contexts: DataFrame, width: int, id_type: str) -> DataFrame:
 
 
 def removed_windows(docs: DataFrame, width: int = 50) -> DataFrame:
-    """``doc_id, windows``: first words of all windows that also start in a text with a smaller id."""
+    """``doc_id, tkey, windows``: first words of all windows that also start in a text with a smaller id."""
     id_type = dict(docs.dtypes)["doc_id"]
-    docs = docs.where("doc_id IS NOT NULL")
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "_text", "tkey")
     every = _occurrences(docs, width, id_type)      # cheaper to compute twice than to write
     shared = cut_lineage(every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                          .where("lo != hi").select("anchor"))
     every = cut_lineage(every.join(shared, "anchor"))
-    contexts = cut_lineage(every.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "at", "n")).alias("r"))
+    contexts = cut_lineage(every.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "tkey", "at", "n")).alias("r"))
                            .select("anchor", "context", "r.*"))
     kinds = cut_lineage(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
                         .select("anchor", (F.col("c") > SHARD_CONTEXTS).alias("hot")))
@@ -271,8 +271,8 @@ def removed_windows(docs: DataFrame, width: int = 50) -> DataFrame:
                      F.when(F.col("only") < F.col("doc_id"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array()))
     offsets = offsets.otherwise(F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("doc_id"), i)),
                                          lambda i: i.isNotNull()))
-    return (hit.select("doc_id", F.transform(offsets, lambda i: i + F.col("at")).alias("w"))
-            .where(F.size("w") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("w")).alias("windows")))
+    return (hit.select("doc_id", "tkey", F.transform(offsets, lambda i: i + F.col("at")).alias("w"))
+            .where(F.size("w") > 0).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("w")).alias("windows")))
 
 
 def _cover(n: int, windows: np.ndarray, width: int) -> np.ndarray:
@@ -291,9 +291,10 @@ def _kept_bytes(w: W.Words, i: int, gone: np.ndarray) -> bytes:
 
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (the kept words, joined by one space) of every row."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"),
+                      F.xxhash64(F.col(text_col)).alias("tkey"))
     id_type = dict(src.dtypes)["doc_id"]
-    rows = src.join(removed_windows(src, width).hint("merge"), "doc_id", "left")
+    rows = src.join(removed_windows(src, width).hint("merge"), ["doc_id", "tkey"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
