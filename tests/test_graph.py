@@ -104,7 +104,19 @@ def test_triangles(spark):
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "a", "c"), (1, "c", "d"), (1, "b", "d"), (2, "a", "b")],
                               "thread_id long, u string, v string")
     assert {r.thread_id: r.n for r in G.triangles(e).groupBy("thread_id").agg({"triangles": "sum"})
-            .withColumnRenamed("sum(triangles)", "n").collect()} == {1: 2}
+            .withColumnRenamed("sum(triangles)", "n").collect()} == {1: 6}
+    assert {r.node: r.triangles for r in G.triangles(e).collect()} == {"a": 1, "b": 2, "c": 2, "d": 1}
+
+
+def test_shapes_with_equal_totals_and_degrees(spark):
+    """Seven nodes, seven edges, one triangle and equal degrees, but other degrees at the triangle: two classes."""
+    one = ["12", "23", "13", "34", "45", "46", "67"]
+    two = ["12", "23", "13", "34", "25", "56", "67"]
+    e = spark.createDataFrame([(g, a, b) for g, edges in ((1, one), (2, two), (3, one)) for a, b in edges],
+                              "thread_id long, u string, v string")
+    v = spark.createDataFrame([(g, str(i)) for g in (1, 2, 3) for i in range(1, 8)], "thread_id long, node string")
+    got = sorted((r.thread_id, r.class_size) for r in G.shape_classes(G.connected_components(v, e), e).collect())
+    assert got == [(1, 2), (2, 1)]
 
 
 def test_dot_round_trip(spark, tmpdir_path):

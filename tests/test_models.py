@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from threadlens.operators import features as FE
 from threadlens.operators import models as MO
+from threadlens.operators import similarity as SI
 
 
 def test_clustering_scores_match_definitions(spark):
@@ -200,7 +201,7 @@ def test_similarity_matches_brute_force(spark):
     qtf = FE.term_counts(FE.term_occurrences(queries, ["item_id"], "text"), ["item_id"])
     cw = FE.tfidf(ctf, ["doc_id"])
     qw = FE.tfidf(qtf, ["item_id"], idf_from=ctf)
-    got = [(r.doc_id, r.cosine) for r in FE.similar_documents(qw, cw, "item_id", "doc_id", 2).orderBy("rank").collect()]
+    got = [(r.doc_id, r.cosine) for r in SI.similar_documents(qw, cw, "item_id", "doc_id", 2).orderBy("rank").collect()]
     vocab = ["apple", "banana", "cherry", "date"]
     tf = np.array([[2, 1, 0, 0], [0, 1, 1, 0], [0, 0, 1, 2]], float)
     df = (tf > 0).sum(0)
@@ -212,3 +213,50 @@ def test_similarity_matches_brute_force(spark):
     cos = np.round(np.round(w, 6) @ np.round(q, 6), 6)
     order = sorted(range(3), key=lambda i: (-cos[i], i))[:2]
     assert got == [(i + 1, float(cos[i])) for i in order]
+
+
+def _random_weights(spark, seed, n_docs, n_queries, key_text=False):
+    """Normalised rows with rare and common terms, exact copies, and documents without a query term."""
+    rng = np.random.default_rng(seed)
+    words = [f"t{i}" for i in range(400)]
+    p = 1 / np.arange(1, 401) ** 0.8
+    p /= p.sum()
+
+    def side(n, kind):
+        rows = []
+        for i in range(n):
+            t = sorted(set(rng.choice(words, rng.integers(1, 40), p=p))) if i % 9 else ["t0", "t1"]
+            w = rng.integers(1, 5, len(t)) / np.sqrt(np.arange(len(t)) + 1)
+            w = np.round(w / np.sqrt((w * w).sum()), 6) if i % 9 else np.array([0.6, 0.8])
+            rows += [(f"d{i}" if key_text and kind == "doc_id" else i, a, float(b)) for a, b in zip(t, w)]
+        return rows
+    c, q = side(n_docs, "doc_id"), side(n_queries, "item_id")
+    kt = "string" if key_text else "long"
+    return (spark.createDataFrame(q, "item_id long, term string, weight double"),
+            spark.createDataFrame(c, f"doc_id {kt}, term string, weight double").repartition(5, "doc_id"), q, c)
+
+
+def test_similarity_skips_without_losing_rows(spark, monkeypatch):
+    """Chunks, blocks of queries, ties and text keys against scoring every pair; most pairs are not scored."""
+    from collections import defaultdict
+
+    monkeypatch.setattr(SI, "CHUNK_WEIGHTS", 3000)
+    for seed, key_text, k in ((1, False, 5), (2, True, 1), (3, False, 30)):
+        queries, corpus, q, c = _random_weights(spark, seed, 1500, 40, key_text)
+        by_term, score = defaultdict(list), defaultdict(float)
+        for d, t, w in c:
+            by_term[t].append((d, w))
+        for i, t, w in q:
+            for d, v in by_term[t]:
+                score[i, d] += w * v
+        want = []
+        for i in range(40):
+            best = sorted(((-round(s, 6), d) for (x, d), s in score.items() if x == i))[:k]
+            want += [(i, d, -s, r + 1) for r, (s, d) in enumerate(best)]
+        got = SI.similar_documents(queries, corpus, "item_id", "doc_id", k, block_terms=300)
+        assert sorted((r[0], r[1], round(r[2], 6), r[3]) for r in got.collect()) == sorted(want)
+        if k == 1:
+            done = SI.scored_pairs(queries, corpus, "item_id", "doc_id", k).agg(F.sum("scored")).first()[0]
+            assert done < 0.7 * len(score)
+    assert SI.similar_documents(queries.limit(0), corpus, "item_id", "doc_id", 3).count() == 0
+    assert SI.similar_documents(queries, corpus.limit(0), "item_id", "doc_id", 3).count() == 0

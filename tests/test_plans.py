@@ -28,6 +28,15 @@ def test_no_cross_products(spark, sf_small, name):
     assert "CartesianProduct" not in txt and "BroadcastNestedLoopJoin" not in txt
 
 
+def test_similar_documents_exchange_queries_not_pairs(spark, sf_small):
+    """No exchange is dealt by (query, document); the last one, by query, follows the tasks' best rows."""
+    txt = plan(spark, sf_small, "m11_similar_documents")
+    dealt = [x for x in txt.splitlines() if x.strip().startswith("Arguments: hashpartitioning(")]
+    assert dealt and not any("item_id" in x and "doc_id" in x for x in dealt)
+    last = [x for x in dealt if "hashpartitioning(q" in x]
+    assert len(last) == 1 and "MapInArrow" in txt
+
+
 @pytest.fixture(scope="module")
 def stored_posts(spark, sf_small, tmp_path_factory):
     """Posts written by K1: the filters of the readers reach the scan of stored posts."""

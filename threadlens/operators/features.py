@@ -1,4 +1,4 @@
-"""Text features in sparse COO form: term counts, vocabularies, exact TF-IDF, similarity.
+"""Text features in sparse COO form: term counts, vocabularies, exact TF-IDF.
 
 A document is any key (a post, a (thread, user) pair, a document id).  Term
 occurrences are exploded per source row and counted per (document, term), so
@@ -108,24 +108,6 @@ def tfidf(tf: DataFrame, keys: Sequence[str], idf_from: DataFrame | None = None,
     return w.select(*keys, "term", "tf", F.round(F.col("w") / norm, 6).alias("weight"))
 
 
-def similar_documents(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, k: int) -> DataFrame:
-    """Top-``k`` corpus documents by cosine for each query document (exact).
-
-    Both sides are L2-normalised TF-IDF in COO form ``(key, term, weight)``.
-    The two sides meet on the term (map-side where adaptive execution finds the
-    query side small); partial sums per (query, doc) are combined before the
-    shuffle and the top-k per query is a windowed limit (Spark applies it per
-    partition before the final sort).
-    """
-    q = queries.select(F.col(qkey).alias("q"), "term", F.col("weight").alias("wq"))
-    c = corpus.select(F.col(ckey).alias("d"), "term", F.col("weight").alias("wd"))
-    # rounded before ranking so that equal documents (copies) tie exactly and fall back to the id order
-    scores = (c.join(q, "term").groupBy("q", "d").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias("cosine")))
-    w = Window.partitionBy("q").orderBy(F.desc("cosine"), F.asc("d"))
-    top = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select(F.col("q").alias(qkey), F.col("d").alias(ckey), "cosine", "rank")
-
-
 def top_terms(weights: DataFrame, group: str, n: int, weight: str = "weight", term: str = "term") -> DataFrame:
     """Top ``n`` terms per group (topic) by weight, ties by term."""
     w = Window.partitionBy(group).orderBy(F.desc(weight), F.asc(term))

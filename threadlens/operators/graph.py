@@ -257,10 +257,10 @@ def component_counts(components: DataFrame, key: str = "thread_id") -> DataFrame
 # ---------------------------------------------------------------- G14 / G15
 
 def triangles(edges: DataFrame, key: str = "thread_id") -> DataFrame:
-    """Triangles by their node of least rank: ``(key, u, triangles)``; ``edges`` are simple and undirected.
+    """Triangles each node is a corner of: ``(key, node, triangles)``; ``edges`` are simple and undirected.
 
     Edges point from the end of lower degree to the other one (ties by name), so a node starts at most
-    sqrt(2 * edges) of them, and the wedges of a hub are not built.
+    sqrt(2 * edges) of them, and the wedges of a hub are not built. Self-loops are in no triangle.
     """
     e = edges.where(F.col("u") != F.col("v"))
     both = e.select(key, "u", "v").unionAll(e.select(key, F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
@@ -271,32 +271,33 @@ def triangles(edges: DataFrame, key: str = "thread_id") -> DataFrame:
     up = up.select(key, "u", "v")
     wedge = (up.join(up.select(key, "u", F.col("v").alias("w")), [key, "u"]).where(F.col("v") < F.col("w")))
     closed = wedge.join(both.select(key, F.col("u").alias("v"), F.col("v").alias("w")), [key, "v", "w"])
-    return closed.groupBy(key, "u").agg(F.count(F.lit(1)).alias("triangles"))
+    corners = closed.select(key, F.explode(F.array("u", "v", "w")).alias("node"))
+    return corners.groupBy(key, "node").agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def shape_classes(components: DataFrame, edges: DataFrame, key: str = "thread_id") -> DataFrame:
     """Keep one component per "could be isomorphic" class.
 
-    Signature = (nodes, edges, triangles, degree histogram); two components
-    with different signatures are never isomorphic, equal signatures may be.
-    The representative is the smallest (graph, component).
+    Signature = (nodes, edges, how many nodes have each (degree, triangles)); two components with different
+    signatures are never isomorphic, equal signatures may be.  The representative is the smallest
+    (graph, component).
     """
     deg = degrees(components.select(key, "node"), edges, key)
-    nodes = components.join(deg, [key, "node"])
+    nodes = (components.join(deg, [key, "node"]).join(triangles(edges, key), [key, "node"], "left")
+             .withColumn("triangles", F.coalesce("triangles", F.lit(0))))
     comp_of_u = components.select(key, F.col("node").alias("u"), "component")
     m = edges.join(comp_of_u, [key, "u"]).groupBy(key, "component").agg(F.count(F.lit(1)).alias("n_edges"))
-    tri = (triangles(edges, key).join(comp_of_u, [key, "u"])
-           .groupBy(key, "component").agg(F.sum("triangles").alias("n_triangles")))
-    # The histogram has as many entries as there are different degrees, whatever the number of nodes.
-    hist = nodes.groupBy(key, "component", "degree").agg(F.count(F.lit(1)).alias("c"))
+    # The table of invariants has as many entries as there are different pairs, whatever the number of nodes.
+    hist = nodes.groupBy(key, "component", "degree", "triangles").agg(F.count(F.lit(1)).alias("c"))
+    entry = F.struct("degree", "triangles", "c")
     sig = (hist.groupBy(key, "component")
            .agg(F.sum("c").alias("n_nodes"),
-                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("degree", "c"))),
-                                         lambda x: F.concat_ws(":", x["degree"].cast("string"), x["c"].cast("string"))),
-                             ",").alias("degrees"))
-           .join(m, [key, "component"], "left").join(tri, [key, "component"], "left"))
-    counts = [F.coalesce(c, F.lit(0)).cast("string") for c in ("n_nodes", "n_edges", "n_triangles")]
-    sig = sig.withColumn("signature", F.concat_ws("|", *counts, "degrees"))
+                F.array_join(F.transform(F.sort_array(F.collect_list(entry)),
+                                         lambda x: F.concat_ws(":", *(x[f].cast("string") for f in ("degree", "triangles", "c")))),
+                             ",").alias("invariants"))
+           .join(m, [key, "component"], "left"))
+    counts = [F.coalesce(c, F.lit(0)).cast("string") for c in ("n_nodes", "n_edges")]
+    sig = sig.withColumn("signature", F.concat_ws("|", *counts, "invariants"))
     return (sig.groupBy("signature")
             .agg(F.min(F.struct(key, "component")).alias("rep"), F.count(F.lit(1)).alias("class_size"))
             .select("signature", F.col(f"rep.{key}").alias(key), F.col("rep.component").alias("component"),

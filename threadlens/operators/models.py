@@ -7,18 +7,18 @@
   ClusteringEvaluator uses); plain Euclidean would need every pair.
 * Naive Bayes (M10) has an exact log-probability form in joins/aggregates
   next to the MLlib estimator.
-* NMF (M7) runs multiplicative updates with document factors distributed and
-  the small topic x term factor joined in; every round is checkpointed.
+* NMF (M7) keeps a document's weights beside its entries and a term's weights in one row; a round makes
+  no row per (document, component).
 """
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadlens.session import cut_lineage
+from threadlens.session import cut_lineage, discard
 
 
 # ---------------------------------------------------------------- M5 k-means
@@ -217,61 +217,129 @@ def _seeded_uniform(seed: int, *cols) -> "F.Column":
     return F.pmod(h, F.lit(1_000_003)).cast("double") / F.lit(1_000_003.0)
 
 
+def _wide(prefix: str, k: int) -> list[str]:
+    return [f"{prefix}_{j}" for j in range(k)]
+
+
+def _gram(table: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The k x k matrix of products of a factor's columns, and the columns' sums, in one aggregate."""
+    k = len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    r = table.agg(*(F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs), *(F.sum(c) for c in names)).first()
+    g = np.zeros((k, k))
+    for (i, j), v in zip(pairs, r):
+        g[i, j] = g[j, i] = v or 0.0
+    return g, np.array([v or 0.0 for v in r[len(pairs):]])
+
+
+def _updated(names: list[str], top: list[str], gram: np.ndarray, l1: float, l2: float, eps: float) -> list:
+    """x_j * top_j / (sum_i gram_ij x_i + l1 + l2 x_j): a row of a factor after one multiplicative step."""
+    out = []
+    for j, c in enumerate(names):
+        below = sum((F.lit(float(gram[i, j])) * F.col(n) for i, n in enumerate(names)), F.lit(l1 + eps)) + F.lit(l2) * F.col(c)
+        out.append((F.col(c) * F.coalesce(top[j], F.lit(0.0)) / below).alias(c))
+    return out
+
+
+def nmf_blocks(x: DataFrame, doc: str, term: str, value: str) -> DataFrame:
+    """``(d, xs)``: a document's row of the sparse matrix, as one list of (term, value)."""
+    return (x.select(F.col(doc).alias("d"), F.struct(F.col(term).alias("t"), F.col(value).cast("double").alias("x")).alias("e"))
+            .groupBy("d").agg(F.collect_list("e").alias("xs")))
+
+
+def nmf_term_step(docs: DataFrame, h: DataFrame, gram: np.ndarray, k: int, l1: float, l2: float, eps: float = 1e-10) -> DataFrame:
+    """H after one step: ``(t, h_0 ..)``. ``docs``: ``(d, xs, w_0 ..)``; ``gram``: that of W.
+
+    A document's weights stand beside its own entries, so W^T X needs no join, and a term's ``k`` sums are one row.
+    """
+    ws, hs, ns = _wide("w", k), _wide("h", k), _wide("n", k)
+    cells = docs.select(F.explode("xs").alias("e"), *ws)
+    top = cells.groupBy(F.col("e.t").alias("t")).agg(*(F.sum(F.col("e.x") * F.col(w)).alias(n) for w, n in zip(ws, ns)))
+    return h.join(top, "t", "left").select("t", *_updated(hs, ns, gram, l1, l2, eps))
+
+
+def nmf_doc_step(docs: DataFrame, h: DataFrame, gram: np.ndarray, k: int, l1: float, l2: float, eps: float = 1e-10) -> DataFrame:
+    """W after one step, beside the entries, with ``fit``: the document's share of sum(W . X H^T)."""
+    ws, hs, ns = _wide("w", k), _wide("h", k), _wide("n", k)
+    cells = docs.select("d", F.explode("xs").alias("e")).select("d", F.col("e.t").alias("t"), F.col("e.x").alias("x"))
+    top = cells.join(h, "t").groupBy("d").agg(*(F.sum(F.col("x") * F.col(c)).alias(n) for c, n in zip(hs, ns)))
+    new = docs.join(top, "d", "left").select("d", "xs", *_updated(ws, ns, gram, l1, l2, eps), *ns)
+    fit = sum((F.col(w) * F.coalesce(n, F.lit(0.0)) for w, n in zip(ws, ns)), F.lit(0.0))
+    return new.select("d", "xs", *ws, fit.alias("fit"))
+
+
 def nmf(x: DataFrame, doc: str, term: str, value: str, k: int = 10, alpha: float = 0.1, l1_ratio: float = 0.5,
-        tolerance: float = 1e-3, seed: int = 1, eps: float = 1e-10) -> tuple[DataFrame, DataFrame, list[float]]:
+        tolerance: float = 1e-3, seed: int = 1) -> tuple[DataFrame, DataFrame, list[float]]:
     """M7: minimise 1/2 |X - WH|^2 + a*l1 (|W|_1 + |H|_1) + a*(1-l1)/2 (|W|^2 + |H|^2) by multiplicative updates.
 
-    ``x`` is sparse COO ``(doc, term, value)`` with value >= 0.  Long-format
-    factors: ``W(doc, comp, w)`` stays distributed; ``H(comp, term, h)`` has
-    k x vocabulary rows and is joined in after a size check.  All products are
-    joins + grouped sums; each round is checkpointed and the objective (one
-    number per round, computed from aggregates, zeros of X included) is returned.
-    Rounds go on until one lowers the objective by less than ``tolerance`` of it.
+    ``x`` is sparse COO ``(doc, term, value)`` with value >= 0.  The factors are updated in turn, as blocks: a document
+    is one row with its entries and its ``k`` weights, a term one row with its ``k`` weights, and only the two
+    k x k matrices of products and the objective come to the driver.  A round makes no row per (document, component).
+    Rounds go on until one lowers the objective by less than ``tolerance`` of it; a replaced round is deleted.
     """
-    X = x.select(F.col(doc).alias("d"), F.col(term).alias("t"), F.col(value).cast("double").alias("x"))
-    X = cut_lineage(X)
-    stats = X.agg(F.avg("x").alias("m"), F.sum(F.col("x") * F.col("x")).alias("xx")).first()
-    n_docs = X.select("d").distinct().count()
-    n_terms = X.select("t").distinct().count()
-    mean_full = stats["m"] * X.count() / max(n_docs * n_terms, 1)
-    scale = (mean_full / k) ** 0.5
-    comps = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("c")
-    W = cut_lineage(X.select("d").distinct().select("d", comps)
-                    .select("d", "c", (_seeded_uniform(seed, F.lit("W"), "d", "c") * scale).alias("w")))
-    H = cut_lineage(X.select("t").distinct().select("t", comps)
-                    .select("c", "t", (_seeded_uniform(seed, F.lit("H"), "t", "c") * scale).alias("h")))
-    l1 = alpha * l1_ratio
-    l2 = alpha * (1 - l1_ratio)
+    docs = cut_lineage(nmf_blocks(x, doc, term, value))
+    cells = docs.select(F.explode("xs").alias("e"))
+    terms = cut_lineage(cells.select(F.col("e.t").alias("t")).distinct())
+    stats = cells.agg(F.sum("e.x").alias("s"), F.sum(F.col("e.x") * F.col("e.x")).alias("xx")).first()
+    scale = float(((stats["s"] or 0.0) / max(docs.count() * terms.count(), 1) / k) ** 0.5)
+    W = cut_lineage(docs.select("d", "xs", *((_seeded_uniform(seed, F.lit("W"), "d", F.lit(j)) * scale).alias(c)
+                                             for j, c in enumerate(_wide("w", k)))))
+    H = cut_lineage(terms.select("t", *((_seeded_uniform(seed, F.lit("H"), "t", F.lit(j)) * scale).alias(c)
+                                        for j, c in enumerate(_wide("h", k)))))
+    discard(docs, terms)
+    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
+    wtw, _ = _gram(W, _wide("w", k))
     history: list[float] = []
     while len(history) < 2 or history[-2] - history[-1] > tolerance * abs(history[-2]):
-        # --- H update
-        wtx = X.join(W, "d").groupBy("c", "t").agg(F.sum(F.col("w") * F.col("x")).alias("num"))
-        wtw = (W.alias("a").join(W.alias("b"), "d")
-               .groupBy(F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("g")))
-        wtwh = (F.broadcast(wtw).join(H.withColumnRenamed("c", "j"), "j")
-                .groupBy(F.col("i").alias("c"), "t").agg(F.sum(F.col("g") * F.col("h")).alias("den")))
-        H = cut_lineage(H.join(wtx, ["c", "t"], "left").join(wtwh, ["c", "t"])
-                        .select("c", "t", (F.col("h") * F.coalesce("num", F.lit(0.0))
-                                           / (F.col("den") + l1 + l2 * F.col("h") + eps)).alias("h")))
-        # --- W update
-        # H is a written table: its size decides the join
-        xht = X.join(H, "t").groupBy("d", "c").agg(F.sum(F.col("x") * F.col("h")).alias("num"))
-        hht = (H.alias("a").join(H.alias("b"), "t")
-               .groupBy(F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.sum(F.col("a.h") * F.col("b.h")).alias("g")))
-        whht = (W.withColumnRenamed("c", "i").join(F.broadcast(hht), "i")
-                .groupBy("d", F.col("j").alias("c")).agg(F.sum(F.col("w") * F.col("g")).alias("den")))
-        W = cut_lineage(W.join(xht, ["d", "c"], "left").join(whht, ["d", "c"])
-                        .select("d", "c", (F.col("w") * F.coalesce("num", F.lit(0.0))
-                                           / (F.col("den") + l1 + l2 * F.col("w") + eps)).alias("w")))
-        # --- objective from aggregates: |X - WH|^2 = |X|^2 - 2 sum W.(X H^T) + sum (W^T W).(H H^T)
-        cross = W.join(xht, ["d", "c"]).agg(F.sum(F.col("w") * F.col("num"))).first()[0] or 0.0
-        wtw2 = (W.alias("a").join(W.alias("b"), "d")
-                .groupBy(F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("g")))
-        quad = wtw2.join(hht.withColumnRenamed("g", "q"), ["i", "j"]).agg(F.sum(F.col("g") * F.col("q"))).first()[0]
-        wa = W.agg(F.sum("w"), F.sum(F.col("w") * F.col("w"))).first()
-        ha = H.agg(F.sum("h"), F.sum(F.col("h") * F.col("h"))).first()
-        obj = (0.5 * (stats["xx"] - 2 * cross + (quad or 0.0)) + l1 * ((wa[0] or 0) + (ha[0] or 0))
-               + 0.5 * l2 * ((wa[1] or 0) + (ha[1] or 0)))
-        history.append(float(obj))
-    return W.select(F.col("d").alias(doc), F.col("c").alias("component"), "w"), \
-        H.select(F.col("c").alias("component"), F.col("t").alias(term), "h"), history
+        old, H = H, cut_lineage(nmf_term_step(W, H, wtw, k, l1, l2))
+        discard(old)
+        hht, h_sum = _gram(H, _wide("h", k))
+        old, W = W, cut_lineage(nmf_doc_step(W, H, hht, k, l1, l2))
+        discard(old)
+        wtw, w_sum = _gram(W, _wide("w", k))
+        # |X - WH|^2 = |X|^2 - 2 sum W.(X H^T) + sum (W^T W).(H H^T), zeros of X included
+        cross = W.agg(F.sum("fit")).first()[0] or 0.0
+        history.append(0.5 * ((stats["xx"] or 0.0) - 2 * cross + float((wtw * hht).sum()))
+                       + l1 * float(w_sum.sum() + h_sum.sum()) + 0.5 * l2 * float(np.trace(wtw) + np.trace(hht)))
+
+    def long(table: DataFrame, key: str, name: str, prefix: str, out: str) -> DataFrame:
+        parts = F.array(*(F.struct(F.lit(j).alias("component"), F.col(c).alias(out)) for j, c in enumerate(_wide(prefix, k))))
+        return table.select(F.col(key).alias(name), F.explode(parts).alias("p")).select(name, "p.component", f"p.{out}")
+
+    return long(W, "d", doc, "w", "w"), long(H, "t", term, "h", "h"), history
+
+
+# ---------------------------------------------------------------- M6 on the sample
+
+SAMPLE_ROWS, TILE_ROWS = 1000, 100
+
+
+def silhouette_sample(points: DataFrame, id_col: str, vec: str, cluster: str = "cluster", n: int = SAMPLE_ROWS, seed: int = 1,
+                      tile: int = TILE_ROWS) -> DataFrame:
+    """M6: mean silhouette with the plain Euclidean distance on the seeded sample (S10) of ``n`` rows.
+
+    The sample is cut into tiles of ``tile`` rows; tile i meets tile j once for i <= j, so no join holds more than
+    two tiles and a pair's distance is computed once and counted for both ends. Singletons score 0.
+    """
+    from threadlens.sources.io import seeded_sample
+
+    rows = seeded_sample(points.select(F.col(id_col).alias("id"), F.col(cluster).alias("k"),
+                                       F.col(vec).cast("array<double>").alias("x")), "id", n, seed)
+    # At most ``n`` rows are numbered.
+    numbered = rows.withColumn("i", F.row_number().over(Window.orderBy("id")) - 1)
+    tiles = cut_lineage(numbered.withColumn("tile", F.floor(F.col("i") / tile).cast("int")))
+    last = -(-n // tile) - 1
+    left = tiles.select("tile", F.explode(F.sequence("tile", F.lit(last))).alias("to"), F.col("i").alias("i"),
+                        F.col("k").alias("k_i"), F.col("x").alias("x_i"))
+    right = tiles.select(F.col("tile").alias("to"), F.col("i").alias("j"), F.col("k").alias("k_j"), F.col("x").alias("x_j"))
+    square = F.aggregate(F.zip_with("x_i", "x_j", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    pairs = left.join(right, "to").where("i < j").select("i", "j", "k_i", "k_j", F.sqrt(square).alias("d"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("i").alias("i"), F.col("k_i").alias("own"), F.col("k_j").alias("k"), "d"),
+                                          F.struct(F.col("j").alias("i"), F.col("k_j").alias("own"), F.col("k_i").alias("k"), "d"))).alias("e"))
+    mean = ends.select("e.*").groupBy("i", "own", "k").agg(F.avg("d").alias("m"))
+    per = mean.groupBy("i").agg(F.min(F.when(F.col("k") == F.col("own"), F.col("m"))).alias("a"),
+                                F.min(F.when(F.col("k") != F.col("own"), F.col("m"))).alias("b"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise(
+        (F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    every = tiles.select("i").join(per, "i", "left")
+    return every.select(F.round(F.avg(F.coalesce(s, F.lit(0.0))), 6).alias("silhouette"), F.count(F.lit(1)).alias("n_rows"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from threadlens.functions import text as T
 from threadlens.operators import features as FE
+from threadlens.operators import similarity as SI
 from threadlens.plans.oracle_sql import with_ctes
 from threadlens.plans.q_relational import sql_clean_post
 from threadlens.plans.q_text import NEG_SQL, STOP_WORDS, _sql_list, _TOKS
@@ -186,4 +187,4 @@ def m11(spark, sf_dir):
     bench = t.raw("benchmark").select("item_id", "text")
     qtf = FE.term_counts(FE.term_occurrences(bench, ["item_id"], "text", STOP_WORDS), ["item_id"])
     queries = FE.tfidf(qtf, ["item_id"], idf_from=ctf, materialize=False, documents=docs)
-    return FE.similar_documents(queries, corpus, "item_id", "doc_id", TOP_K)
+    return SI.similar_documents(queries, corpus, "item_id", "doc_id", TOP_K)

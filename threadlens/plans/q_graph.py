@@ -292,22 +292,22 @@ G14_SQL = CC_SQL.replace(
            from nv left join (select thread_id, node, count(*) as degree
                               from (select thread_id, u as node from ne union all select thread_id, v as node from ne) x
                               group by thread_id, node) c on c.thread_id = nv.thread_id and c.node = nv.node),
-    cn as (select c.thread_id, c.component, count(*) as n_nodes,
-                  (select string_agg(h.degree || ':' || h.k, ',' order by h.degree) from (
-                     select d2.degree, count(*) as k from comp c2 join dg d2 on d2.thread_id = c2.thread_id and d2.node = c2.node
-                     where c2.thread_id = c.thread_id and c2.component = c.component group by d2.degree) h) as degree_seq
-           from comp c join dg d on d.thread_id = c.thread_id and d.node = c.node group by c.thread_id, c.component),
-    tr as (select c.thread_id, c.component, count(*) as n_tri
+    tn as (select a.thread_id, a.a as node, count(*) // 2 as triangles
            from sym a join sym b on b.thread_id = a.thread_id and b.a = a.b
                 join sym k on k.thread_id = a.thread_id and k.a = a.a and k.b = b.b
-                join comp c on c.thread_id = a.thread_id and c.node = a.a
-           where a.a < a.b and b.a < b.b group by c.thread_id, c.component),
+           group by a.thread_id, a.a),
+    hi as (select c.thread_id, c.component, d.degree, coalesce(t.triangles, 0) as triangles, count(*) as k
+           from comp c join dg d on d.thread_id = c.thread_id and d.node = c.node
+                left join tn t on t.thread_id = c.thread_id and t.node = c.node
+           group by all),
+    cn as (select thread_id, component, sum(k) as n_nodes,
+                  string_agg(degree || ':' || triangles || ':' || k, ',' order by degree, triangles) as invariants
+           from hi group by thread_id, component),
     cm as (select c.thread_id, c.component, count(*) as n_edges
            from ne e join comp c on c.thread_id = e.thread_id and c.node = e.u group by c.thread_id, c.component),
     sig as (select cn.thread_id, cn.component,
-                   n_nodes || '|' || coalesce(n_edges, 0) || '|' || coalesce(n_tri, 0) || '|' || degree_seq as signature
-            from cn left join cm on cm.thread_id = cn.thread_id and cm.component = cn.component
-                    left join tr on tr.thread_id = cn.thread_id and tr.component = cn.component)
+                   n_nodes || '|' || coalesce(n_edges, 0) || '|' || invariants as signature
+            from cn left join cm on cm.thread_id = cn.thread_id and cm.component = cn.component)
     select signature, arg_min(thread_id, (thread_id, component)) as thread_id,
            arg_min(component, (thread_id, component)) as component, count(*) as class_size
     from sig group by signature""")

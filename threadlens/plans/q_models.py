@@ -10,7 +10,7 @@ from threadlens.operators import kmeans as KM
 from threadlens.operators import models as MO
 from threadlens.operators import relational as R
 from threadlens.plans.oracle_sql import with_ctes
-from threadlens.plans.q_features import MAX_FEATURES, _DOC_TF, _TERMS, _all_docs, _doc_tf, _m3, _vocab
+from threadlens.plans.q_features import MAX_FEATURES, _DOC_TF, _TERMS, M3_CTES, _all_docs, _doc_tf, _m3, _vocab
 from threadlens.plans.q_text import STOP_WORDS
 from threadlens.plans.registry import register
 from threadlens.session import cut_lineage
@@ -150,6 +150,25 @@ def m5c(spark, sf_dir):
     return KM.centre_table(rows, idf, state, cut_lineage(assigned), 8).withColumn("norm", F.round("norm", 6))
 
 
+SAMPLE_SQL = f"""
+with {_AXIS},
+s as (select vec_id, cluster as k, e as x from ax order by md5('1:' || cast(vec_id as varchar)), vec_id limit {MO.SAMPLE_ROWS}),
+d as (select a.vec_id, a.k as own, b.k, list_distance(a.x, b.x) as d from s a join s b on a.vec_id <> b.vec_id),
+m as (select vec_id, own, k, avg(d) as m from d group by vec_id, own, k),
+ab as (select s.vec_id, min(case when m.k = m.own then m.m end) as a, min(case when m.k <> m.own then m.m end) as b
+       from s left join m using (vec_id) group by s.vec_id)
+select round(avg(case when a is null or b is null then 0.0 else (b - a) / greatest(a, b) end), 6) as silhouette,
+       count(*) as n_rows from ab"""
+
+
+@register("m6_silhouette_sample", SAMPLE_SQL)
+def m6t(spark, sf_dir):
+    """Euclidean silhouette on the seeded sample of the table."""
+    emb = _emb(spark, sf_dir)
+    pts = emb.select("vec_id", "embedding", MO.nearest_axis(emb, "embedding", N_AXES).alias("cluster"))
+    return MO.silhouette_sample(pts, "vec_id", "embedding", "cluster")
+
+
 # ---------------------------------------------------------------- M7 / M8
 
 @register("m7_nmf_topics")
@@ -162,6 +181,49 @@ def m7(spark, sf_dir):
     return FE.top_terms(topics, "component", 10)
 
 
+# One round from fixed factors: w_dj = 1 / (1 + (d + j) % 7), h_jt = 1 / (1 + (t + 2 j) % 5), three components.
+_NMF_K, _NMF_L1, _NMF_L2 = 3, 0.05, 0.05
+_NMF_CTES = M3_CTES + [
+    "xx as (select wt.doc_id as d, vocab.term_index as t, wt.weight as x from wt join vocab using (term))",
+    f"w0 as (select d, j, 1.0::double / (1 + (d + j) % 7) as w from (select distinct d from xx) a, range({_NMF_K}) r(j))",
+    f"h0 as (select t, j, 1.0::double / (1 + (t + 2 * j) % 5) as h from (select distinct t from xx) a, range({_NMF_K}) r(j))",
+    "gw as (select a.j as i, b.j as j, sum(a.w * b.w) as g from w0 a join w0 b using (d) group by a.j, b.j)",
+    "nh as (select t, j, sum(x * w) as num from xx join w0 using (d) group by t, j)",
+    f"""h1 as (select h0.t, h0.j, h0.h * nh.num / ((select sum(g.g * o.h) from gw g join h0 o on o.t = h0.t and o.j = g.i
+             where g.j = h0.j) + {_NMF_L1} + 1e-10 + {_NMF_L2} * h0.h) as h from h0 join nh using (t, j))""",
+    "gh as (select a.j as i, b.j as j, sum(a.h * b.h) as g from h1 a join h1 b using (t) group by a.j, b.j)",
+    "nw as (select d, j, sum(x * h) as num from xx join h1 using (t) group by d, j)",
+    f"""w1 as (select w0.d, w0.j, w0.w * nw.num / ((select sum(g.g * o.w) from gh g join w0 o on o.d = w0.d and o.j = g.i
+             where g.j = w0.j) + {_NMF_L1} + 1e-10 + {_NMF_L2} * w0.w) as w from w0 join nw using (d, j))""",
+]
+
+
+@register("m7_nmf_step", with_ctes(
+    """select 'term' as side, t as id, cast(j as integer) as component, round(h, 6) as weight from h1
+       union all select 'document', d, cast(j as integer), round(w, 6) from w1""", extra=_NMF_CTES))
+def m7s(spark, sf_dir):
+    """One update of both factors from fixed ones, on the whole limited TF-IDF matrix."""
+    w = _m3(spark, sf_dir)
+    vocab = cut_lineage(_vocab(cut_lineage(_doc_tf(spark, sf_dir)), _all_docs(spark, sf_dir)).select("term", "term_index"))
+    x = w.join(vocab, "term").select("doc_id", "term_index", "weight")
+    ks = range(_NMF_K)
+    docs = cut_lineage(MO.nmf_blocks(x, "doc_id", "term_index", "weight").select(
+        "d", "xs", *((F.lit(1.0) / (1 + (F.col("d") + j) % 7)).alias(f"w_{j}") for j in ks)))
+    terms = docs.select(F.explode("xs.t").alias("t")).distinct().select(
+        "t", *((F.lit(1.0) / (1 + (F.col("t") + 2 * j) % 5)).alias(f"h_{j}") for j in ks))
+    wtw, _ = MO._gram(docs, [f"w_{j}" for j in ks])
+    h = cut_lineage(MO.nmf_term_step(docs, terms, wtw, _NMF_K, _NMF_L1, _NMF_L2))
+    hht, _ = MO._gram(h, [f"h_{j}" for j in ks])
+    new = MO.nmf_doc_step(docs, h, hht, _NMF_K, _NMF_L1, _NMF_L2)
+
+    def long(table, key, side, p):
+        parts = F.array(*(F.struct(F.lit(j).alias("component"), F.round(f"{p}_{j}", 6).alias("weight")) for j in ks))
+        return table.select(F.lit(side).alias("side"), F.col(key).cast("long").alias("id"), F.explode(parts).alias("e")).select(
+            "side", "id", "e.*")
+
+    return long(h, "t", "term", "h").unionByName(long(new, "d", "document", "w"))
+
+
 @register("m8_lda_topics")
 def m8(spark, sf_dir):
     docs = _t(spark, sf_dir).raw("documents").select("doc_id", T.terms("text", STOP_WORDS).alias("tokens"))
