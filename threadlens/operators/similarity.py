@@ -2,10 +2,10 @@
 
 Documents stay where they are: one row per document with its weights on query terms. Each task cuts its rows into
 chunks and indexes a chunk by term. The postings of a term stand in document order in blocks with the largest weight
-of each (block maxima), and the term keeps its ``k``-th largest weight (impact order), so a query knows a score that
-``k`` documents reach before it reads anything. Terms whose bounds together stay below that score are not read for
+of each (block maxima). The documents of the largest weights of a query's strongest terms (impact order) are scored
+first and give a score that ``k`` documents reach. Terms whose bounds together stay below that score are not read for
 candidates (max-score), nor are blocks that cannot reach it; candidates are dropped as soon as what is left cannot
-lift them. A task hands on ``k`` rows per query, so the exchange that follows holds queries, not pairs.
+lift them. Bounds are the smaller of the sum of largest weights and the product of lengths (Cauchy-Schwarz). A task hands on ``k`` rows per query, so the exchange that follows holds queries, not pairs.
 
 Queries are sent to the tasks in blocks of at most ``block_terms`` weights. All weights are positive. Scores are
 rounded to six places before they are ranked, ties go to the smaller document id; a margin of rounding is kept in all
@@ -48,14 +48,28 @@ class Postings:
         some = size > 0
         if some.any():
             self.top[some] = np.maximum.reduceat(self.maxima, self.block[:-1][some])
-        self._kth: dict[tuple[int, int], float] = {}
-
-    def kth(self, term: int, k: int) -> float:
-        """The ``k``-th largest weight of a term, 0 if it has fewer."""
-        if (term, k) not in self._kth:
-            w = self.weight[self.start[term]:self.start[term + 1]]
-            self._kth[term, k] = float(np.partition(w, len(w) - k)[len(w) - k]) if len(w) >= k else 0.0
-        return self._kth[term, k]
+        # What a document has on query terms at all: sum of squares, and the largest of the chunk.
+        self.mass = np.bincount(doc, weight * weight, len(first) - 1)
+        self.most = float(np.sqrt(self.mass.max(initial=0.0)))
+        self._strongest: dict[tuple[int, int], np.ndarray] = {}
+
+    def strongest(self, term: int, n: int) -> np.ndarray:
+        """The documents of the ``n`` largest weights of a term (its impact order, as far as it is asked for)."""
+        if (term, n) not in self._strongest:
+            lo, hi = self.start[term], self.start[term + 1]
+            at = np.arange(lo, hi) if hi - lo <= n else lo + np.argpartition(self.weight[lo:hi], hi - lo - n)[hi - lo - n:]
+            self._strongest[term, n] = self.doc[at]
+        return self._strongest[term, n]
+
+    def scores(self, terms: np.ndarray, weights: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Full scores of the given documents (sorted)."""
+        out = np.zeros(len(doc))
+        for t, w in zip(terms, weights):
+            lo, hi = self.start[t], self.start[t + 1]
+            at = np.minimum(lo + np.searchsorted(self.doc[lo:hi], doc), hi - 1)
+            hit = self.doc[at] == doc
+            out[hit] += w * self.weight[at[hit]]
+        return out
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
         """Documents and scores that may be among the best ``k`` and beat ``floor``; how many were scored."""
@@ -67,30 +81,42 @@ class Postings:
         bound = weights * self.top[terms]
         order = np.argsort(bound, kind="stable")
         terms, weights, bound = terms[order], weights[order], bound[order]
-        least = max(floor, max(float(w) * self.kth(int(t), k) for t, w in zip(terms, weights))) - MARGIN
-        below = np.cumsum(bound)                # what terms up to this one can give together
+        # A score that ``k`` documents reach: that of the strongest ones of the terms that can give most.
+        first = np.unique(np.concatenate([self.strongest(int(t), 2 * k + 8) for t in terms[-6:]]))
+        if len(first) >= k:
+            known = self.scores(terms, weights, first)
+            floor = max(floor, float(np.partition(known, len(known) - k)[len(known) - k]))
+        least = floor - MARGIN
+        # What terms up to this one can give together: by their largest weights, and by lengths (Cauchy-Schwarz).
+        square = np.cumsum(weights * weights)
+        below = np.minimum(np.cumsum(bound), np.sqrt(square) * self.most)
         if below[-1] < least:
             return none
         skip = int(np.searchsorted(below, least, side="left"))      # these alone cannot reach it
-        docs, parts = [], []
+        docs, parts, total = [], [], float(bound.sum())
         for t, w, b in zip(terms[skip:], weights[skip:], bound[skip:]):
             lo, hi = self.block[t], self.block[t + 1]
-            good = np.flatnonzero(w * self.maxima[lo:hi] + (below[-1] - b) >= least) + lo
+            rest = float(np.sqrt(max(0.0, square[-1] - w * w)))
+            good = np.flatnonzero(w * self.maxima[lo:hi] + min(total - b, rest * self.most) >= least) + lo
             if not len(good):
                 continue
             end = np.minimum(self.begin[good] + BLOCK, self.start[t + 1])
             at = np.repeat(self.begin[good], end - self.begin[good]) + _runs(end - self.begin[good])
+            x = self.weight[at]
+            at = at[w * x + rest * np.sqrt(np.maximum(0.0, self.mass[self.doc[at]] - x * x)) >= least]
             docs.append(self.doc[at])
             parts.append(w * self.weight[at])
         if not docs:
             return none
         doc, inv = np.unique(np.concatenate(docs), return_inverse=True)
+        if not len(doc):
+            return none
         score = np.bincount(inv, np.concatenate(parts), len(doc))
         scored = len(doc)
         for i in range(skip - 1, -1, -1):
             if len(doc) > k:
                 least = max(least, float(np.partition(score, len(score) - k)[len(score) - k]) - MARGIN)
-            keep = score + below[i] >= least
+            keep = score + np.minimum(below[i], np.sqrt(square[i] * self.mass[doc])) >= least
             doc, score = doc[keep], score[keep]
             own = self.doc[self.start[terms[i]]:self.start[terms[i] + 1]]
             at = np.minimum(np.searchsorted(own, doc), len(own) - 1)
