@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from threadlens.operators.extract import posts_from_pages
 from threadlens.sources.forum import ForumTables
 from threadlens.streaming import ingest as X
+from threadlens.streaming import state as ST
 
 
 def test_stream_equals_batch_and_replay_is_idempotent(spark, sf_small, tmpdir_path):
@@ -33,3 +34,65 @@ def test_last_page_stream(spark, sf_small, tmpdir_path):
     got = {r.thread_id: r.last_page for r in X.read_frontier(spark, front).collect()}
     want = {r.thread_id: r.m for r in t.posts.groupBy("thread_id").agg(F.max("thread_page").alias("m")).collect()}
     assert got == want
+
+
+def test_first_posts_survive_a_crash_between_write_and_commit(spark, sf_small, tmpdir_path):
+    """A batch is written and then fails; the restart replays it. Rows, and rows staged again, equal the batch job."""
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    t = ForumTables(spark, sf_small)
+    pages_dir, store, ckpt = tmpdir_path + "/pages", tmpdir_path + "/store", tmpdir_path + "/ckpt"
+    X.stage_pages(t.thread_pages, pages_dir, 3, copies=2)
+
+    def crash(batch_id):
+        if batch_id == 1:
+            raise RuntimeError("lost")
+
+    with pytest.raises(StreamingQueryException):
+        ST.ingest_first(spark, pages_dir, store, ckpt, max_files=2, after=crash).awaitTermination()
+    ST.ingest_first(spark, pages_dir, store, ckpt, max_files=2).awaitTermination()
+    batch = posts_from_pages(t.thread_pages)
+    got = spark.read.parquet(store).select(*batch.columns)
+    assert got.count() == batch.count() and got.exceptAll(batch).count() == 0
+
+
+def test_first_posts_within_a_batch_null_ids_and_wide_ids(spark, tmpdir_path):
+    rows = [(i % 7, 1, 1000 * (i % 5)) for i in range(50)] + [(None, 1, 5), (None, None, 5), (-3, 2, 5), (-3, 2, 5),
+                                                             (10 ** 15, None, 1), (10 ** 15, None, 1)]
+    schema = "post_id long, thread_id long, thread_page int"
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(tmpdir_path + "/in")
+    out = tmpdir_path + "/out"
+    stream = spark.readStream.schema(schema).parquet(tmpdir_path + "/in")
+    ST.start(spark, ST.first_posts(stream), out, f"{out}-ckpt").awaitTermination()
+    assert sorted(r["post_id"] for r in spark.read.parquet(out).collect()) == [-3, *range(7), 10 ** 15]
+
+
+def test_first_posts_with_a_time_to_live(spark, tmpdir_path):
+    """Such a stream runs until it is stopped; ids that come again within the time are not passed on."""
+    import time
+
+    schema = "post_id long, thread_id long, thread_page int"
+    for _ in range(2):
+        spark.createDataFrame([(i % 7, 1, 1) for i in range(20)], schema).coalesce(1).write.mode("append").parquet(tmpdir_path + "/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(tmpdir_path + "/in")
+    q = ST.start(spark, ST.first_posts(stream, 3_600_000), tmpdir_path + "/out", tmpdir_path + "/ckpt",
+                 trigger={"processingTime": "1 second"})
+    try:
+        end = time.time() + 90
+        while time.time() < end and (q.lastProgress is None or q.lastProgress["batchId"] < 2):
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert sorted(r["post_id"] for r in spark.read.parquet(tmpdir_path + "/out").collect()) == list(range(7))
+
+
+def test_last_page_log_holds_growth_only(spark, tmpdir_path):
+    schema = "thread_id long, thread_page int"
+    for pages in ([(1, 1), (1, 2), (2, 5)], [(1, 2), (2, 4), (None, 3)], [(1, 7), (2, 5), (3, None)]):
+        spark.createDataFrame(pages, schema).coalesce(1).write.mode("append").parquet(tmpdir_path + "/in")
+        stream = spark.readStream.schema(schema).parquet(tmpdir_path + "/in")
+        ST.start(spark, ST.last_pages(stream), tmpdir_path + "/log", tmpdir_path + "/ckpt").awaitTermination()
+    log = sorted((r.thread_id, r.last_page) for r in spark.read.parquet(tmpdir_path + "/log").collect())
+    assert log == [(1, 2), (1, 7), (2, 5)]
+    assert {r.thread_id: r.last_page for r in X.read_frontier(spark, tmpdir_path + "/log").collect()} == {1: 7, 2: 5}
