@@ -208,6 +208,15 @@ def test_banded_distance(a, b, tau):
     assert lines.edit_distance_within(a, b, tau) == (distance(a, b) <= tau)
 
 
+def linked(lines, tau, step):
+    """An edit for every ``step`` characters of the shorter line, at most ``tau``."""
+    def allowed(x, y):
+        return min(tau, min(len(x), len(y)) // step)
+
+    return {x: {y for y in lines if x != y and abs(len(x) - len(y)) <= allowed(x, y) and distance(x, y) <= allowed(x, y)}
+            for x in lines}
+
+
 def test_lines_against_brute_force(make_docs, edge_texts):
     rng = random.Random(6)
     base = ["".join(rng.choice("abcdé 語") for _ in range(rng.randint(25, 60))).strip() for _ in range(25)]
@@ -227,8 +236,7 @@ def test_lines_against_brute_force(make_docs, edge_texts):
     for d, ls in enumerate(trimmed):
         for i, x in ls:
             first.setdefault(x, (d, i))
-    long = [x for x in first if 30 <= len(x) < 1000]
-    near = {x: {y for y in long if x != y and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2} for x in long}
+    near = linked([x for x in first if len(x) < 1000], 2, 10)
     assert sum(map(len, near.values())) > 20
     rows = {r["doc_id"]: r for r in lines.line_duplicates(make_docs(texts)).collect()}
     for d, ls in enumerate(trimmed):
@@ -245,7 +253,7 @@ def test_line_query_links_short_lines(spark, tmp_path, make_docs):
     from threadlens.llm.queries import op8_line_dedup
 
     rng = random.Random(8)
-    base = ["All rights reserved.", "abc", "xyz w", "Read more", "12", "q"]
+    base = ["All rights reserved.", "abc", "xyz w", "Read more", "12", "q", "Read the terms"]
     base += ["".join(rng.choice("abcdé 語") for _ in range(rng.randint(1, 29))).strip() or "z" for _ in range(30)]
 
     def vary(s):
@@ -260,8 +268,8 @@ def test_line_query_links_short_lines(spark, tmp_path, make_docs):
     for d, ls in enumerate(every):
         for i, x in enumerate(ls):
             first.setdefault(x, (d, i))
-    long = [x for x in first if len(x) >= 3]
-    near = {x: {y for y in long if x != y and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2} for x in long}
+    near = linked(list(first), 2, 10)
+    assert any(len(x) < 20 and near[x] for x in near) and not any(near[x] for x in near if len(x) < 10)
     rows = {r["doc_id"]: r for r in op8_line_dedup(spark, str(tmp_path)).collect()}
     for d, ls in enumerate(every):
         want = (sum((d, i) == first[x] and any(first[y] < first[x] for y in near.get(x, ())) for i, x in enumerate(ls)),

@@ -1,15 +1,15 @@
 """Line near-duplicates by a segment-partition edit join.
 
 Lines are the parts of a text between newlines, without white space around them; empty ones do not count.
-Two different lines of at least ``min_chars`` code points are linked if their edit distance is at most
-``tau``; shorter lines only match as they are. ``min_chars`` can go down to ``tau + 1``, as in the registered
-query: a shorter line has no segment for each edit, and is within ``tau`` edits of any line as short.
+Two different lines are linked if their edit distance is at most the allowance of the shorter one: an edit for every
+``step`` code points, and at most ``tau``. So two short lines are not alike for being short, and a line under
+``step`` code points only matches as it is.
 
-A line of length l is cut into ``tau + 1`` even segments and indexed by (l, segment number, segment). By the
-pigeonhole principle a linked line of length l to l + ``tau`` holds one of these segments as it stands, at
+A line of length l and allowance t is cut into t + 1 even segments and indexed by (l, segment number, segment). By the
+pigeonhole principle a linked line of length l to l + t holds one of these segments as it stands, at
 one of a few places; the places to probe depend on both lengths (multi-match-aware selection). Index and
 probe keys meet in one join. A pair goes on only if the parities of its hashed characters differ in at most
-2 ``tau`` of 64 bits, which every linked pair meets, so a segment that very many lines share does not emit
+2 t of 64 bits, which every linked pair meets, so a segment that very many lines share does not emit
 its pairs. What is left is verified with a banded bit-parallel edit distance on the whole lines.
 
 ``line_duplicates`` gives one row per text: lines, lines that stand earlier as they are, lines that first
@@ -96,43 +96,74 @@ def _key(h: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
     return W.mix64(h + W.mix64(length.astype(np.uint64) * np.uint64(64) + np.uint64(i + 1)))
 
 
-def _unique_long(x: Lines, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of the distinct lines of at least ``min_chars`` code points."""
+def allowance(length: np.ndarray, tau: int, step: int) -> np.ndarray:
+    """Edits allowed to a line of the given length."""
+    return np.clip(length // step, 0, tau)
+
+
+def _unique_long(x: Lines, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of the distinct lines of at least ``step`` code points."""
     h = x.hash(x.start, x.end)
     _, at = np.unique(h, return_index=True)
-    at = at[x.end[at] - x.start[at] >= min_chars]
+    at = at[x.end[at] - x.start[at] >= step]
     return h[at], x.start[at], x.end[at]
 
 
-def _keys(docs: DataFrame, tau: int, min_chars: int, probe: bool, names: tuple[str, str, str]) -> DataFrame:
-    """``key, line, length, parities`` of all index (or probe) keys of long lines."""
+def _keys(docs: DataFrame, tau: int, step: int, probe: bool, names: tuple[str, str, str, str]) -> DataFrame:
+    """``key, line, parities, zero, prior, allowed`` of all index (or probe) keys of the lines that may be linked.
+
+    ``zero``: beside keys of later segments, the key of the first one; ``prior``: beside those from the third on, the
+    key of the one before, in a probe at the same distance from its place (null where it is not probed there).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in W.slices(batch.column(0)):
                 x = Lines(batch.column(0).slice(a, b - a))
-                h, start, end = _unique_long(x, min_chars)
+                h, start, end = _unique_long(x, step)
                 own, bits = end - start, x.parities(start, end)
 
-                def rows(keep: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+                def rows(keep: np.ndarray, key: np.ndarray, t: int, zero: np.ndarray | None, prior: np.ndarray | None,
+                         off: np.ndarray | None = None) -> pa.RecordBatch:
+                    none = pa.nulls(len(keep), pa.int64())
                     return pa.RecordBatch.from_arrays(
-                        [pa.array(W.as_signed(key)), pa.array(W.as_signed(h[keep])),
-                         pa.array(W.as_signed(bits[keep]))], names=["key", *names[:2]])
-
-                for i in range(tau + 1):
-                    if not probe:
-                        at, size = segments(own, tau, i)
-                        yield rows(np.arange(len(h)), _key(x.hash(start + at, start + at + size), own, i))
-                        continue
-                    for delta in range(tau + 1):
-                        other = own - delta
-                        low, high, size = probe_places(own, other, tau, i)
-                        for step in range(2 * tau + 1):
-                            keep = np.flatnonzero(low + step <= high)
-                            if len(keep):
-                                s = start[keep] + low[keep] + step
-                                yield rows(keep, _key(x.hash(s, s + size[keep]), other[keep], i))
-
-    return docs.select("_text").mapInArrow(run, f"key long, {names[0]} long, {names[1]} long")
+                        [pa.array(W.as_signed(key)), pa.array(W.as_signed(h[keep])), pa.array(W.as_signed(bits[keep])),
+                         none if zero is None else pa.array(W.as_signed(zero)),
+                         none if prior is None else pa.array(W.as_signed(prior), mask=off),
+                         pa.array(np.full(len(keep), t, dtype=np.int32))], names=["key", *names, "allowed"])
+
+                # ``t``: the allowance of the shorter line, which is the indexed one.
+                for t in range(1, tau + 1):
+                    for delta in range(t + 1) if probe else (0,):
+                        some = np.flatnonzero(allowance(own - delta, tau, step) == t)
+                        length, at_start = own[some], start[some]
+                        _, size = segments(length - delta, t, 0)    # the first segment has one place only
+                        first = _key(x.hash(at_start, at_start + size), length - delta, 0)
+                        for i in range(t + 1):
+                            back, back_size = segments(length - delta, t, max(i - 1, 0))
+                            if not probe:
+                                at, size = segments(length, t, i)
+                                spans = [at_start + y for y in (at, at + size, back, back + back_size)]
+                                yield rows(some, _key(x.hash(*spans[:2]), length, i), t, first if i else None,
+                                           _key(x.hash(*spans[2:]), length, i - 1) if i > 1 else None)
+                                continue
+                            low, high, size = probe_places(length, length - delta, t, i)
+                            back_low, back_high, _ = probe_places(length, length - delta, t, max(i - 1, 0))
+                            there, _ = segments(length - delta, t, i)
+                            for move in range(2 * t + 1):
+                                keep = np.flatnonzero(low + move <= high)
+                                if not len(keep):
+                                    continue
+                                other = length[keep] - delta
+                                s = at_start[keep] + low[keep] + move
+                                key = _key(x.hash(s, s + size[keep]), other, i)
+                                # The segment before, as far from its place as this one.
+                                p = back[keep] + low[keep] + move - there[keep]
+                                off = (p < back_low[keep]) | (p > back_high[keep])
+                                q = at_start[keep] + np.where(off, 0, p)
+                                prior = _key(x.hash(q, q + back_size[keep]), other, i - 1) if i > 1 else None
+                                yield rows(some[keep], key, t, first[keep] if i else None, prior, off if i > 1 else None)
+
+    return docs.select("_text").mapInArrow(run, ", ".join(f"{n} long" for n in ("key", *names)) + ", allowed int")
 
 
 def edit_distance_within(x: str, y: str, tau: int) -> bool:
@@ -183,14 +214,17 @@ def edit_distance_within(x: str, y: str, tau: int) -> bool:
     return value <= tau
 
 
-def near_lines(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
-    """``a, b`` (line hashes, a < b): all pairs of different long lines within ``tau`` edits. ``docs``: doc_id, _text."""
+def near_lines(docs: DataFrame, tau: int, step: int) -> DataFrame:
+    """``a, b`` (line hashes, a < b): all pairs of different linked lines. ``docs``: doc_id, _text."""
     # A line that stands in many partitions is one row a key: the repeats fall where the keys meet.
-    index = _keys(docs, tau, min_chars, False, ("line_i", "bits_i", "")).repartition("key").dropDuplicates()
-    probe = _keys(docs, tau, min_chars, True, ("line_p", "bits_p", "")).repartition("key").dropDuplicates()
+    index = _keys(docs, tau, step, False, ("line_i", "bits_i", "zero_i", "prior_i")).repartition("key").dropDuplicates()
+    probe = _keys(docs, tau, step, True, ("line_p", "bits_p", "zero_p", "prior_p")).drop("allowed").repartition("key").dropDuplicates()
+    # Lines that share their first segment, or the one before this, have met there.
+    met = (F.coalesce(F.col("zero_i") == F.col("zero_p"), F.lit(False))
+           | F.coalesce(F.col("prior_i") == F.col("prior_p"), F.lit(False)))
     found = (index.join(probe, "key")
-             .where((F.col("line_i") != F.col("line_p"))
-                    & (F.bit_count(F.col("bits_i").bitwiseXOR(F.col("bits_p"))) <= 2 * tau))
+             .where((F.col("line_i") != F.col("line_p")) & ~met
+                    & (F.bit_count(F.col("bits_i").bitwiseXOR(F.col("bits_p"))) <= 2 * F.col("allowed")))
              .select(F.least("line_i", "line_p").alias("a"), F.greatest("line_i", "line_p").alias("b")))
     pairs = cut_lineage(found.distinct())
     wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
@@ -201,7 +235,7 @@ def near_lines(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-                    if edit_distance_within(x, y, tau)]
+                    if edit_distance_within(x, y, min(tau, min(len(x), len(y)) // step))]
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in (0, 1)], names=["a", "b"])
 
@@ -234,7 +268,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             .where("body IS NOT NULL"))
 
 
-def line_duplicates(docs: DataFrame, tau: int = 2, min_chars: int = 30, id_col: str = "doc_id",
+def line_duplicates(docs: DataFrame, tau: int = 2, step: int = 10, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_exact, n_near, n_links`` of every row.
 
@@ -244,7 +278,7 @@ def line_duplicates(docs: DataFrame, tau: int = 2, min_chars: int = 30, id_col:
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     places = cut_lineage(line_places(src))
     first = cut_lineage(places.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first")))
-    links = cut_lineage(near_lines(src, tau, min_chars).distinct())
+    links = cut_lineage(near_lines(src, tau, step).distinct())
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = ends.join(first.select(F.col("line").alias("b"), F.col("first").alias("other")), "b")
     linked = other.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.min("other").alias("before"))

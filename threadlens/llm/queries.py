@@ -62,8 +62,8 @@ def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Every line of more than tau characters: the segment partition is exact from there on.
-    return lines.line_duplicates(_table(spark, sf_dir, "documents"), tau=2, min_chars=3)
+    # One edit for every ten characters, and at most two.
+    return lines.line_duplicates(_table(spark, sf_dir, "documents"), tau=2, step=10)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
