@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, near-duplicates, decontamination, mixing and packing, in that order.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, written as Parquet and read again
-as the next stage's ``docs``. All but the last return the columns of ``docs``.
+as the next stage's ``docs``. All but the last return the columns of ``docs``, in their order; extra columns go along
+whatever their names. Every stage gives an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -18,30 +19,49 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts without a letter, or without any leading language, go."""
+    """Language ID: texts without a letter, or without any leading language, go.
+
+    Null and empty texts go; a row with a null id is judged by its text; repeated rows are judged alike; where two
+    languages tie, the alphabetically first one leads. Without any labelled row every text is unknown and goes.
+    """
     judged = langid.predict_rows(docs, langid.fit(docs))
     return (judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
             .select("row.*"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-duplicates on five-word shingles at 0.8: the smallest id of each group stays."""
+    """MinHash near-duplicates on five-word shingles at 0.8: the smallest id of each group stays.
+
+    Rows without a word and rows with a null id stay; where ids repeat, a row is known by id and text, and one of
+    several equal rows stays.
+    """
     return minhash.distinct_rows(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that hold four fifths of a benchmark item's five-word shingles go."""
+    """Texts that hold four fifths of a benchmark item's five-word shingles go.
+
+    Null and empty texts hold nothing and stay; copies of a text go together, whatever their ids; null and empty items
+    match nothing, an item under five words is one run of all its words; an empty benchmark removes nothing.
+    """
     return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates that meet the domains' target weights; each text stays as often as its rate, a fraction by a hash."""
+    """Rates that meet the domains' target weights; each text stays as often as its rate, a fraction by a hash.
+
+    Null and empty texts have no token and the rate of their posterior; rows equal in id and text share one draw;
+    labels of unknown texts and null labels are not used, and without any label every row stays once.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixing.mixed_rows(docs, labels, label_domain(), MIX_WEIGHTS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in packed rows, with segment lengths, position resets and the ids of the texts."""
+    """Token ids in packed rows, with segment lengths, position resets and the ids of the texts.
+
+    Null and empty texts are in no row; a row that stands several times is packed as often; a null id stands as null.
+    """
     return packing.pack(docs)
 
 
