@@ -11,6 +11,7 @@ from threadlens.plans.q_stats import M9_CTES, _polarities
 from threadlens.plans.registry import register
 from threadlens.operators import relational as R
 from threadlens.sources import io as IO
+from threadlens.sources import rolling as RO
 from threadlens.sources.forum import ForumTables
 from threadlens.streaming.ingest import scratch
 
@@ -44,6 +45,17 @@ def s1k1(spark, sf_dir):
                     F.length("post_text").alias("text_chars"), F.size("quoted_post_ids").alias("n_quotes"))
 
 
+@register("k1_rolling_parts", with_ctes(
+    "select post_id, thread_id, user_id, user_name, thread_page, post_text, len(quoted_post_ids) as n_quotes from posts", "posts"))
+def k1r(spark, sf_dir):
+    """Posts through a serializer into parts closed at a byte size, read back as JSON lines."""
+    path = scratch(spark, "rolling")
+    posts = ForumTables(spark, sf_dir).posts.select("post_id", "thread_id", "user_id", "user_name", "thread_page", "post_text",
+                                                    F.size("quoted_post_ids").alias("n_quotes"))
+    RO.write_rolling(posts, path)
+    return spark.read.schema(posts.schema).json(path)
+
+
 @register("s2_k2_threads_round_trip", with_ctes(
     "select thread_id, thread_title, forum_id, author, author_id, is_ignored from threads", "threads"))
 def s2k2(spark, sf_dir):
