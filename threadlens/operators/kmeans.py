@@ -4,7 +4,7 @@ A term is known by its 64-bit hash ``h``. Texts are dealt out by id once, so a d
 counting needs no second exchange. The rows hold plain counts; the idf goes into the centre table instead, and the
 documents' norms into their state, so the rows are written once and never joined to the vocabulary again.
 
-* Centres are a table ``(h, s_0 .. s_k-1)`` of weight sums over terms of two documents or more. A term of a single
+* Centres are a table ``(h, idf, s_0 .. s_k-1)`` of weight sums over terms of two documents or more. A term of a single
   document touches that document and its own centre only; its squared weights are one number (``own``) in the
   document's state, which gives its exact share of every dot product, norm and drift.
 * The table is broadcast behind a count of its rows (``BROADCAST_ROWS``), and joined by a shuffle beyond it.
@@ -57,21 +57,17 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _sums(rows: DataFrame, idf: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """``(h, s_0 ..)``: weights of shared terms, summed by the cluster in ``members`` ``(id, norm, a, sign)``."""
+    """``(h, idf, s_0 ..)``: weights of shared terms, summed by the cluster in ``members`` ``(id, norm, a, sign)``."""
     w = F.col("sign") * F.col("tf") * F.col("idf") / F.col("norm")
     return (rows.join(_small(members), "id").join(_small(idf), "h")
-            .groupBy("h").agg(*(F.sum(F.when(F.col("a") == j, w).otherwise(0.0)).alias(f"s_{j}") for j in range(k))))
+            .groupBy("h", "idf").agg(*(F.sum(F.when(F.col("a") == j, w).otherwise(0.0)).alias(f"s_{j}") for j in range(k))))
 
 
-def dots(rows: DataFrame, centres: DataFrame, idf: DataFrame, sizes: list[float]) -> DataFrame:
+def dots(rows: DataFrame, centres: DataFrame, sizes: list[float]) -> DataFrame:
     """``(id, d_0 ..)``: raw dot products of documents and centres over shared terms."""
-    g = centres.join(_small(idf), "h").select(
-        "h", *((F.col("idf") * F.col(f"s_{j}") / F.lit(max(n, 1.0))).alias(f"g_{j}") for j, n in enumerate(sizes)))
-    g = cut_lineage(g)
-    out = cut_lineage(rows.join(_small(g), "h").groupBy("id").agg(
+    g = centres.select("h", *((F.col("idf") * F.col(f"s_{j}") / F.lit(max(n, 1.0))).alias(f"g_{j}") for j, n in enumerate(sizes)))
+    return cut_lineage(rows.join(_small(g), "h").groupBy("id").agg(
         *(F.sum(F.col("tf") * F.col(f"g_{j}")).alias(f"d_{j}") for j in range(len(sizes)))))
-    discard(g)
-    return out
 
 
 def _distance(j: int, norm2: float, size: float, centre_of: Column) -> Column:
@@ -106,7 +102,7 @@ def lloyd_step(rows: DataFrame, idf: DataFrame, state: DataFrame, centre_ids: li
     for r in seeds.select("a", "norm").collect():
         norms[r["a"]] = 1.0 if r["norm"] > 0 else 0.0
     centres = cut_lineage(_sums(rows, idf, seeds.select("id", "norm", "a", F.lit(1).alias("sign")), k))
-    out = assign(named, dots(rows, centres, idf, [1.0] * k), norms, [1.0] * k, 6)
+    out = assign(named, dots(rows, centres, [1.0] * k), norms, [1.0] * k, 6)
     return out.select(F.col("id").alias(id_col), F.col("near").alias("cluster"), F.col("up").alias("distance"))
 
 
@@ -138,7 +134,7 @@ def _candidates(rows: DataFrame, idf: DataFrame, state: DataFrame, k: int, seed:
         seeds = tagged.select("id", "norm", "a", F.lit(1).alias("sign"))
         centres = cut_lineage(_sums(rows, idf, seeds, len(new)))
         named = cost.join(F.broadcast(tagged.select("id", "a")), "id", "left")
-        seen = assign(named, dots(rows, centres, idf, [1.0] * len(new)), [1.0] * len(new), [1.0] * len(new))
+        seen = assign(named, dots(rows, centres, [1.0] * len(new)), [1.0] * len(new), [1.0] * len(new))
         square = F.col("up") * F.col("up")
         old, cost = cost, cut_lineage(seen.select("id", "norm", "own", F.least("cost", square).alias("cost"), F.when(
             square < F.col("cost"), F.col("near") + base).otherwise(F.col("best")).alias("best")))
@@ -230,7 +226,7 @@ def fit(rows: DataFrame, idf: DataFrame, state: DataFrame, k: int = 8, max_iter:
         if not looked:
             break
         ids = _small(open_docs.select("id"))
-        seen = dots(rows.join(ids, "id", "left_semi"), centres.table, idf, centres.size)
+        seen = dots(rows.join(ids, "id", "left_semi"), centres.table, centres.size)
         judged = assign(open_docs.select("id", "norm", "own", "a"), seen, centres.norm2, centres.size)
         rest = now.where("NOT (up > low)").select("id", "norm", "own", "a", F.col("a").alias("near"), "up", "low")
         after = cut_lineage(judged.unionByName(rest))
@@ -245,7 +241,7 @@ def fit(rows: DataFrame, idf: DataFrame, state: DataFrame, k: int = 8, max_iter:
             F.struct(F.col("near").alias("a"), F.lit(1).alias("sign")), F.struct(F.col("a"), F.lit(-1).alias("sign")))).alias("e"))
         delta = _sums(rows, idf, change.select("id", "norm", "e.*"), k)
         names = [f"s_{j}" for j in range(k)]
-        table = cut_lineage(centres.table.unionByName(delta).groupBy("h").agg(*(F.sum(c).alias(c) for c in names)))
+        table = cut_lineage(centres.table.unionByName(delta).groupBy("h", "idf").agg(*(F.sum(c).alias(c) for c in names)))
         settled = after.drop("a").withColumnRenamed("near", "a")
         fresh = _Centres(table, settled, k)
         drift = _drifts(centres, fresh, after.groupBy("a", "near").agg(F.sum("own").alias("own")))
