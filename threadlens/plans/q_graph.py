@@ -182,6 +182,15 @@ def g7_adjacency(spark, sf_dir):
     return a.select("thread_id", "node", F.array_join("neighbours", ",").alias("neighbours"))
 
 
+@register("g7_adjacency_json", with_ctes(
+    """select thread_id, node, '{"id":"' || node || '","adj":[' || string_agg('"' || nbr || '"', ',' order by nbr) || ']}' as adjacency_json
+       from (select thread_id, u as node, v as nbr from ne union all
+             select thread_id, v as node, u as nbr from ne where u <> v) x group by thread_id, node""",
+    "posts", extra=[QE, NAMES, NE]))
+def g7_adjacency_json(spark, sf_dir):
+    return G.adjacency_json(_graph(spark, sf_dir)[1])
+
+
 def thread_graph(posts, thread_id=None, min_edges: int = 1, min_posts: int = 200, seed: int = SEED):
     """Node-link JSON of one thread's quote graph.
 
@@ -224,6 +233,14 @@ def g9_neighbours(spark, sf_dir):
     return G.neighbours(e, v.where(F.col("node") == NEIGHBOUR_OF))
 
 
+@register("g9_has_edges", with_ctes(
+    """select nv.thread_id, nv.node, exists (select 1 from ne where ne.thread_id = nv.thread_id
+                                             and (ne.u = nv.node or ne.v = nv.node)) as has_edge from nv""",
+    "posts", extra=[QE, NAMES, NV, NE]))
+def g9_has_edges(spark, sf_dir):
+    return G.has_edges(*_graph(spark, sf_dir))
+
+
 def _scored(v, e):
     """Node score = degree / max degree of its thread; link score = smaller end score."""
     from pyspark.sql.window import Window

@@ -12,6 +12,7 @@ from threadlens.sources import io as IO
 from threadlens.plans.oracle_sql import with_ctes
 from threadlens.plans.registry import register
 from threadlens.sources.forum import ForumTables
+from threadlens.streaming.ingest import scratch
 
 THREAD = 1000003
 USER = 7
@@ -159,6 +160,16 @@ def k8(spark, sf_dir):
     return IO.thread_post_json_rows(_t(spark, sf_dir).posts)
 
 
+@register("k8_thread_json_sink", with_ctes(
+    f"select thread_id, forum_id, post_id, {_POST_BODY_SQL % 'post_text'} as post_json from posts", "posts"))
+def k8s(spark, sf_dir):
+    """Written by thread bucket and read back."""
+    path = scratch(spark, "thread-json")
+    IO.write_thread_json(_t(spark, sf_dir).posts, path)
+    return spark.read.schema("thread_id long, forum_id int, post_id long, post_json string").json(path).select(
+        "thread_id", "forum_id", "post_id", "post_json")
+
+
 @register("k8_thread_documents", with_ctes(
     f"""select thread_id, forum_id, '{{"thread_id":"' || thread_id || '","forum_id":"' || forum_id || '","posts":[' ||
         string_agg({_POST_BODY_SQL % 'post_text'}::varchar, ',' order by post_id) || ']}}' as document
@@ -174,6 +185,16 @@ def k9(spark, sf_dir):
     return IO.index_documents(_t(spark, sf_dir).posts)
 
 
+@register("k9_index_sink", with_ctes(
+    f"select cast(forum_id as varchar) || '-' || cast(thread_id as varchar) as index, post_id as id, "
+    f"{_POST_BODY_SQL % 'post_text'} as body from posts", "posts"))
+def k9s(spark, sf_dir):
+    """Bulk files written by bucket of indexes and read back."""
+    path = scratch(spark, "index")
+    IO.write_index(_t(spark, sf_dir).posts, path)
+    return spark.read.schema("index string, id long, body string").json(path).select("index", "id", "body")
+
+
 _ASCII_TEXT = "regexp_replace(post_text, '[^\\x00-\\x7F]', '', 'g')"
 
 
