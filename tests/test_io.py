@@ -81,3 +81,29 @@ def test_index_documents(spark, sf_small):
     idx = IO.index_documents(posts, ascii_only=True)
     r = idx.first()
     assert r["index"].endswith("-ascii") and idx.count() == posts.count()
+
+
+def test_index_sink_regroups_repeated_posts_only(spark, sf_small, tmpdir_path):
+    posts = ForumTables(spark, sf_small).posts
+    edited = (posts.where("post_id % 7 = 0").withColumn("user_name", F.lit("edited"))
+              .withColumn("post_timestamp", F.expr("post_timestamp + interval 1 hour")))
+    nameless = posts.where("post_id in (1, 2)").withColumn("post_id", F.lit(None).cast("long"))
+    both = posts.unionByName(edited).unionByName(nameless)
+    want = IO.dedupe_latest(both, "post_id")
+    for max_keys in (100_000, 3):
+        got = IO.dedupe_repeated(both, "post_id", max_keys)
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    plan = IO.index_documents(posts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan     # no text is regrouped where every post stands once
+
+
+def test_json_sinks_are_compressed(spark, sf_small, tmpdir_path):
+    import glob
+
+    posts = ForumTables(spark, sf_small).posts
+    IO.write_index(posts, tmpdir_path + "/index")
+    IO.write_thread_json(posts, tmpdir_path + "/threads")
+    for name in ("index", "threads"):
+        files = glob.glob(f"{tmpdir_path}/{name}/bucket=*/part-*")
+        assert files and all(f.endswith(".json.gz") for f in files)
+        assert spark.read.json(f"{tmpdir_path}/{name}").count() == posts.count()
