@@ -64,3 +64,40 @@ def test_visible_text_and_fields(spark):
 def test_latin1_fallback(spark):
     df = pages(spark, [(1, "u", "ab€cé")])
     assert H.latin1_fallback(df).first().html_latin1 == "abcé"
+
+
+def test_plain_pages_give_the_events_of_the_tokenizer():
+    """Pages of plain tags are split at their tags, with the same calls as the tokenizer's; others are left to it."""
+    import random
+
+    from threadlens.operators import extract as E
+
+    class Log(E._Tree):
+        def __init__(self):
+            super().__init__()
+            self.log = []
+
+        def on_start(self, tag, attrs, classes):
+            self.log.append(("start", tag, attrs, classes, len(self.stack)))
+
+        def on_end(self, tag, el):
+            self.log.append(("end", tag, el))
+
+        def handle_data(self, data):
+            self.log.append(("data", data))
+
+    pieces = ["<tr>", "</tr>", '<TD class="a B">', "</td>", '<a href="x?a=1&amp;b=2" title="Next page">', "</a>", "<br>", "text",
+              "a &amp; b &lt;c&gt; &copy &#65;", "\n", "<title>", "</title>", "</p>", '<p id="">', "\x1c\u2028", "&", "&am"]
+    odd = ["<!-- x <b> -->", "a < b", "<br/>", "<p id=x>", "<script>", "</script>", '<a href="a&copy=1">', "<input checked>",
+           '<a title="x > y">', "<p\nid='z'>", "<", "</ p>", "<!doctype html>", "<![CDATA[x]]>", "</>", "<?pi?>"]
+    rng = random.Random(5)
+    plain = 0
+    for i in range(3000):
+        html = "".join(rng.choice(pieces + (odd if i % 3 == 0 else [])) for _ in range(rng.randrange(14)))
+        slow, fast = Log(), Log()
+        slow.feed(html)
+        slow.close()
+        got, _ = E._feed(fast, html)
+        assert got.log == slow.log and got.stack == slow.stack, html
+        plain += Log().feed_plain(html)
+    assert plain > 1000
