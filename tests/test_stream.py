@@ -96,3 +96,20 @@ def test_last_page_log_holds_growth_only(spark, tmpdir_path):
     log = sorted((r.thread_id, r.last_page) for r in spark.read.parquet(tmpdir_path + "/log").collect())
     assert log == [(1, 2), (1, 7), (2, 5)]
     assert {r.thread_id: r.last_page for r in X.read_frontier(spark, tmpdir_path + "/log").collect()} == {1: 7, 2: 5}
+
+
+def test_pages_are_made_once_for_all_copies(spark, sf_small, tmpdir_path):
+    """However many copies are staged, the pages are computed once; small inputs still come as the files asked for."""
+    pages = ForumTables(spark, sf_small).thread_pages
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    X.stage_pages(pages.mapInArrow(count, pages.schema), tmpdir_path + "/pages", 3, copies=2)
+    staged = spark.read.parquet(tmpdir_path + "/pages")
+    assert made.value == pages.count() and staged.count() == 2 * made.value
+    assert X.files_per_batch(spark, tmpdir_path + "/pages", 3) == -(-len(staged.inputFiles()) // 3) >= 2
+    assert staged.distinct().exceptAll(pages).count() == 0
