@@ -14,10 +14,11 @@ from pyspark.sql.window import Window
 
 from threadlens.functions import text as T
 from threadlens.functions import ids as D
-from threadlens.session import cut_lineage
+from threadlens.session import broadcast_if_small, cut_lineage
 
 DEFAULT_SEED = 42
-# Lookup frames below this many rows are broadcast; bigger ones are shuffle-joined.
+# Lookup frames of at most this many rows are broadcast; bigger ones are shuffle-joined.
+MAX_THREADS = 1_000_000
 
 
 def seeded_hash(seed: int, c) -> Column:
@@ -95,10 +96,11 @@ def thread_dataset(posts: DataFrame, topic_threads: DataFrame, topic_release: Da
                    min_chars: int = 20, days: int = D.RELEASE_OFFSET_DAYS) -> DataFrame:
     """P10: posts at least ``days`` after their topic's release, URL tokens removed, >= ``min_chars``.
 
-    ``topic_threads``/``topic_release`` are keyed lookups; adaptive execution
-    broadcasts them if their measured size is small.
+    Up to ``MAX_THREADS`` (key, thread, date) rows go to the posts; both sides of a join are shuffled before
+    adaptive execution has measured them, so the texts would be dealt by thread for nothing.
     """
-    rel = topic_threads.join(topic_release, "key")
+    rel = broadcast_if_small(cut_lineage(topic_threads.join(topic_release, "key").select(
+        "key", "thread_id", "release_date")), MAX_THREADS)
     p = posts.join(rel, "thread_id")
     text = T._spaced_without_urls("post_text")
     return (p.where(F.col("post_timestamp") >= D.release_cutoff("release_date", days).cast("timestamp"))
