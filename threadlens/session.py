@@ -124,6 +124,17 @@ def discard(*tables: DataFrame) -> None:
             pass
 
 
+def deal(df: DataFrame, keys: list[str], n_rows: int, rows_a_task: int) -> DataFrame:
+    """``df`` dealt out by ``keys`` so that a task gets about ``rows_a_task`` of ``n_rows`` rows, however many there are.
+
+    Few rows get the session's number of partitions, which adaptive execution may lower.
+    """
+    n = -(-n_rows // rows_a_task)
+    if n <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(*keys)
+    return df.repartition(n, *keys)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """A word list or lexicon, marked for broadcast if a count shows that it has at most ``max_rows`` rows.
 

@@ -28,6 +28,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.session import cut_lineage, deal
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -151,6 +153,9 @@ def _esc(c: Column) -> Column:
                      F.lit(">"), F.lit("&gt;"))
 
 
+PAGE_POSTS = 16_384     # posts whose texts one task gathers into pages
+
+
 # Forum markup of thread and listing pages (selectors the extractor reads).
 BASE_URL = "https://forum.invalid"
 
@@ -160,6 +165,10 @@ def render_thread_pages(posts: DataFrame, base_url: str = BASE_URL) -> DataFrame
 
     A page holds at most one page's posts (40), so each group is bounded.
     ``page_id = thread_id * 1000 + thread_page``.
+
+    The texts are dealt by page once, in tasks of ``PAGE_POSTS`` rows, and grouped where they lie: a partial
+    list before the shuffle saves no byte and is sorted on disk. The last page of a thread comes as one more
+    row of each of its pages, so that no finished page is shuffled to meet it.
     """
     pid = F.col("post_id").cast("string")
     uid = F.col("user_id").cast("string")
@@ -174,11 +183,16 @@ def render_thread_pages(posts: DataFrame, base_url: str = BASE_URL) -> DataFrame
         F.lit('">Post History</a></li></ul></td><td class="postbody">'), quotes, _esc(F.col("post_text")),
         F.lit('<p class="editedby">edited</p></td><td class="postdate"> '),
         F.date_format("post_timestamp", "MMM d, yyyy HH:mm"), F.lit(" </td></tr></table>"))
-    pages = (posts.select("thread_id", "thread_page", "forum_id", "post_id", frag.alias("frag"))
-             .groupBy("thread_id", "thread_page", "forum_id")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("post_id", "frag"))),
-                                           lambda s: s["frag"]), "\n").alias("body")))
-    last = posts.groupBy("thread_id").agg(F.max("thread_page").alias("last_page"))
+    keys = ["thread_id", "thread_page", "forum_id"]
+    seen = cut_lineage(posts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    marks = seen.join(seen.groupBy("thread_id").agg(F.max("thread_page").alias("last_page")), "thread_id")
+    n_posts = seen.agg(F.sum("n")).first()[0] or 0
+    post = F.struct("post_id", frag.alias("frag"))
+    rows = (posts.where("thread_id IS NOT NULL").select(*keys, post.alias("post"), F.lit(None).cast("int").alias("last_page"))
+            .unionByName(marks.withColumn("post", F.lit(None)).select(*keys, "post", "last_page")))
+    pages = (deal(rows, keys, n_posts, PAGE_POSTS).groupBy(*keys)
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list("post")), lambda s: s["frag"]), "\n").alias("body"),
+                  F.max("last_page").alias("last_page")))
     tid = F.col("thread_id").cast("string")
     page = F.col("thread_page").cast("string")
     nxt = F.when(F.col("thread_page") < F.col("last_page"), F.concat(
@@ -190,7 +204,7 @@ def render_thread_pages(posts: DataFrame, base_url: str = BASE_URL) -> DataFrame
                     F.lit("</body></html>"))
     url = F.concat(F.lit(base_url + "/showthread.php?threadid="), tid, F.lit("&forumid="),
                    F.col("forum_id").cast("string"), F.lit("&userid=0&perpage=40&pagenumber="), page)
-    return (pages.join(last, "thread_id")
+    return (pages
             .select((F.col("thread_id") * 1000 + F.col("thread_page")).alias("page_id"), url.alias("url"),
                     html.alias("html")))
 
