@@ -8,15 +8,21 @@ partial aggregate or a join on a term or document key.
 
 from __future__ import annotations
 
-from typing import Iterable, Sequence
+from typing import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadlens.functions import text as T
+from threadlens.session import cut_lineage, deal
 
-
+MAX_VOCABULARY = 2_000_000      # terms of two documents or more that are sent to the workers
+MAX_REPEATED = 2_000_000        # keys of several rows that are sent to the rows
+DOCUMENT_ROWS = 8_192           # rows a task gathers by document
 
 def term_occurrences(df: DataFrame, keys: Sequence[str], text: str, stop_words: Iterable[str] | None = None
                      ) -> DataFrame:
@@ -90,8 +96,6 @@ def tfidf(tf: DataFrame, keys: Sequence[str], idf_from: DataFrame | None = None,
     of re-tokenizing the corpus per branch.
     """
     if materialize:
-        from threadlens.session import cut_lineage
-
         tf = cut_lineage(tf)
         if idf_from is not None:
             idf_from = cut_lineage(idf_from)
@@ -108,6 +112,104 @@ def tfidf(tf: DataFrame, keys: Sequence[str], idf_from: DataFrame | None = None,
     return w.select(*keys, "term", "tf", F.round(F.col("w") / norm, 6).alias("weight"))
 
 
+def document_rows(df: DataFrame, keys: Sequence[str], seen: DataFrame) -> DataFrame:
+    """The rows of ``df`` with a key, those of a document next to each other. ``seen``: ``(keys..., n)``, rows of each key.
+
+    A row that is a document of its own stays where it is; only the rows of repeated keys are dealt by key.
+    """
+    there = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    again = seen.where(there).where("n > 1")
+    size = again.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
+    rows = df.where(there)
+    if not size["keys"]:
+        return rows
+    if size["keys"] > MAX_REPEATED:
+        n_rows = seen.where(there).agg(F.sum("n")).first()[0]
+        return deal(rows, list(keys), n_rows, DOCUMENT_ROWS).sortWithinPartitions(*keys)
+    again = F.broadcast(again.select(*keys))
+    several = deal(rows.join(again, list(keys), "left_semi"), list(keys), size["rows"], DOCUMENT_ROWS)
+    return rows.join(again, list(keys), "left_anti").unionByName(several.sortWithinPartitions(*keys))
+
+
+def _documents(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple]:
+    """Counts of the terms of whole documents: ``(keys, terms, at, code, tf)``, where ``at`` and ``code`` say which document
+    and which term. Equal keys follow each other; the last document of a batch is held, as counts, until it has ended."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, lists = batch.columns[:n_keys], batch.column(n_keys)
+        size, terms = pc.fill_null(lists.value_lengths(), 0).to_numpy(), lists.flatten()
+        n = np.ones(len(terms), dtype=np.int64)
+        if held is not None:
+            keys = [pa.concat_arrays([h, k]) for h, k in zip(held[0], keys)]
+            size, n = np.append(len(held[1]), size), np.append(held[2], n)
+            terms = pa.concat_arrays([held[1], terms])
+        new = np.zeros(len(size), dtype=bool)
+        for k in keys:
+            new[1:] |= pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False)
+        doc = np.cumsum(new)
+        new[0] = True
+        coded = terms.dictionary_encode()
+        width = max(len(coded.dictionary), 1)
+        cell, back = np.unique(np.repeat(doc, size) * width + coded.indices.to_numpy(), return_inverse=True)
+        tf = np.bincount(back, weights=n, minlength=len(cell)).astype(np.int64)
+        at, code = cell // width, cell % width
+        last = np.searchsorted(at, doc[-1])
+        held = ([k[-1:] for k in keys], coded.dictionary.take(pa.array(code[last:])), tf[last:])
+        first = pa.array(np.flatnonzero(new)[:-1])
+        yield [k.take(first) for k in keys], coded.dictionary, at[:last], code[:last], tf[:last]
+    if held is not None:
+        yield held[0], held[1], np.zeros(len(held[2]), dtype=np.int64), np.arange(len(held[2])), held[2]
+
+
+def tfidf_texts(df: DataFrame, keys: Sequence[str], text: str, stop_words: Iterable[str] | None = None) -> DataFrame:
+    """M1 of texts: ``tfidf(term_counts(term_occurrences(df)))`` with all rows of ``df`` as documents, and no row of
+    (document, term) shuffled or written.
+
+    Terms are counted where their document lies (``document_rows``), once for the document frequencies and once for
+    the weights. The idf goes to the workers while at most ``MAX_VOCABULARY`` terms are in two documents or more (those
+    of one document share one idf); larger vocabularies are joined by a shuffle.
+    """
+    names = list(keys)
+    seen = cut_lineage(df.groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
+    n_docs = seen.count()
+    lists = document_rows(df.select(*names, text), names, seen).select(*names, T.terms(text, stop_words).alias("terms"))
+
+    def frequencies(batches):
+        for _, terms, _, code, _ in _documents(batches, len(names)):
+            df_ = np.bincount(code, minlength=len(terms)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([terms, pa.array(df_)], names=["term", "df"])
+
+    idf = F.log((F.lit(1) + F.lit(n_docs)) / (F.lit(1) + F.col("df"))) + 1
+    common = cut_lineage(lists.mapInArrow(frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+                         .where("df > 1").select("term", idf.alias("idf")))
+    if common.count() > MAX_VOCABULARY:
+        return tfidf(term_counts(term_occurrences(df, names, text, stop_words), names), names, documents=df)
+    table = common.toArrow().combine_chunks()
+    rare = float(np.log((1 + n_docs) / 2) + 1)
+    sent = df.sparkSession.sparkContext.broadcast((table["term"].combine_chunks(), table["idf"].to_numpy()))
+
+    def weights(batches):
+        vocabulary, values = sent.value
+        for key, terms, at, code, tf in _documents(batches, len(names)):
+            if not len(at):
+                continue
+            place = pc.index_in(terms, value_set=vocabulary)
+            known = place.is_valid().to_numpy(zero_copy_only=False)
+            of_term = np.full(len(terms), rare)
+            of_term[known] = values[place.drop_null().to_numpy()]
+            w = tf * of_term[code]
+            norm = np.sqrt(np.bincount(at, weights=w * w))
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*(k.take(rows) for k in key), terms.take(pa.array(code)), pa.array(tf),
+                                              pa.array(w / norm[at])], names=[*names, "term", "tf", "weight"])
+
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in names), "term string", "tf long", "weight double"])
+    return lists.mapInArrow(weights, schema).withColumn("weight", F.round("weight", 6))
+
+
 def top_terms(weights: DataFrame, group: str, n: int, weight: str = "weight", term: str = "term") -> DataFrame:
     """Top ``n`` terms per group (topic) by weight, ties by term."""
     w = Window.partitionBy(group).orderBy(F.desc(weight), F.asc(term))

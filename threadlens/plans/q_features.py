@@ -53,9 +53,7 @@ M1_SQL = with_ctes("select thread_id, user_id, term, tf, weight from wt", "posts
 
 
 def user_doc_tfidf(posts):
-    keys = ["thread_id", "user_id"]
-    tf = FE.term_counts(FE.term_occurrences(posts, keys, "post_text", STOP_WORDS), keys)
-    return FE.tfidf(tf, keys, documents=posts)
+    return FE.tfidf_texts(posts, ["thread_id", "user_id"], "post_text", STOP_WORDS)
 
 
 @register("m1_tfidf", M1_SQL)
