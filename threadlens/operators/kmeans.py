@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from threadlens.session import broadcast_if_small, cut_lineage, discard
 
 BROADCAST_ROWS = 2_000_000
+DOCUMENT_ROWS = 4_096       # documents whose terms one task counts
 
 
 def term_rows(occurrences: DataFrame, id_col: str) -> DataFrame:
