@@ -163,6 +163,38 @@ def _documents(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple
         yield held[0], held[1], np.zeros(len(held[2]), dtype=np.int64), np.arange(len(held[2])), held[2]
 
 
+def _types(df: DataFrame, names: Sequence[str]) -> list[str]:
+    types = dict(df.dtypes)
+    return [f"`{k}` {types[k]}" for k in names]
+
+
+def counted_terms(df: DataFrame, keys: Sequence[str], text: str, stop_words: Iterable[str] | None = None) -> DataFrame:
+    """``term_counts(term_occurrences(df))``, counted where a document lies: no row of (document, term) is shuffled."""
+    names = list(keys)
+    seen = cut_lineage(df.groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
+    lists = document_rows(df.select(*names, text), names, seen).select(*names, T.terms(text, stop_words).alias("terms"))
+
+    def rows(batches):
+        for key, terms, at, code, tf in _documents(batches, len(names)):
+            row = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*(k.take(row) for k in key), terms.take(pa.array(code)), pa.array(tf)],
+                                             names=[*names, "term", "tf"])
+
+    return lists.mapInArrow(rows, ", ".join([*_types(df, names), "term string", "tf long"]))
+
+
+def list_frequencies(lists: DataFrame, terms_col: str) -> DataFrame:
+    """``(term, df, cnt)`` of a column of term lists, a document a row."""
+    def run(batches):
+        for _, terms, _, code, tf in _documents(batches, 1):
+            yield pa.RecordBatch.from_arrays([terms, *(pa.array(np.bincount(code, weights=w, minlength=len(terms)).astype(np.int64))
+                                                       for w in (None, tf))], names=["term", "df", "cnt"])
+
+    rows = lists.select(F.monotonically_increasing_id().alias("row"), terms_col)
+    return (rows.mapInArrow(run, "term string, df long, cnt long").where("term IS NOT NULL")
+            .groupBy("term").agg(F.sum("df").alias("df"), F.sum("cnt").alias("cnt")))
+
+
 def tfidf_texts(df: DataFrame, keys: Sequence[str], text: str, stop_words: Iterable[str] | None = None) -> DataFrame:
     """M1 of texts: ``tfidf(term_counts(term_occurrences(df)))`` with all rows of ``df`` as documents, and no row of
     (document, term) shuffled or written.
@@ -205,8 +237,7 @@ def tfidf_texts(df: DataFrame, keys: Sequence[str], text: str, stop_words: Itera
             yield pa.RecordBatch.from_arrays([*(k.take(rows) for k in key), terms.take(pa.array(code)), pa.array(tf),
                                               pa.array(w / norm[at])], names=[*names, "term", "tf", "weight"])
 
-    types = dict(df.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in names), "term string", "tf long", "weight double"])
+    schema = ", ".join([*_types(df, names), "term string", "tf long", "weight double"])
     return lists.mapInArrow(weights, schema).withColumn("weight", F.round("weight", 6))
 
 

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadlens.session import cut_lineage, discard
+from threadlens.operators.features import MAX_VOCABULARY, list_frequencies
+from threadlens.session import broadcast_if_small, cut_lineage, discard
 
 
 # ---------------------------------------------------------------- M5 k-means
@@ -117,27 +118,35 @@ def lda_topics(tokens: DataFrame, tokens_col: str, k: int = 10, max_iter: int =
                ) -> tuple[DataFrame, DataFrame]:
     """M8: online LDA (learning offset 50, decay 0.7) on count vectors.
 
+    The vocabulary is counted in Spark (``list_frequencies``): the estimator keeps all token lists in its tasks.
+    ``min_df`` and ``max_df`` of at least 1 are numbers of documents, smaller ones shares.
+
     Returns ``(topic_terms(topic, rank, term, weight), doc_topics(..., topicDistribution))``;
     the top terms are R6 over ``describeTopics``.
     """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-
-    cv = CountVectorizer(inputCol=tokens_col, outputCol="features", vocabSize=vocab_size, minDF=min_df,
-                         maxDF=max_df).fit(tokens)
-    counts = cv.transform(tokens)
+    from pyspark.ml.feature import CountVectorizerModel
+
+    n_docs = tokens.count()
+    low, high = (x if x >= 1 else x * n_docs for x in (min_df, max_df))
+    words = (list_frequencies(tokens, tokens_col).where((F.col("df") >= low) & (F.col("df") <= high))
+             .orderBy(F.desc("cnt"), "term").limit(vocab_size))
+    # The vocabulary is at most vocab_size terms.
+    vocabulary = [r["term"] for r in words.collect()]
+    cv = CountVectorizerModel.from_vocabulary(vocabulary, inputCol=tokens_col, outputCol="features")
+    # The vectors are written once; the fit reads them again in every round.
+    counts = cut_lineage(cv.transform(tokens).select("features"))
     lda = LDA(k=k, maxIter=max_iter, optimizer="online", learningOffset=50.0, learningDecay=0.7, seed=seed,
               featuresCol="features", topicDistributionCol="topicDistribution")
     model = lda.fit(counts)
     spark = tokens.sparkSession
-    # The vocabulary is at most vocab_size terms (the model's own bound).
-    vocab = spark.createDataFrame(list(enumerate(cv.vocabulary)), "term_index int, term string")
+    vocab = spark.createDataFrame(list(enumerate(vocabulary)), "term_index int, term string")
     topics = model.describeTopics(n_top).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "tw"))
     topics = topics.select("topic", (F.col("pos") + 1).alias("rank"), F.col("tw.termIndices").alias("term_index"),
                            F.col("tw.termWeights").alias("weight"))
     topic_terms = topics.join(F.broadcast(vocab), "term_index").select("topic", "rank", "term", "weight")
-    return topic_terms, model.transform(counts).drop("features")
+    return topic_terms, model.transform(cv.transform(tokens)).drop("features")
 
 
 # ---------------------------------------------------------------- M10 naive Bayes
@@ -176,13 +185,18 @@ def naive_bayes_predict(docs: DataFrame, counts: DataFrame, classes: DataFrame,
     the predicted class is the highest score, ties to the smaller label.
     Output ``(doc, predicted, scores array<struct<label, score>>)``.
     """
-    vocab = delta.select("term").distinct()
-    c = counts.join(vocab, "term", "left_semi")
-    total = c.groupBy(doc).agg(F.sum("tf").alias("n_terms"))
-    seen = (c.join(delta, "term").groupBy(doc, label).agg(F.sum(F.col("tf") * F.col("delta")).alias("d"))
-            .groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct(label, "d"))).alias("dm")))
+    # A term is one row with its labels' deltas, so a document's rows meet the model once, where they lie.
+    model = cut_lineage(delta.groupBy("term").agg(F.collect_list(F.struct(label, "delta")).alias("ds")))
+    none = F.struct(F.lit(None).cast(dict(delta.dtypes)[label]).alias(label), F.lit(0.0).alias("delta"))
+    cells = (counts.join(broadcast_if_small(model, MAX_VOCABULARY), "term")
+             .select(doc, "tf", F.explode(F.concat(F.array(none), "ds")).alias("e")))
+    sums = cells.groupBy(doc, F.col(f"e.{label}").alias(label)).agg(F.sum("tf").alias("n"),
+                                                                    F.sum(F.col("tf") * F.col("e.delta")).alias("d"))
+    seen = sums.groupBy(doc).agg(
+        F.max(F.when(F.col(label).isNull(), F.col("n"))).alias("n_terms"),
+        F.map_from_entries(F.collect_list(F.when(F.col(label).isNotNull(), F.struct(label, "d")))).alias("dm"))
     cls = classes.select(F.array_sort(F.collect_list(F.struct(label, "log_prior", "log_zero"))).alias("c")).scalar()
-    j = (docs.select(doc).distinct().join(total, doc, "left").join(seen, doc, "left")
+    j = (docs.select(doc).distinct().join(seen, doc, "left")
          .withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
          .withColumn("_cls", cls))  # scalar subquery projected first; lambdas read the column
     scores = F.transform("_cls", lambda k: F.struct(

@@ -78,7 +78,7 @@ _VOCAB = _DOC_TF + [
 
 def _doc_tf(spark, sf_dir):
     docs = _t(spark, sf_dir).raw("documents").select("doc_id", "text")
-    return FE.term_counts(FE.term_occurrences(docs, ["doc_id"], "text", STOP_WORDS), ["doc_id"])
+    return FE.counted_terms(docs, ["doc_id"], "text", STOP_WORDS)
 
 
 def _all_docs(spark, sf_dir):

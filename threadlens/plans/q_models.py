@@ -10,10 +10,10 @@ from threadlens.operators import kmeans as KM
 from threadlens.operators import models as MO
 from threadlens.operators import relational as R
 from threadlens.plans.oracle_sql import with_ctes
-from threadlens.plans.q_features import MAX_FEATURES, _DOC_TF, _TERMS, M3_CTES, _all_docs, _doc_tf, _m3, _vocab
+from threadlens.plans.q_features import MAX_FEATURES, _DOC_TF, _TERMS, M3_CTES, _all_docs, _doc_tf, _vocab
 from threadlens.plans.q_text import STOP_WORDS
 from threadlens.plans.registry import register
-from threadlens.session import cut_lineage
+from threadlens.session import cut_lineage, deal, discard
 from threadlens.sources.forum import ForumTables
 
 N_AXES = 8
@@ -98,7 +98,8 @@ def m6s(spark, sf_dir):
 def _text_occurrences(spark, sf_dir):
     """All documents, and their term occurrences with a document's rows in one partition."""
     docs = _t(spark, sf_dir).raw("documents").select("doc_id", "text")
-    return docs, FE.term_occurrences(docs.repartition("doc_id"), ["doc_id"], "text", STOP_WORDS)
+    dealt = deal(docs, ["doc_id"], docs.count(), KM.DOCUMENT_ROWS)
+    return docs, FE.term_occurrences(dealt, ["doc_id"], "text", STOP_WORDS)
 
 
 @register("m5_kmeans_text")
@@ -171,11 +172,20 @@ def m6t(spark, sf_dir):
 
 # ---------------------------------------------------------------- M7 / M8
 
+def _limited_matrix(spark, sf_dir):
+    """The limited TF-IDF matrix ``(doc_id, term_index, weight)`` and its vocabulary; the texts are counted once."""
+    docs = _all_docs(spark, sf_dir)
+    tf = cut_lineage(_doc_tf(spark, sf_dir))
+    vocab = cut_lineage(_vocab(tf, docs).select("term", "term_index"))
+    kept = cut_lineage(FE.restrict(tf, vocab).select("doc_id", "term", "tf"))
+    discard(tf)
+    return FE.tfidf(kept, ["doc_id"], materialize=False, documents=docs).join(vocab, "term").select(
+        "doc_id", "term_index", "weight"), vocab
+
+
 @register("m7_nmf_topics")
 def m7(spark, sf_dir):
-    w = _m3(spark, sf_dir)
-    vocab = cut_lineage(_vocab(cut_lineage(_doc_tf(spark, sf_dir)), _all_docs(spark, sf_dir)).select("term", "term_index"))
-    x = w.join(vocab, "term").select("doc_id", "term_index", "weight")
+    x, vocab = _limited_matrix(spark, sf_dir)
     _, H, _hist = MO.nmf(x, "doc_id", "term_index", "weight", k=10, alpha=0.1, l1_ratio=0.5, seed=1)
     topics = H.join(vocab, "term_index").select("component", "term", F.round("h", 6).alias("weight"))
     return FE.top_terms(topics, "component", 10)
@@ -203,9 +213,7 @@ _NMF_CTES = M3_CTES + [
        union all select 'document', d, cast(j as integer), round(w, 6) from w1""", extra=_NMF_CTES))
 def m7s(spark, sf_dir):
     """One update of both factors from fixed ones, on the whole limited TF-IDF matrix."""
-    w = _m3(spark, sf_dir)
-    vocab = cut_lineage(_vocab(cut_lineage(_doc_tf(spark, sf_dir)), _all_docs(spark, sf_dir)).select("term", "term_index"))
-    x = w.join(vocab, "term").select("doc_id", "term_index", "weight")
+    x, _ = _limited_matrix(spark, sf_dir)
     ks = range(_NMF_K)
     docs = cut_lineage(MO.nmf_blocks(x, "doc_id", "term_index", "weight").select(
         "d", "xs", *((F.lit(1.0) / (1 + (F.col("d") + j) % 7)).alias(f"w_{j}") for j in ks)))
@@ -238,9 +246,8 @@ def _nb_counts(spark, sf_dir):
     t = _t(spark, sf_dir)
     labels = R.seeded_split(t.raw("labels").select("doc_id", "quality"), "doc_id", "quality", NB_SEED)
     docs = t.raw("documents").select("doc_id", "text")
-    occ = FE.term_occurrences(docs, ["doc_id"], "text")
-    tf = FE.term_counts(occ, ["doc_id"])
-    counts = tf.join(labels, "doc_id").withColumnRenamed("quality", "label")
+    labelled = docs.join(labels.withColumnRenamed("quality", "label"), "doc_id").where("label IS NOT NULL")
+    counts = cut_lineage(FE.counted_terms(labelled, ["doc_id", "label", "split"], "text"))
     every = docs.select("doc_id").join(labels, "doc_id").withColumnRenamed("quality", "label")
     return counts, every
 
