@@ -165,6 +165,26 @@ def test_losses_count_every_word_and_pair(make_docs, spark):
     assert got[402]["target_loss"] is None and got[403]["n_words"] == 0
 
 
+def test_losses_write_totals_only(make_docs, spark, monkeypatch):
+    """No text and no key is written, one 64-bit key stands for a pair, and the shuffle of a write is gone after it."""
+    from threadlens import session
+
+    written = []
+
+    def cut(df, drop_shuffles=False):
+        written.append((df.dtypes, drop_shuffles))
+        return session.cut_lineage(df, drop_shuffles)
+
+    monkeypatch.setattr(lmscore, "cut_lineage", cut)
+    docs = make_docs(["a b a b", "a b c", None, "c a"], ids=[0, 0, None, 2])
+    rows = lmscore.loss_differences(docs, spark.createDataFrame([(0,), (0,), (None,)], "doc_id long")).collect()
+    assert sorted((r["doc_id"] is None, r["n_words"]) for r in rows) == [(False, 2), (False, 3), (False, 4), (True, 0)]
+    assert [drop for _, drop in written] == [True]
+    names = {n for dtypes, _ in written for n, _ in dtypes}
+    assert not names & {"text", "words", "pairs", "prev", "next"}
+    assert spark.conf.get(session.DROP_SHUFFLES) == "false"
+
+
 @pytest.fixture(scope="module")
 def enc():
     return packing.encoding(packing.read_ranks())

@@ -5,150 +5,175 @@ of every (previous, word) pair (words stand as 64-bit hashes).  Counts are taken
 scaled to the target's size so that the same smoothing weighs alike) and over all target texts; a text's own
 counts are left out when it is scored.
 
-Counts never meet in one place.  Texts are worked on in slices of a few MB.  A slice deals the distinct words
-and pairs it holds, with its own counts of them, into buckets by a hash; a bucket sums the counts of all slices
-and answers each one with the totals of the keys it asked for.  A key that very many texts hold is one entry a
-slice, and the number of buckets grows with the corpus, so no task grows with it.  Nothing but six sums is
-gathered in the driver.
+Counts never meet in one place.  Texts are dealt into slices of a few MB by their id.  A slice deals the distinct
+words and pairs it holds, as one 64-bit key each with its own counts of them, into buckets by ranges of the key; a
+bucket sums the counts of all slices and answers each one with the totals of the keys it asked for, in their order and
+without the keys.  Then the slices are dealt once more and scored by the answers, so texts are never written, and the
+shuffle of a step is deleted before the next one.  A key that very many texts hold is one entry a slice, and the
+number of buckets grows with the corpus, so no task grows with it.  Nothing but five sums is gathered in the driver.
 
 ``loss difference = H_target - H_background`` in bits per token: lower is closer to the target.
 
 Edge cases: null and empty texts have no token and null scores; without any target text (or any text)
 both models fall back to the uniform distribution and differences are those of the background alone;
-a null id is scored, but cannot be a target; repeated rows are counted and scored each; extra columns
-are not carried.
+a null id is scored, but cannot be a target; repeated rows are counted and scored each (all texts of one id are
+in one slice); extra columns are not carried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm import words as W
 from threadlens.session import cut_lineage
 
 _START = np.uint64(0)       # stands before a text's first word
-BUCKET_BYTES = 8 << 20      # text bytes a bucket answers for
-_KEYS = ("words", "words_f", "words_b", "prev", "next", "pairs_f", "pairs_b")
+BUCKET_BYTES = 16 << 20     # text bytes a bucket answers for
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Integers of 64 bits, the lowest bytes of all first: counts and gaps of keys have few high ones, which compress."""
+    planes = np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.reshape(-1), codec="zstd", asbytes=True)
+
+
+def _unpack(body: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(body, 8 * n, codec="zstd"), dtype=np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int64)
 
 
 class Slice:
-    """The tokens of a slice of texts, and its distinct words and pairs in the order of their buckets.
+    """The tokens of a slice of texts, and its distinct words and pairs in the order of their keys.
 
     The order depends on the set of texts alone, so that answers need not repeat the keys.
     """
 
-    def __init__(self, column: pa.Array, buckets: int):
+    def __init__(self, column: pa.Array):
         self.w = W.split_words(column)
-        word, self.at = np.unique(self.w.hashes(lower=True), return_inverse=True)
-        bucket = (W.mix64(word) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((word, bucket))
-        self.words, self.word_bucket = word[order], bucket[order]
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        self.at = place[self.at]                    # word of every token
+        word = self.w.hashes(lower=True)
+        self.words, self.at = np.unique(word, return_inverse=True)      # word of every token
         self.before = np.empty(len(self.at), dtype=np.int64)
         self.before[1:] = self.at[:-1]              # word before every token, -1 at the start of a text
-        self.before[self.w.first[:-1][self.w.counts > 0]] = -1
-        pair, self.pair = np.unique((self.before + 1) * len(word) + self.at, return_inverse=True)
-        before, after = (pair // len(word) - 1, pair % len(word)) if len(word) else (pair, pair)
-        prev = np.where(before < 0, _START, self.words[before]) if len(word) else self.words
-        nxt = self.words[after]
-        bucket = (W.mix64(W.mix64(prev) + nxt) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((nxt, prev, bucket))
-        self.prev, self.next, self.pair_bucket = prev[order], nxt[order], bucket[order]
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        self.pair = place[self.pair]                # pair of every token
+        starts = self.w.first[:-1][self.w.counts > 0]
+        self.before[starts] = -1
+        key = np.empty(len(word), dtype=np.uint64)
+        key[1:] = word[:-1]
+        key[starts] = _START
+        self.pairs, self.pair = np.unique(W.mix64(W.mix64(key) + word), return_inverse=True)    # pair of every token
 
     def requests(self, flag: np.ndarray, buckets: int) -> list[pa.Array]:
-        """``bucket`` and the lists ``_KEYS``, a row for each bucket that the slice has a key in."""
+        """``bucket, n_words, n_pairs, body``, a row for each bucket that the slice has a key in.
+
+        ``body``: keys (as gaps), counts in targets and counts in all texts, of the words and then of the pairs.
+        """
         mine = np.repeat(flag, self.w.counts)
-        used = np.unique(np.concatenate((self.word_bucket, self.pair_bucket)))
-
-        def lists(bucket: np.ndarray, values: np.ndarray) -> pa.Array:
-            cut = np.append(np.searchsorted(bucket, used), len(bucket)).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(cut), pa.array(values))
-
-        def counts(at: np.ndarray, size: int) -> list[np.ndarray]:
-            return [np.bincount(x, minlength=size).astype(np.int32) for x in (at[mine], at)]
-
-        return [pa.array(used),
-                *(lists(self.word_bucket, x) for x in (W.as_signed(self.words), *counts(self.at, len(self.words)))),
-                *(lists(self.pair_bucket, x) for x in (W.as_signed(self.prev), W.as_signed(self.next),
-                                                       *counts(self.pair, len(self.prev))))]
-
-
-def _sliced(flagged: DataFrame, id_type: str, buckets: int) -> DataFrame:
-    """One written table of two kinds of rows: texts with their slice and number of words, and requests."""
-    schema = (f"slice long, id {id_type}, text string, flag boolean, n_words long, bucket long, words array<long>, "
-              "words_f array<int>, words_b array<int>, prev array<long>, next array<long>, pairs_f array<int>, "
-              "pairs_b array<int>")
-    kinds = [pa.int64(), *[pa.list_(pa.int64() if k in ("words", "prev", "next") else pa.int32()) for k in _KEYS]]
-    names = ["slice", "id", "text", "flag", "n_words", "bucket", *_KEYS]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for a, b in W.slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                x = Slice(part.column(1), buckets)
-                flag = np.asarray(part.column(2).to_pylist(), dtype=bool)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b - a, number)), *part.columns, pa.array(x.w.counts.astype(np.int64)),
-                     *(pa.nulls(b - a, k) for k in kinds)], names=names)
-                asked = x.requests(flag, buckets)
-                n = len(asked[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, number)), *(pa.nulls(n, part.column(i).type) for i in range(3)),
-                     pa.nulls(n, pa.int64()), *asked], names=names)
-                number += 1
-
-    return cut_lineage(flagged.mapInArrow(run, schema))
-
-
-def _totals(keys: tuple[np.ndarray, ...], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+        # A bucket is a range of keys, so keys in order are in the order of their buckets.
+        bucket = [((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                  for x in (self.words, self.pairs)]
+        used = np.unique(np.concatenate(bucket))
+        cuts = [np.append(np.searchsorted(x, used), len(x)) for x in bucket]
+        columns = [[W.as_signed(k), *(np.bincount(x, minlength=len(k)) for x in (at[mine], at))]
+                   for k, at in ((self.words, self.at), (self.pairs, self.pair))]
+        body = []
+        for i in range(len(used)):
+            parts = []
+            for cut, (key, *counts) in zip(cuts, columns):
+                here = slice(cut[i], cut[i + 1])
+                parts += [np.diff(key[here], prepend=np.int64(0)), *(c[here] for c in counts)]
+            body.append(_pack(np.concatenate(parts)))
+        return [pa.array(used), *(pa.array(np.diff(x)) for x in cuts), pa.array(body, pa.binary())]
+
+
+def _flags(ids: pa.Array, targets: pa.Array) -> np.ndarray:
+    """Which of ``ids`` are among ``targets``, where no null is."""
+    return np.asarray(pc.is_in(ids, value_set=targets).to_pylist(), dtype=bool)
+
+
+def _requests(texts: DataFrame, targets: DataFrame, id_type: str, buckets: int) -> DataFrame:
+    """``slice, bucket, n_words, n_pairs, body``; one more row of each slice has ``sums`` and ``targets`` instead.
+
+    ``sums``: words and texts with a word, of the targets and of all; ``targets``: the ids that are targets.
+    """
+    names = ["slice", "bucket", "n_words", "n_pairs", "body", "sums", "targets"]
+    schema = f"slice long, bucket long, n_words long, n_pairs long, body binary, sums array<long>, targets array<{id_type}>"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        id_kind = left.schema.field("id").type
+        out = pa.schema(list(zip(names, [*[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64()), pa.list_(id_kind)])))
+        if not left.num_rows:
+            return out.empty_table()
+        left, right = left.combine_chunks(), right.combine_chunks()
+        number = left["slice"][0].as_py()
+        ids, wanted = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.nulls(0, id_kind) for c in (left["id"], right["_id"]))
+        flag = _flags(ids, wanted)
+        x = Slice(pa.concat_arrays(left["text"].chunks))
+        asked = x.requests(flag, buckets)
+        n, count = len(asked[0]), x.w.counts
+        sums = [int(count[flag].sum()), int(count.sum()), int((count[flag] > 0).sum()), int((count > 0).sum())]
+        found = ids.filter(pa.array(flag)).unique()
+        rows = pa.Table.from_arrays([pa.array(np.full(n, number)), *asked, *(pa.nulls(n, out.field(i).type) for i in (5, 6))],
+                                    schema=out)
+        summary = pa.Table.from_arrays(
+            [pa.array([v]) for v in (number, number % buckets, 0, 0)] + [pa.array([_pack(np.zeros(0))]), pa.array([sums]),
+             pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)], schema=out)
+        return pa.concat_tables([rows, summary])
+
+    return texts.groupBy("slice").cogroup(targets.groupBy("slice")).applyInArrow(run, schema)
+
+
+def _totals(keys: np.ndarray, counts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
     """For every entry the sums of ``counts`` over the entries of equal keys, and the number of distinct keys."""
-    if not len(keys[0]):
+    if not len(keys):
         return [c.astype(np.int64) for c in counts], 0
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), dtype=bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    new[0] = True
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.append(True, s[1:] != s[:-1])
     group = np.empty(len(order), dtype=np.int64)
     group[order] = np.cumsum(new) - 1
     at = np.flatnonzero(new)
     return [np.add.reduceat(c[order].astype(np.int64), at)[group] for c in counts], len(at)
 
 
-def _answers(asked: DataFrame) -> DataFrame:
-    """``slice, bucket, words_f, ..., pairs_b`` (totals over all slices) and ``distinct``: summed, all distinct words."""
+def _split(values: list[np.ndarray], sizes: list[np.ndarray], columns: int) -> list[list[np.ndarray]]:
+    """Of bodies with ``columns`` runs for the words and as many for the pairs: the runs, joined over the bodies."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(2 * columns)]
+    for x, *n in zip(values, *sizes):
+        for i, run in enumerate(np.split(x, np.cumsum(np.repeat(n, columns))[:-1])):
+            parts[i].append(run)
+    joined = [np.concatenate(p) for p in parts]
+    return [joined[:columns], joined[columns:]]
+
+
+def _answers(asked: DataFrame, id_type: str) -> DataFrame:
+    """The rows of ``asked`` with totals over all slices, and without keys, in ``body``; ``distinct``: summed, all
+    distinct words."""
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        col = {k: pa.concat_arrays(table[k].chunks) for k in _KEYS}
-        flat = {k: v.flatten().to_numpy() for k, v in col.items()}
-        out, distinct = [table["slice"], table["bucket"]], np.zeros(table.num_rows, dtype=np.int64)
-        for keys, counts in ((("words",), ("words_f", "words_b")), (("prev", "next"), ("pairs_f", "pairs_b"))):
-            size = col[keys[0]].value_lengths().to_numpy()
-            cut = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
-            sums, n = _totals(tuple(flat[k] for k in keys), [flat[c] for c in counts])
-            out += [pa.ListArray.from_arrays(cut, pa.array(s)) for s in sums]
-            if len(keys) == 1:
-                distinct[0] = n
-        return pa.Table.from_arrays([*out, pa.array(distinct)], names=["slice", "bucket", "words_f", "words_b", "pairs_f",
-                                                                       "pairs_b", "distinct"])
+        sizes = [table[k].to_numpy() for k in ("n_words", "n_pairs")]
+        bodies = [_unpack(b, 3 * int(n)) for b, n in zip(table["body"].to_pylist(), sizes[0] + sizes[1])]
+        distinct, answers = np.zeros(table.num_rows, dtype=np.int64), []
+        for i, (n, (gap, *counts)) in enumerate(zip(sizes, _split(bodies, sizes, 3))):
+            key = np.cumsum(gap)
+            first = np.cumsum(n) - n
+            key -= np.repeat(np.append(0, key)[first], n)       # gaps begin anew with every row
+            sums, found = _totals(key, counts)
+            answers.append((first, n, sums))
+            if not i:
+                distinct[0] = found
+        body = [_pack(np.concatenate([s[first[r]:first[r] + n[r]] for first, n, sums in answers for s in sums]))
+                for r in range(table.num_rows)]
+        return (table.set_column(table.schema.get_field_index("body"), "body", pa.array(body, pa.binary()))
+                .append_column("distinct", pa.array(distinct)))
 
     return cut_lineage(asked.groupBy("bucket").applyInArrow(
-        run, "slice long, bucket long, words_f array<long>, words_b array<long>, pairs_f array<long>, "
-             "pairs_b array<long>, distinct long"))
+        run, f"slice long, bucket long, n_words long, n_pairs long, body binary, sums array<long>, targets array<{id_type}>, "
+             "distinct long"), drop_shuffles=True)
 
 
 @dataclass(frozen=True)
@@ -174,32 +199,33 @@ def _own(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return n[inv]
 
 
-def _scores(texts: DataFrame, answers: DataFrame, target: Model, background: Model, strength: float, buckets: int,
-            id_col: str, id_type: str) -> DataFrame:
+def _scores(texts: DataFrame, answers: DataFrame, target: Model, background: Model, strength: float, id_col: str,
+            id_type: str) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_arrays([pa.nulls(0, left["id"].type), pa.nulls(0, pa.int64())]
                                         + [pa.nulls(0, pa.float64())] * 3, names=names)
-        left = left.combine_chunks()
-        x = Slice(pa.concat_arrays(left["text"].chunks), buckets)
+        left, right = left.combine_chunks(), right.sort_by("bucket").combine_chunks()
+        x = Slice(pa.concat_arrays(left["text"].chunks))
         n = x.w.counts
         none = n == 0
         losses = [np.zeros(len(n))] * 2
         if len(x.at):
-            right = right.sort_by("bucket").combine_chunks()
-            got = {k: pa.concat_arrays(right[k].chunks).flatten().to_numpy()
-                   for k in ("words_f", "words_b", "pairs_f", "pairs_b")}
+            sizes = [right[k].to_numpy() for k in ("n_words", "n_pairs")]
+            bodies = [_unpack(b, 2 * int(k)) for b, k in zip(right["body"].to_pylist(), sizes[0] + sizes[1])]
+            words, pairs = _split(bodies, sizes, 2)
             text = x.w.text_of_word()
             first = x.before < 0
-            own_word, own_pair = _own(text, x.at, len(x.words)), _own(text, x.pair, len(x.prev))
+            own_word, own_pair = _own(text, x.at, len(x.words)), _own(text, x.pair, len(x.pairs))
             own_seen = np.ones(len(own_word), dtype=np.int64)
             own_seen[1:] = own_word[:-1]
             own_seen[first] = 1
-            flag = np.repeat(np.asarray(left["flag"].to_pylist(), dtype=np.int64), n)
+            targets = pa.concat_arrays(right["targets"].chunks).flatten()
+            flag = np.repeat(_flags(pa.concat_arrays(left["id"].chunks), targets).astype(np.int64), n)
             losses = []
-            for m, side, mine in ((target, "f", flag), (background, "b", np.ones(len(text), dtype=np.int64))):
-                word = got[f"words_{side}"]
-                bit = m.losses(word[x.at] - mine * own_word, got[f"pairs_{side}"][x.pair] - mine * own_pair,
+            for m, word, pair, mine in ((target, words[0], pairs[0], flag),
+                                        (background, words[1], pairs[1], np.ones(len(text), dtype=np.int64))):
+                bit = m.losses(word[x.at] - mine * own_word, pair[x.pair] - mine * own_pair,
                                np.where(first, m.starts, word[x.before]) - mine * own_seen,
                                m.total - mine * n[text], strength)
                 loss = np.zeros(len(n))
@@ -222,21 +248,25 @@ def loss_differences(docs: DataFrame, target_ids: DataFrame, vocabulary: int | N
     the models once; they are still taken and change nothing, as all words and pairs count.
     """
     spark = docs.sparkSession
-    ids = target_ids.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
-    corpus = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    id_type = corpus.schema[id_col].dataType.simpleString()
+    corpus = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = corpus.schema["id"].dataType.simpleString()
     n_bytes = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Several buckets a shuffle task, so that tasks are even.
     buckets = max(n_bytes // BUCKET_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
-    flagged = corpus.join(ids.withColumn("_is_target", F.lit(True)).hint("merge"), F.col(id_col) == F.col("_id"), "left")
-    flagged = flagged.select(F.col(id_col).alias("id"), "text", F.coalesce("_is_target", F.lit(False)).alias("flag"))
-    both = _sliced(flagged, id_type, buckets)
-    texts = both.where("bucket IS NULL").select("slice", "id", "text", "flag", "n_words")
-    answers = _answers(both.where("bucket IS NOT NULL").select("slice", "bucket", *_KEYS))
-    front, back = F.when(F.col("flag"), F.col("n_words")), F.col("n_words")
-    sums = texts.agg(F.sum(front), F.sum(back), F.count(F.when(front > 0, 1)), F.count(F.when(back > 0, 1))).first()
-    n_front, n_back, starts_front, starts_back = (int(v or 0) for v in sums)
-    size = int(answers.agg(F.sum("distinct")).first()[0] or 0) + 1
+    slices = n_bytes // W.SLICE_BYTES + spark.sparkContext.defaultParallelism
+
+    def dealt(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(slices)).alias("slice")
+
+    # A null id is no target, so its texts may lie anywhere.
+    at = F.when(F.col("id").isNull(), dealt("text")).otherwise(dealt("id")).alias("slice")
+    texts = corpus.select(at, "id", "text")
+    ids = target_ids.select(F.col(id_col).try_cast(id_type).alias("_id")).where("_id IS NOT NULL").distinct()
+    answers = _answers(_requests(texts, ids.select(dealt("_id"), "_id"), id_type, buckets), id_type)
+    front, back, front_texts, back_texts, distinct = answers.agg(
+        *(F.sum(F.get("sums", F.lit(i))) for i in range(4)), F.sum("distinct")).first()
+    n_front, n_back, starts_front, starts_back = (int(v or 0) for v in (front, back, front_texts, back_texts))
+    size = int(distinct or 0) + 1
     scale = n_front / n_back if n_front and n_back else 1.0
-    return _scores(texts.drop("n_words"), answers.drop("distinct"), Model(n_front, starts_front, size, 1.0),
-                   Model(n_back, starts_back, size, scale), strength, buckets, id_col, id_type)
+    return _scores(texts, answers.drop("distinct", "sums"), Model(n_front, starts_front, size, 1.0),
+                   Model(n_back, starts_back, size, scale), strength, id_col, id_type)

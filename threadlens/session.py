@@ -59,6 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SHIPPED: set[str] = set()
 
 
@@ -84,19 +85,26 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
     One computation (``DataFrame.checkpoint`` on an unpersisted frame computes
     it twice), and the files live in the folder named by ``spark.checkpoint.dir``
     so the result survives executor loss.  Iterative jobs call this per round.
+    ``drop_shuffles`` deletes the shuffle files of the write when it has ended; else they stay until the
+    driver's garbage collector finds them.
     """
     import uuid
 
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/threadlens-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, str(drop_shuffles or before == "true").lower())
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     out = spark.read.parquet(path)
     out._written_path = path
     return out
