@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadlens.llm import decontaminate, lines, minhash, substrings
 from threadlens.llm.components import components
+from threadlens.session import cut_lineage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -277,6 +278,33 @@ def test_line_query_links_short_lines(spark, tmp_path, make_docs):
         assert (rows[d]["n_near"], rows[d]["n_links"]) == want, ls
 
 
+def test_near_copies_of_one_line_are_rows_of_lines(make_docs, monkeypatch):
+    """Every pair of a large group is linked, but no table has a row a pair, in one block or in many."""
+    copies = [f"{'a line that very many texts hold with':<40}{chr(97 + i // 12)}{chr(109 + i % 12)} at its end" for i in range(144)]
+    written = []
+
+    def cut(df, *more, **named):
+        out = cut_lineage(df, *more, **named)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "cut_lineage", cut)
+    for block in (lines.BLOCK_LINES, 50):
+        monkeypatch.setattr(lines, "BLOCK_LINES", block)
+        rows = {r["doc_id"]: r for r in lines.line_duplicates(make_docs(copies)).collect()}
+        assert all(r["n_links"] == 143 and r["n_near"] == (d > 0) for d, r in rows.items())
+    assert max(written) < 144 * 143 / 4
+
+
+def test_lines_of_texts_that_share_an_id(make_docs):
+    """A line is compared as it stands, whichever text of its id holds it."""
+    texts = ["first line of this text\none line that is alike", "another text, another line\nquite other words here",
+             "one line that is alik"]
+    rows = lines.line_duplicates(make_docs(texts, ids=[1, 1, 2])).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_exact"], r["n_near"], r["n_links"]) for r in rows) == [
+        (1, 4, 0, 0, 1), (1, 4, 0, 0, 1), (2, 1, 0, 1, 1)]
+
+
 def test_decontamination_against_brute_force(make_docs, edge_texts, spark, vocab):
     rng = random.Random(12)
     items = [" ".join(rng.choice(vocab) for _ in range(rng.randint(3, 70))) for _ in range(40)] + [None, "", "one two"]

@@ -8,9 +8,12 @@ Two different lines are linked if their edit distance is at most the allowance o
 A line of length l and allowance t is cut into t + 1 even segments and indexed by (l, segment number, segment). By the
 pigeonhole principle a linked line of length l to l + t holds one of these segments as it stands, at
 one of a few places; the places to probe depend on both lengths (multi-match-aware selection). Index and
-probe keys meet in one join. A pair goes on only if the parities of its hashed characters differ in at most
-2 t of 64 bits, which every linked pair meets, so a segment that very many lines share does not emit
-its pairs. What is left is verified with a banded bit-parallel edit distance on the whole lines.
+probe keys meet in one semi-join: a probe goes on if some indexed line of its key differs from it in the parities of its
+hashed characters by at most 2 t of 64 bits, which every linked pair meets. So a segment that very many lines share
+does not emit its pairs. The lines of the keys that are left meet with their texts, key by key, in blocks of a bounded
+number of lines. There pairs are verified with a banded bit-parallel edit distance, each at the first segment they share,
+and every line gets its number of links and its earliest neighbour: no pair leaves a block, and a group of near copies is
+rows of its lines.
 
 ``line_duplicates`` gives one row per text: lines, lines that stand earlier as they are, lines that first
 stand here but are linked to an earlier one, and links to other lines. Earlier means a smaller (id, line number).
@@ -23,16 +26,19 @@ nothing; extra columns are not carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm import words as W
-from threadlens.session import cut_lineage
+from threadlens.session import cut_lineage, discard
 
 _SYMBOL = W.mix64(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+BLOCK_LINES = 4_096         # indexed lines, and probes, that meet in one task
 _TRIM = " \t\n\x0b\f\r"
 
 
@@ -109,11 +115,10 @@ def _unique_long(x: Lines, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return h[at], x.start[at], x.end[at]
 
 
-def _keys(docs: DataFrame, tau: int, step: int, probe: bool, names: tuple[str, str, str, str]) -> DataFrame:
-    """``key, line, parities, zero, prior, allowed`` of all index (or probe) keys of the lines that may be linked.
+def _keys(docs: DataFrame, tau: int, step: int, probe: bool, names: tuple[str, str]) -> DataFrame:
+    """``key, line, parities, shape`` of all index (or probe) keys of the lines that may be linked.
 
-    ``zero``: beside keys of later segments, the key of the first one; ``prior``: beside those from the third on, the
-    key of the one before, in a probe at the same distance from its place (null where it is not probed there).
+    ``shape``: the allowance of the shorter line, which is the indexed one, times 64, and the number of the segment.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,48 +127,29 @@ def _keys(docs: DataFrame, tau: int, step: int, probe: bool, names: tuple[str, s
                 h, start, end = _unique_long(x, step)
                 own, bits = end - start, x.parities(start, end)
 
-                def rows(keep: np.ndarray, key: np.ndarray, t: int, zero: np.ndarray | None, prior: np.ndarray | None,
-                         off: np.ndarray | None = None) -> pa.RecordBatch:
-                    none = pa.nulls(len(keep), pa.int64())
+                def rows(keep: np.ndarray, key: np.ndarray, shape: int) -> pa.RecordBatch:
                     return pa.RecordBatch.from_arrays(
                         [pa.array(W.as_signed(key)), pa.array(W.as_signed(h[keep])), pa.array(W.as_signed(bits[keep])),
-                         none if zero is None else pa.array(W.as_signed(zero)),
-                         none if prior is None else pa.array(W.as_signed(prior), mask=off),
-                         pa.array(np.full(len(keep), t, dtype=np.int32))], names=["key", *names, "allowed"])
+                         pa.array(np.full(len(keep), shape, dtype=np.int32))], names=["key", *names, "shape"])
 
-                # ``t``: the allowance of the shorter line, which is the indexed one.
                 for t in range(1, tau + 1):
                     for delta in range(t + 1) if probe else (0,):
                         some = np.flatnonzero(allowance(own - delta, tau, step) == t)
                         length, at_start = own[some], start[some]
-                        _, size = segments(length - delta, t, 0)    # the first segment has one place only
-                        first = _key(x.hash(at_start, at_start + size), length - delta, 0)
                         for i in range(t + 1):
-                            back, back_size = segments(length - delta, t, max(i - 1, 0))
                             if not probe:
                                 at, size = segments(length, t, i)
-                                spans = [at_start + y for y in (at, at + size, back, back + back_size)]
-                                yield rows(some, _key(x.hash(*spans[:2]), length, i), t, first if i else None,
-                                           _key(x.hash(*spans[2:]), length, i - 1) if i > 1 else None)
+                                yield rows(some, _key(x.hash(at_start + at, at_start + at + size), length, i), 64 * t + i)
                                 continue
                             low, high, size = probe_places(length, length - delta, t, i)
-                            back_low, back_high, _ = probe_places(length, length - delta, t, max(i - 1, 0))
-                            there, _ = segments(length - delta, t, i)
                             for move in range(2 * t + 1):
                                 keep = np.flatnonzero(low + move <= high)
                                 if not len(keep):
                                     continue
-                                other = length[keep] - delta
                                 s = at_start[keep] + low[keep] + move
-                                key = _key(x.hash(s, s + size[keep]), other, i)
-                                # The segment before, as far from its place as this one.
-                                p = back[keep] + low[keep] + move - there[keep]
-                                off = (p < back_low[keep]) | (p > back_high[keep])
-                                q = at_start[keep] + np.where(off, 0, p)
-                                prior = _key(x.hash(q, q + back_size[keep]), other, i - 1) if i > 1 else None
-                                yield rows(some[keep], key, t, first[keep] if i else None, prior, off if i > 1 else None)
+                                yield rows(some[keep], _key(x.hash(s, s + size[keep]), length[keep] - delta, i), 64 * t + i)
 
-    return docs.select("_text").mapInArrow(run, ", ".join(f"{n} long" for n in ("key", *names)) + ", allowed int")
+    return docs.select("_text").mapInArrow(run, ", ".join(f"{n} long" for n in ("key", *names)) + ", shape int")
 
 
 def edit_distance_within(x: str, y: str, tau: int) -> bool:
@@ -214,32 +200,84 @@ def edit_distance_within(x: str, y: str, tau: int) -> bool:
     return value <= tau
 
 
-def near_lines(docs: DataFrame, tau: int, step: int) -> DataFrame:
-    """``a, b`` (line hashes, a < b): all pairs of different linked lines. ``docs``: doc_id, _text."""
+@lru_cache(maxsize=1 << 16)
+def _places(length: int, other: int, t: int) -> list[tuple[int, int, int, int]]:
+    """For every segment of a line of the given length: its start and end, and the first and last start of it in a line
+    of length ``other``."""
+    out = []
+    for i in range(t + 1):
+        at, size = segments(np.array(length), t, i)
+        low, high, _ = probe_places(np.array(other), np.array(length), t, i)
+        out.append((int(at), int(at + size), int(low), int(high)))
+    return out
+
+
+def _met_before(x: str, y: str, t: int, i: int) -> bool:
+    """Does ``y`` hold one of the segments of ``x`` before segment ``i`` where it may stand?"""
+    return any(y.startswith(x[at:end], p) for at, end, low, high in _places(len(x), len(y), t)[:i]
+               for p in range(low, high + 1))
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """``line, links, doc_id, number`` (of the earliest neighbour) of the lines of one block that have a link there."""
+    table = table.combine_chunks()
+    body, line, shape = table["body"].to_pylist(), table["line"].to_numpy(), table["shape"].to_numpy()
+    probe, bits = np.asarray(table["probe"].to_pylist(), dtype=bool), table["bits"].to_numpy().view(np.uint64)
+    size = np.array([len(x) for x in body], dtype=np.int64)
+    # Places of the lines in order, so that the earliest neighbour is the smallest number.
+    order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("number", "ascending")],
+                            null_placement="at_start").to_numpy()
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    links, best = np.zeros(len(line), dtype=np.int64), np.full(len(line), len(line), dtype=np.int64)
+    probes = np.flatnonzero(probe)
+    for a in np.flatnonzero(~probe):
+        t, i = int(shape[a]) >> 6, int(shape[a]) & 63
+        # Of two lines of one length the one with the smaller hash is the indexed one.
+        gap = size[probes] - size[a]
+        near = (gap >= 0) & (gap <= t) & ((gap > 0) | (line[a] < line[probes])) & (shape[probes] == shape[a])
+        for b in probes[near & (np.bitwise_count(bits[probes] ^ bits[a]) <= 2 * t)]:
+            if not _met_before(body[a], body[b], t, i) and edit_distance_within(body[a], body[b], t):
+                links[a] += 1
+                links[b] += 1
+                best[a], best[b] = min(best[a], rank[b]), min(best[b], rank[a])
+    keep = np.flatnonzero(links)
+    other = pa.array(order[best[keep]])
+    return pa.Table.from_arrays([table["line"].take(pa.array(keep)), pa.array(links[keep]), table["doc_id"].take(other),
+                                 table["number"].take(other)], names=["line", "links", "doc_id", "number"])
+
+
+def line_links(docs: DataFrame, places: DataFrame, first: DataFrame, tau: int, step: int) -> DataFrame:
+    """``line, links, before``: links of every line that has one, and the first place of its earliest neighbour.
+
+    ``docs``: doc_id, _text; ``places``: their ``line_places``; ``first``: the smallest place of every line.
+    """
+    written = cut_lineage(_keys(docs, tau, step, False, ("line", "bits")))
     # A line that stands in many partitions is one row a key: the repeats fall where the keys meet.
-    index = _keys(docs, tau, step, False, ("line_i", "bits_i", "zero_i", "prior_i")).repartition("key").dropDuplicates()
-    probe = _keys(docs, tau, step, True, ("line_p", "bits_p", "zero_p", "prior_p")).drop("allowed").repartition("key").dropDuplicates()
-    # Lines that share their first segment, or the one before this, have met there.
-    met = (F.coalesce(F.col("zero_i") == F.col("zero_p"), F.lit(False))
-           | F.coalesce(F.col("prior_i") == F.col("prior_p"), F.lit(False)))
-    found = (index.join(probe, "key")
-             .where((F.col("line_i") != F.col("line_p")) & ~met
-                    & (F.bit_count(F.col("bits_i").bitwiseXOR(F.col("bits_p"))) <= 2 * F.col("allowed")))
-             .select(F.least("line_i", "line_p").alias("a"), F.greatest("line_i", "line_p").alias("b")))
-    pairs = cut_lineage(found.distinct())
-    wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
-    texts = cut_lineage(line_texts(docs, cut_lineage(wanted)))
-    both = (pairs.join(texts.select(F.col("line").alias("a"), F.col("body").alias("x")), "a")
-            .join(texts.select(F.col("line").alias("b"), F.col("body").alias("y")), "b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-                    if edit_distance_within(x, y, min(tau, min(len(x), len(y)) // step))]
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in (0, 1)], names=["a", "b"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    index = written.select("key", F.col("line").alias("line_i"), F.col("bits").alias("bits_i"), (F.col("shape") / 64).cast(
+        "int").alias("allowed")).repartition("key").dropDuplicates()
+    probe = _keys(docs, tau, step, True, ("line", "bits")).repartition("key").dropDuplicates()
+    near = ((F.col("line_i") != F.col("line"))
+            & (F.bit_count(F.col("bits_i").bitwiseXOR(F.col("bits"))) <= 2 * F.col("allowed")))
+    hits = cut_lineage(probe.alias("p").join(index.alias("i"), (F.col("p.key") == F.col("i.key")) & near, "left_semi"),
+                       drop_shuffles=True)
+    found = cut_lineage(written.join(hits.select("key").distinct(), "key", "left_semi").distinct(), drop_shuffles=True)
+    discard(written)
+    both = found.withColumn("probe", F.lit(False)).unionByName(hits.withColumn("probe", F.lit(True)))
+    wanted = cut_lineage(both.select("line").distinct())
+    texts = line_texts(docs, places, wanted).join(first, "line").select("line", "body", "first.*")
+    # Blocks of a key: each part of its indexed lines with each part of its probes.
+    parts = both.groupBy("key").agg(*(
+        F.ceil(F.count(F.when(F.col("probe") == side, 1)) / BLOCK_LINES).cast("int").alias(n) for side, n in ((False, "n_i"), (True, "n_p"))))
+    one, many = (lambda n: F.pmod("line", F.col(n)).cast("int")), (lambda n: F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = both.join(parts, "key").where("n_i > 0 AND n_p > 0")
+    dealt = dealt.select("key", "line", "bits", "shape", "probe", F.explode(F.when(F.col("probe"), F.transform(
+        many("n_i"), lambda i: F.struct(i.alias("i"), one("n_p").alias("p")))).otherwise(F.transform(
+            many("n_p"), lambda p: F.struct(one("n_i").alias("i"), p.alias("p"))))).alias("block"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    linked = dealt.join(cut_lineage(texts), "line").groupBy("key", "block.i", "block.p").applyInArrow(
+        _linked, f"line long, links long, doc_id {id_type}, number long")
+    return linked.groupBy("line").agg(F.sum("links").alias("links"), F.min(F.struct("doc_id", "number")).alias("before"))
 
 
 def line_places(docs: DataFrame) -> DataFrame:
@@ -257,15 +295,23 @@ def line_places(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "_text").mapInArrow(run, f"doc_id {id_type}, number long, line long")
 
 
-def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def line_texts(docs: DataFrame, places: DataFrame, wanted: DataFrame) -> DataFrame:
     """``line, body`` of the wanted lines, read from the text of their first place."""
-    first = (line_places(docs).where("doc_id IS NOT NULL").join(wanted, "line")
+    first = (places.where("doc_id IS NOT NULL").join(wanted, "line")
              .groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("p")).select("line", "p.*"))
     lists = first.groupBy("doc_id").agg(F.collect_list(F.struct("line", "number")).alias("list"))
     rows = docs.join(lists.hint("merge"), "doc_id")     # the texts move, at every size
-    return (rows.select(F.split("_text", "\n").alias("l"), F.explode("list").alias("e"))
-            .select("e.line", F.btrim(F.get("l", F.col("e.number").cast("int")), F.lit(_TRIM)).alias("body"))
-            .where("body IS NOT NULL"))
+    bodies = (rows.select(F.split("_text", "\n").alias("l"), F.explode("list").alias("e"))
+              .select("e.line", F.btrim(F.get("l", F.col("e.number").cast("int")), F.lit(_TRIM)).alias("body"))
+              .where("body != ''"))
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = Lines(batch.column(1))
+            yield batch.filter(pa.array(W.as_signed(x.hash(x.start, x.end)) == batch.column(0).to_numpy()))
+
+    # Of several texts with one id only some hold the line at that place.
+    return bodies.mapInArrow(same, "line long, body string").dropDuplicates(["line"])
 
 
 def line_duplicates(docs: DataFrame, tau: int = 2, step: int = 10, id_col: str = "doc_id",
@@ -277,12 +323,9 @@ def line_duplicates(docs: DataFrame, tau: int = 2, step: int = 10, id_col: str =
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     places = cut_lineage(line_places(src))
-    first = cut_lineage(places.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first")))
-    links = cut_lineage(near_lines(src, tau, step).distinct())
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = ends.join(first.select(F.col("line").alias("b"), F.col("first").alias("other")), "b")
-    linked = other.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.min("other").alias("before"))
-    line = cut_lineage(first.join(linked.withColumnRenamed("a", "line"), "line", "left"))
+    first = cut_lineage(places.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first")), drop_shuffles=True)
+    linked = cut_lineage(line_links(src, places, first, tau, step), drop_shuffles=True)
+    line = cut_lineage(first.join(linked, "line", "left"), drop_shuffles=True)
     at = F.struct("doc_id", "number")
     judged = (places.join(line, "line")
               .select("doc_id", (at > F.col("first")).cast("long").alias("exact"),
