@@ -136,7 +136,9 @@ def _step(spark, sf_dir):
 
 @register("m5_lloyd_step", with_ctes("select doc_id, cluster, distance from asg", extra=_STEP))
 def m5s(spark, sf_dir):
-    return _step(spark, sf_dir)[3].withColumnRenamed("id", "doc_id")
+    rows, _, _, assigned = _step(spark, sf_dir)
+    rows.drop()
+    return assigned.withColumnRenamed("id", "doc_id")
 
 
 @register("m5_lloyd_centres", with_ctes("""
@@ -148,7 +150,9 @@ def m5s(spark, sf_dir):
                  group by asg.cluster, wt.term) z group by cluster) q using (cluster)""", extra=_STEP))
 def m5c(spark, sf_dir):
     rows, idf, state, assigned = _step(spark, sf_dir)
-    return KM.centre_table(rows, idf, state, cut_lineage(assigned), 8).withColumn("norm", F.round("norm", 6))
+    centres = KM.centre_table(rows, idf, state, cut_lineage(assigned), 8)
+    rows.drop()
+    return centres.withColumn("norm", F.round("norm", 6))
 
 
 SAMPLE_SQL = f"""
