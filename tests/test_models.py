@@ -172,7 +172,7 @@ def test_kmeans_text_rounds_exchange_no_terms(spark):
     looked, sent = KM._look(rows, idf, KM._Centres(sums, *KM._members(named), 3), named)
     plan = looked._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert plan.count("Exchange hashpartitioning") <= 1 and "Bucketed: true" in plan
-    got = {r["id"]: r for r in looked.where("cell IS NULL").collect()}
+    got = {r["id"]: r for r in looked.where("slice IS NULL").collect()}
     assert set(got) == set(range(len(texts)))
     w, a = _text_weights([x or ["none"] for x in texts]), {i: i % 3 for i in got}
     w[90] = {}

@@ -39,6 +39,8 @@ SENT_TERMS = 2_000_000      # shared terms whose weights are sent to the workers
 DOCUMENT_ROWS = 4_096       # documents whose terms one task counts
 ROUND_ROWS = 16_384         # documents one task of a round looks at
 CHUNK = 1 << 18             # entries that are sorted or summed at a time
+SLICE = 1 << 16             # cells that are added up together
+SLICES = "slice int, cells binary, vals binary"
 PRODUCT_CHUNK = 1 << 14     # entries that are multiplied at a time: their rows of the centres stay in the cache
 
 
@@ -66,8 +68,9 @@ class _Sums:
     tail: DataFrame | None
 
     def scaled(self, idf: np.ndarray, sizes: list[float]) -> np.ndarray:
-        of = idf if self.places is None else idf[self.places]
-        return of[:, None] * self.s / np.maximum(sizes, 1.0)
+        out = self.s / np.maximum(sizes, 1.0)
+        out *= (idf if self.places is None else idf[self.places])[:, None]
+        return out
 
 
 def _pieces(at: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -87,9 +90,10 @@ def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0]:at[-1]].view(np.int32), (at - at[0]) // 4
 
 
-def _pack(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)),
-                                                            pa.py_buffer(np.ascontiguousarray(values, dtype=np.int32))])
+def _pack(values: np.ndarray, at: np.ndarray, kind: type = np.int32) -> pa.Array:
+    values = np.ascontiguousarray(values, dtype=kind)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [
+        None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
 def _starts(size: np.ndarray) -> np.ndarray:
@@ -150,6 +154,34 @@ def _cells(terms: np.ndarray, w: np.ndarray, cluster: np.ndarray, k: int, width:
     return at, np.bincount(back, weights=w, minlength=len(at))
 
 
+def _sliced(cell: np.ndarray, value: np.ndarray) -> list[pa.Array]:
+    """``slice, cells, vals`` of sorted cells: a row a slice of ``SLICE`` cells."""
+    part = cell // SLICE
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    at = np.append(first, len(cell))
+    return [pa.array(part[first].astype(np.int32)), _pack(cell % SLICE, at), _pack(value, at, np.float64)]
+
+
+def _totals(slices: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and their values, added up where the rows of a slice meet."""
+    def run(batches):
+        total = {}
+        for batch in batches:
+            for i, cells, vals in zip(*(c.to_pylist() for c in batch.columns)):
+                if i not in total:
+                    total[i] = np.zeros(SLICE)
+                total[i][np.frombuffer(cells, dtype=np.int32)] += np.frombuffer(vals)
+        for i, x in total.items():
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.astype(np.int32).tobytes()]),
+                                              pa.array([x[at].tobytes()])], names=["slice", "cells", "vals"])
+
+    tasks = slices.sparkSession.sparkContext.defaultParallelism
+    got = slices.select("slice", "cells", "vals").repartition(tasks, "slice").mapInArrow(run, SLICES).collect()
+    cell = [np.frombuffer(r["cells"], dtype=np.int32).astype(np.int64) + r["slice"] * SLICE for r in got]
+    return np.concatenate([np.empty(0, np.int64), *cell]), np.concatenate([np.empty(0), *(np.frombuffer(r["vals"]) for r in got)])
+
+
 def _sums(rows: TermRows, idf: np.ndarray, members: DataFrame, k: int, few: bool = False) -> _Sums:
     """Weights of shared terms, summed by the cluster in ``members`` ``(id, norm, a, sign)``; ``few``: only of their terms."""
     width = len(idf)
@@ -162,12 +194,11 @@ def _sums(rows: TermRows, idf: np.ndarray, members: DataFrame, k: int, few: bool
                 size, part = np.diff(at[i:j + 1]), slice(at[i], at[j])
                 scale = sign[i:j] / np.where(norm[i:j] > 0, norm[i:j], 1.0)
                 cell, value = _cells(terms[part], counts[part] * np.repeat(scale, size), np.repeat(a[i:j], size), k, width)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(value)], names=["cell", "value"])
+                yield pa.RecordBatch.from_arrays(_sliced(cell, value), names=["slice", "cells", "vals"])
 
     named = members.select("id", "norm", "a", "sign")
     met = rows.packed.join(F.broadcast(named), "id") if few else _meet(rows, named)
-    got = met.mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-    cell, value = got["cell"].to_numpy(), got["value"].to_numpy()
+    cell, value = _totals(met.mapInArrow(run, SLICES))
     places = np.unique(cell // k) if few else None
     s = np.zeros((width if places is None else len(places), k))
     s[cell // k if places is None else np.searchsorted(places, cell // k), cell % k] = value * idf[cell // k]
@@ -378,7 +409,7 @@ def _drifts(old: _Centres, new: _Centres, moves: dict) -> list[float]:
 
 def _look(rows: TermRows, idf: np.ndarray, centres: _Centres, open_docs: DataFrame):
     """One look at the documents in ``open_docs`` ``(id, norm, own, a)``: with ``near``, ``up`` and ``low`` as ``assign``
-    gives them, and ``(cell, value)`` rows of what those that move change in the sums. Also what was sent for it."""
+    gives them, and rows ``(slice, cells, vals)`` of what those that move change in the sums. Also what was sent for it."""
     k, width, norm2, size = centres.k, len(idf), np.array(centres.norm2), np.maximum(centres.size, 1.0)
     tail = [f"d_{j}" for j in range(k)] if rows.tail is not None else []
     sent = rows.packed.sparkSession.sparkContext.broadcast(centres.sums.scaled(idf, centres.size))
@@ -400,7 +431,7 @@ def _look(rows: TermRows, idf: np.ndarray, centres: _Centres, open_docs: DataFra
             up = x[each, near]
             x[each, near] = np.inf
             doc = [*(batch.column(c) for c in ("id", "norm", "own", "a")), pa.array(near), pa.array(up), pa.array(x.min(axis=1))]
-            yield pa.RecordBatch.from_arrays([*doc, *(pa.nulls(len(a), t) for t in (pa.int64(), pa.float64()))], names=names)
+            yield pa.RecordBatch.from_arrays([*doc, *(pa.nulls(len(a), t) for t in (pa.int32(), pa.binary(), pa.binary()))], names=names)
             moved, n = near != a, np.diff(at)
             for i, j in _pieces(at, 8 * CHUNK):
                 go = np.flatnonzero(np.repeat(moved[i:j], n[i:j])) + at[i]
@@ -409,15 +440,15 @@ def _look(rows: TermRows, idf: np.ndarray, centres: _Centres, open_docs: DataFra
                 of = np.repeat(each[i:j], n[i:j])[go - at[i]]
                 w = counts[go] / scale[of]
                 cell, value = _cells(np.r_[terms[go], terms[go]], np.r_[w, -w], np.r_[near[of], a[of]], k, width)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(cell), c.type) for c in doc), pa.array(cell), pa.array(value)],
-                                                 names=names)
+                change = _sliced(cell, value)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(change[0]), c.type) for c in doc), *change], names=names)
 
     docs = open_docs.select("id", "norm", "own", "a")
     if rows.tail is not None:
         part = _tail_dots(rows.tail.join(_small(docs.select("id")), "id", "left_semi"), centres.sums.tail, centres.size)
         docs = docs.join(part, "id", "left").select("id", "norm", "own", "a", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in tail))
     schema = (f"id {dict(docs.dtypes)['id']}, norm double, own double, a int, near int, up double, low double, "
-              "cell long, value double")
+              + SLICES)
     names = [x.split()[0] for x in schema.split(", ")]
     return _meet(rows, docs).mapInArrow(run, schema), sent
 
@@ -441,23 +472,18 @@ def fit(rows: TermRows, idf: np.ndarray, state: DataFrame, k: int = 8, max_iter:
         after = cut_lineage(judged.withColumn("seen", F.lit(1)).unionByName(rest.withColumn("seen", F.lit(0)), allowMissingColumns=True))
         sent.destroy()
         discard(written)
-        written, docs = after, after.where("cell IS NULL")
-        # Cells from 0 on, and the k by k pairs of old and new clusters below 0.
-        key = F.coalesce("cell", -1 - (F.col("a").cast("long") * k + F.col("near")))
-        got = after.groupBy(key.alias("key")).agg(F.sum("value").alias("value"), F.sum("own").alias("own"), F.count("near").alias("n"),
-                                                  F.sum("seen").alias("seen")).toArrow()
-        key, value, own, n, seen = (got[c].to_numpy() for c in ("key", "value", "own", "n", "seen"))
-        pairs = [(divmod(int(-1 - key[i]), k), i) for i in np.flatnonzero(key < 0)]
-        looked, n_moved = (int(sum(x[i] for p, i in pairs if which(p))) for x, which in (
-            (seen, lambda p: True), (n, lambda p: p[0] != p[1])))
+        written, docs = after, after.where("slice IS NULL")
+        pairs = docs.groupBy("a", "near").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("own"), F.sum("seen").alias("seen")).collect()
+        looked, n_moved = sum(r["seen"] for r in pairs), sum(r["n"] for r in pairs if r["a"] != r["near"])
         now = docs.select("id", "norm", "own", F.col("near").alias("a"), "up", "low")
         if not looked:
             break
         history.append({"looked": looked, "moved": n_moved})
         if not n_moved:
             break
-        s, cell = centres.sums.s.copy(), key >= 0
-        s[key[cell] // k, key[cell] % k] += value[cell] * idf[key[cell] // k]
+        cell, value = _totals(after.where("slice IS NOT NULL"))
+        s = centres.sums.s.copy()
+        s[cell // k, cell % k] += value * idf[cell // k]
         tail = None
         if rows.tail is not None:
             change = docs.where("near != a").select("id", "norm", F.explode(F.array(
@@ -466,9 +492,8 @@ def fit(rows: TermRows, idf: np.ndarray, state: DataFrame, k: int = 8, max_iter:
             tail = cut_lineage(centres.sums.tail.unionByName(delta).groupBy("h", "idf").agg(
                 *(F.sum(f"s_{j}").alias(f"s_{j}") for j in range(k))))
         size, mass, moves = {}, {}, {}
-        for (a, near), i in pairs:
-            size[near], mass[near] = size.get(near, 0) + int(n[i]), mass.get(near, 0.0) + float(own[i])
-            moves[a, near] = float(own[i])
+        for a, near, n, own, _ in pairs:
+            size[near], mass[near], moves[a, near] = size.get(near, 0) + n, mass.get(near, 0.0) + own, own
         fresh = _Centres(_Sums(None, s, tail), size, mass, k)
         drift = _drifts(centres, fresh, moves)
         by = F.create_map(*(F.lit(x) for j in range(k) for x in (j, drift[j])))
