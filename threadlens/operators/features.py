@@ -11,6 +11,7 @@ from __future__ import annotations
 from typing import Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -20,7 +21,8 @@ from pyspark.sql.window import Window
 from threadlens.functions import text as T
 from threadlens.session import cut_lineage, deal
 
-MAX_VOCABULARY = 2_000_000      # terms of two documents or more that are sent to the workers
+MAX_VOCABULARY = 2_000_000      # terms that are sent to the workers as strings
+MAX_HASHED = 24_000_000         # terms of two documents or more that are sent to the workers as hash and number, 12 bytes each
 MAX_REPEATED = 2_000_000        # keys of several rows that are sent to the rows
 DOCUMENT_ROWS = 8_192           # rows a task gathers by document
 
@@ -195,43 +197,60 @@ def list_frequencies(lists: DataFrame, terms_col: str) -> DataFrame:
             .groupBy("term").agg(F.sum("df").alias("df"), F.sum("cnt").alias("cnt")))
 
 
-def tfidf_texts(df: DataFrame, keys: Sequence[str], text: str, stop_words: Iterable[str] | None = None) -> DataFrame:
+def term_hashes(terms: pa.Array, bits: int = 64) -> np.ndarray:
+    """64-bit hashes of terms, the same in every process; ``bits`` keeps fewer of them."""
+    h = pd.util.hash_array(terms.to_numpy(zero_copy_only=False), categorize=False)
+    return h & np.uint64((1 << bits) - 1)
+
+
+def tfidf_texts(df: DataFrame, keys: Sequence[str], text: str, stop_words: Iterable[str] | None = None,
+                hash_bits: int = 64) -> DataFrame:
     """M1 of texts: ``tfidf(term_counts(term_occurrences(df)))`` with all rows of ``df`` as documents, and no row of
     (document, term) shuffled or written.
 
     Terms are counted where their document lies (``document_rows``), once for the document frequencies and once for
-    the weights. The idf goes to the workers while at most ``MAX_VOCABULARY`` terms are in two documents or more (those
-    of one document share one idf); larger vocabularies are joined by a shuffle.
+    the weights. The document frequencies go to the workers by the hash of their term, while at most ``MAX_HASHED`` terms
+    are in two documents or more (any other is in one document); terms that share a hash go as they are. Larger
+    vocabularies are joined by a shuffle.
     """
     names = list(keys)
-    seen = cut_lineage(df.groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
+    seen = cut_lineage(df.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), drop_shuffles=True)
     n_docs = seen.count()
     lists = document_rows(df.select(*names, text), names, seen).select(*names, T.terms(text, stop_words).alias("terms"))
 
     def frequencies(batches):
         for _, terms, _, code, _ in _documents(batches, len(names)):
             df_ = np.bincount(code, minlength=len(terms)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([terms, pa.array(df_)], names=["term", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(term_hashes(terms, hash_bits).view(np.int64)), terms, pa.array(df_)],
+                                             names=["h", "term", "df"])
 
-    idf = F.log((F.lit(1) + F.lit(n_docs)) / (F.lit(1) + F.col("df"))) + 1
-    common = cut_lineage(lists.mapInArrow(frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
-                         .where("df > 1").select("term", idf.alias("idf")))
-    if common.count() > MAX_VOCABULARY:
+    counts = cut_lineage(lists.mapInArrow(frequencies, "h long, term string, df long").groupBy("h", "term")
+                         .agg(F.sum("df").alias("df")), drop_shuffles=True)
+    common = counts.where("df > 1")
+    if common.count() > MAX_HASHED:
         return tfidf(term_counts(term_occurrences(df, names, text, stop_words), names), names, documents=df)
-    table = common.toArrow().combine_chunks()
-    rare = float(np.log((1 + n_docs) / 2) + 1)
-    sent = df.sparkSession.sparkContext.broadcast((table["term"].combine_chunks(), table["idf"].to_numpy()))
+    shared = counts.join(counts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h", "left_semi")
+    clash = shared.select("term", "df").toArrow()
+    number = F.col("df").cast("int" if n_docs < 2 ** 31 else "long")
+    table = common.select("h", number.alias("df")).orderBy("h").toArrow().combine_chunks()
+    sent = df.sparkSession.sparkContext.broadcast((
+        table["h"].to_numpy(), table["df"].to_numpy(), clash["term"].combine_chunks(), clash["df"].to_numpy()))
 
     def weights(batches):
-        vocabulary, values = sent.value
+        held, numbers, alike, alike_df = sent.value
         for key, terms, at, code, tf in _documents(batches, len(names)):
             if not len(at):
                 continue
-            place = pc.index_in(terms, value_set=vocabulary)
-            known = place.is_valid().to_numpy(zero_copy_only=False)
-            of_term = np.full(len(terms), rare)
-            of_term[known] = values[place.drop_null().to_numpy()]
-            w = tf * of_term[code]
+            df_ = np.ones(len(terms), dtype=np.int64)
+            if len(held):
+                h = term_hashes(terms, hash_bits).view(np.int64)
+                place = np.minimum(np.searchsorted(held, h), len(held) - 1)
+                df_ = np.where(held[place] == h, numbers[place], df_)
+            if len(alike):
+                place = pc.index_in(terms, value_set=alike)
+                known = place.is_valid().to_numpy(zero_copy_only=False)
+                df_[known] = alike_df[place.drop_null().to_numpy()]
+            w = tf * (np.log((1 + n_docs) / (1 + df_)) + 1)[code]
             norm = np.sqrt(np.bincount(at, weights=w * w))
             rows = pa.array(at)
             yield pa.RecordBatch.from_arrays([*(k.take(rows) for k in key), terms.take(pa.array(code)), pa.array(tf),
