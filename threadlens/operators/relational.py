@@ -6,6 +6,7 @@ draws use ``md5(seed:id)`` so they are reproducible in any engine.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from threadlens.session import broadcast_if_small, cut_lineage
 DEFAULT_SEED = 42
 # Lookup frames of at most this many rows are broadcast; bigger ones are shuffle-joined.
 MAX_THREADS = 1_000_000
+MAX_PAIRS = 2_000_000       # (thread, user) pairs of several posts that go to the rows
 
 
 def seeded_hash(seed: int, c) -> Column:
@@ -217,9 +219,26 @@ def thread_user_documents(posts: DataFrame, thread_ids=None) -> DataFrame:
 
     The document is the operator's output, so a user's text in one thread is
     one value; features (M1) never build it and aggregate tokens instead.
+
+    A post that is its user's only one in the thread is a document where it stands; the posts of the other
+    (thread, user) pairs alone are dealt, while at most ``MAX_PAIRS`` pairs have several.
     """
     p = posts if thread_ids is None else in_threads(posts, thread_ids)
-    return p.groupBy("thread_id", "user_id").agg(_ordered_join().alias("document"))
+    pairs = ["thread_id", "user_id"]
+    several = cut_lineage(p.groupBy(*pairs).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                          .select(*(F.col(k).alias(f"_{k}") for k in pairs)), drop_shuffles=True)
+    n = several.count()
+    if n > MAX_PAIRS:
+        return p.groupBy(*pairs).agg(_ordered_join().alias("document"))
+    alone = p
+    if n:
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in pairs])
+        few = F.broadcast(several)
+        alone = p.join(few, same, "left_anti")
+    alone = alone.select(*pairs, F.coalesce("post_text", F.lit("")).alias("document"))
+    if not n:
+        return alone
+    return alone.unionByName(p.join(few, same, "left_semi").groupBy(*pairs).agg(_ordered_join().alias("document")))
 
 
 def corpus_joined_length(df: DataFrame, text: str = "post_text") -> DataFrame:
