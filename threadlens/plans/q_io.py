@@ -132,7 +132,7 @@ def k5(spark, sf_dir):
     edited = (p.where(F.col("thread_page") == 1)
               .withColumn("user_name", F.concat("user_name", F.lit("_edited")))
               .withColumn("post_timestamp", F.col("post_timestamp") + F.expr("INTERVAL 1 HOUR")))
-    d = IO.dedupe_latest(p.unionByName(edited), "post_id")
+    d = IO.dedupe_latest(p.unionByName(edited), "post_id", columns=["post_id", "user_name", "post_timestamp"])
     return d.select("post_id", "user_name", F.unix_millis("post_timestamp").alias("ts_ms"))
 
 

@@ -189,13 +189,32 @@ def insert_or_ignore(existing: DataFrame, new: DataFrame, key: str = "post_id")
     return fresh.join(existing.select(key).where(F.col(key).isNotNull()), key, "left_anti")
 
 
-def dedupe_latest(df: DataFrame, key: str = "post_id", order_by: list[str] | None = None) -> DataFrame:
+def dedupe_latest(df: DataFrame, key: str = "post_id", order_by: list[str] | None = None,
+                  columns: list[str] | None = None) -> DataFrame:
     """K5: one row per key, the latest by ``order_by`` (default post_timestamp), ties by the whole row.
 
     An aggregate (``max_by`` over a struct), not a window: partial aggregation
     collapses a heavily duplicated key map-side before the shuffle.
+
+    With ``columns`` only these are returned, and whole rows are regrouped only for keys whose latest rows
+    differ in them: the others are known without the rest of the row.
     """
     order_by = order_by or ["post_timestamp"]
+    if columns is not None:
+        rank = [c for c in order_by if c != key]
+        ends = df.groupBy(key, *rank).agg(F.min(F.struct(*columns)).alias("lo"), F.max(F.struct(*columns)).alias("hi"))
+        if rank:
+            ends = ends.groupBy(key).agg(F.max_by(F.struct("lo", "hi"), F.struct(*rank)).alias("b")).select(key, "b.*")
+        best = cut_lineage(ends.withColumnRenamed(key, "_key"), drop_shuffles=True)
+        same = F.col("lo").eqNullSafe(F.col("hi"))
+        plain = best.where(same).select("hi.*")
+        tied = best.where(~same).select("_key")
+        n_tied = tied.count()
+        if not n_tied:
+            return plain
+        tied = F.broadcast(tied) if n_tied <= 100_000 else tied
+        rows = df.join(tied, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+        return plain.unionByName(dedupe_latest(rows, key, order_by).select(*columns))
     cols = [c for c in df.columns]
     rank = F.struct(*[F.col(c) for c in order_by], *[F.col(c) for c in cols if c not in order_by and
                                                      not isinstance(df.schema[c].dataType, T.MapType)])
