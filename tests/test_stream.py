@@ -150,6 +150,14 @@ def test_slices_of_pages_are_staged_one_by_one(spark, sf_small, tmpdir_path, mon
     assert not _shuffle_files(spark) - before
     staged = spark.read.parquet(tmpdir_path + "/pages")
     assert staged.count() == 2 * want.count() and staged.distinct().exceptAll(want).count() == 0
+    # a copy begins when the one before is whole, so a page comes in two batches
+    import os
+
+    at = {}
+    for f in sorted(staged.inputFiles(), key=lambda f: os.stat(f.removeprefix("file://")).st_mtime_ns):
+        for r in spark.read.parquet(f).select("page_id").collect():
+            at.setdefault(r.page_id, []).append(len(at))
+    assert all(len(x) == 2 for x in at.values()) and all(x[1] == len(at) for x in at.values())
 
 
 def test_new_rows_of_a_batch(spark, monkeypatch):
